@@ -204,11 +204,11 @@ def low_coverage(cov: DataFrame, minimum: float = 5.0) -> DataFrame:
     return cov.where(F.col("coverage") < minimum)
 
 
-def sampling_stop(counts: DataFrame, groups: DataFrame, min_pairs: int) -> DataFrame:
-    """Interval index after which every read group has enough pairs.
+def sampling_stop(counts: DataFrame, groups: DataFrame, min_pairs: int, *by: str) -> DataFrame:
+    """Interval index after which every read group (of a sample, with ``by``) has enough pairs.
 
-    ``counts(rg, itv, cnt)`` has one row per read group and interval. Returns one row
-    ``(last_itv)``; NULL when some group never gets there.
+    ``counts(rg, itv, cnt)`` has one row per read group and interval. ``last_itv`` is NULL when
+    some group never gets there.
     """
     upto = F.sum("cnt").over(Window.partitionBy("rg").orderBy("itv"))
     reached = (
@@ -218,11 +218,10 @@ def sampling_stop(counts: DataFrame, groups: DataFrame, min_pairs: int) -> DataF
         .agg(F.min("itv").alias("itv"))
     )
     return (
-        groups.select("rg").distinct()
+        groups.select("rg", *by).distinct()
         .join(reached, "rg", "left")
-        .agg(
-            F.when(F.count(F.lit(1)) == F.count("itv"), F.max("itv")).alias("last_itv")
-        )
+        .groupBy(*by)
+        .agg(F.when(F.count(F.lit(1)) == F.count("itv"), F.max("itv")).alias("last_itv"))
     )
 
 

@@ -14,6 +14,11 @@ from lacuna.operators.windows import profile_bin
 from lacuna.params import ProfileParams
 
 
+def name_keys(rows: DataFrame) -> list[str]:
+    """Key of a read name; names are unique within a sample only."""
+    return [*(["sample"] if "sample" in rows.columns else []), "qname", "contig"]
+
+
 def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the greatest by ``order``. Combines before the shuffle."""
     return _extreme(rows, keys, order, F.max)
@@ -44,7 +49,7 @@ def forward_mates(reads: DataFrame, rg_stats: DataFrame, params: ProfileParams)
         .join(limits, "rg")
         .where(F.col("tlen") <= F.col("max_insert"))
         .select(
-            "qname", "contig", "rg",
+            *name_keys(reads), "rg",
             F.col("pos").cast("bigint").alias("fwd_pos"),
             F.col("mate_pos").cast("bigint").alias("fwd_mate_pos"),
             (F.col("pos") + R.reference_length(F.col("cigar"))).cast("bigint").alias("inner_begin"),
@@ -59,7 +64,7 @@ def reverse_mates(reads: DataFrame, params: ProfileParams) -> DataFrame:
         reads.where(R.is_reverse(F.col("flag")) & R.passes(params.quality.reverse()))
         .where(F.col("pos") >= F.col("mate_pos"))
         .select(
-            "qname", "contig",
+            *name_keys(reads),
             F.col("rg").alias("rev_rg"),
             F.col("pos").cast("bigint").alias("rev_pos"),
             R.insert_end(F.col("pos"), F.col("cigar")).cast("bigint").alias("insert_end"),
@@ -69,9 +74,10 @@ def reverse_mates(reads: DataFrame, params: ProfileParams) -> DataFrame:
 
 def pair_mates(forward: DataFrame, reverse: DataFrame) -> DataFrame:
     """Joins the last forward with the first reverse read of a name on the same contig."""
-    left = last_of(forward, ["qname", "contig"], ["fwd_pos", "inner_begin", "insert_begin"])
-    right = first_of(reverse, ["qname", "contig"], ["rev_pos", "insert_end"])
-    return left.join(right, ["qname", "contig"]).where(F.col("fwd_pos") <= F.col("rev_pos"))
+    keys = name_keys(forward)
+    left = last_of(forward, keys, ["fwd_pos", "inner_begin", "insert_begin"])
+    right = first_of(reverse, keys, ["rev_pos", "insert_end"])
+    return left.join(right, keys).where(F.col("fwd_pos") <= F.col("rev_pos"))
 
 
 def reads_in_regions(forward: DataFrame, regions: DataFrame) -> DataFrame:

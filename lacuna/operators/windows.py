@@ -120,8 +120,8 @@ def read_group_load(counts: DataFrame, max_load: DataFrame | None, default_load:
 def sample_windows(loads: DataFrame, rg_thresholds: DataFrame | None = None) -> DataFrame:
     """One row per grid point and sample.
 
-    ``obs`` holds the deviations per usable read group. Saturated groups count towards
-    ``n_active`` (data is present) but contribute no deviations.
+    ``obs`` holds the deviations per usable read group. Saturated groups, listed in ``hot``, count
+    towards ``n_active`` (data is present) but contribute no deviations.
     """
     if rg_thresholds is not None:
         loads = loads.join(rg_thresholds.select("rg", "min_init_len"), "rg")
@@ -134,6 +134,7 @@ def sample_windows(loads: DataFrame, rg_thresholds: DataFrame | None = None) ->
         F.max(F.when(usable, F.col("last"))).alias("last"),
         F.min("min_init_len").alias("threshold"),
         F.collect_list(F.when(usable, F.struct("rg", "devs"))).alias("obs"),
+        F.collect_list(F.when(~usable, F.col("rg"))).alias("hot"),
     )
 
 

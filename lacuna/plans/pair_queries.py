@@ -424,7 +424,7 @@ def call_genotypes(spark, sf):
 
 @query(
     "merge_windows_islands",
-    """SELECT contig, segment, island, count(*) AS n, list_sort(list(len0))[count(*) // 2 + 1] AS len,
+    """SELECT contig, segment, CAST(island AS BIGINT) AS island, count(*) AS n, list_sort(list(len0))[count(*) // 2 + 1] AS len,
        list_sort(list(p))[count(*) // 2 + 1] AS pos FROM (
   SELECT *, sum(opens) OVER (PARTITION BY contig, segment ORDER BY p, len0) AS island FROM (
     SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY contig, segment ORDER BY p, len0) <= 90 THEN 0 ELSE 1 END AS opens FROM (

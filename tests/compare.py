@@ -5,7 +5,7 @@ from __future__ import annotations
 import pathlib
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -22,25 +22,34 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _normal(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)].copy()
-    return df.sort_values(list(df.columns), kind="stable", na_position="first").reset_index(drop=True)
+def _kind(t: pa.DataType) -> str:
+    for name, test in (
+        ("bool", pa.types.is_boolean), ("int", pa.types.is_integer), ("float", pa.types.is_floating),
+        ("text", lambda x: pa.types.is_string(x) or pa.types.is_large_string(x)),
+    ):
+        if test(t):
+            return name
+    return str(t)
+
+
+def _rows(table: pa.Table, columns: list[str]) -> list[tuple]:
+    return sorted(zip(*[table[c].to_pylist() for c in columns], strict=True), key=repr)
 
 
 def differences(spark_df, con, sql: str) -> str | None:
     """None when both agree, else what differs."""
-    got = spark_df.toPandas()
-    want = con.execute(sql).fetchdf()
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
+    got = spark_df.toArrow()
+    want = con.execute(sql).to_arrow_table()
+    columns = sorted(got.column_names)
+    if columns != sorted(want.column_names):
+        return f"columns {columns} vs {sorted(want.column_names)}"
     if len(got) != len(want):
         return f"rows {len(got)} vs {len(want)}"
-    got, want = _normal(got), _normal(want)
-    for c in got.columns:
-        if got[c].dtype.kind != want[c].dtype.kind:
-            return f"type of {c}: {got[c].dtype} vs {want[c].dtype}"
-    try:
-        pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=True)
-    except AssertionError as e:
-        return str(e)[:600]
+    for c in columns:
+        kinds = _kind(got.schema.field(c).type), _kind(want.schema.field(c).type)
+        if kinds[0] != kinds[1]:
+            return f"type of {c}: {kinds[0]} vs {kinds[1]}"
+    for a, b in zip(_rows(got, columns), _rows(want, columns), strict=True):
+        if a != b:
+            return f"first difference in {columns}: {a} vs {b}"
     return None
