@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lacuna.params import PROFILE_WINDOW, ParameterError
 
@@ -24,7 +23,7 @@ READ_GROUPS = (
 CONTIGS = "contig string, contig_id bigint, len bigint"
 
 #: Alignment records as the engine expects them; bases and qualities are never read.
-READS = T.StructType.fromDDL(
+READS = (
     "sample string, contig string, pos int, mapq int, flag int, l_seq int, mate_contig string, mate_pos int,"
     " tlen int, cigar array<struct<op:string,n:int>>, qname string, rg string, as_score int"
 )
@@ -132,3 +131,31 @@ def header_read_groups(header: DataFrame, sample: str) -> DataFrame:
     return header.select(header_read_group(F.col("value")).alias("rg")).where(F.col("rg") != "").select(
         "rg", F.lit(sample).alias("sample")
     )
+
+
+def inputs(spark: SparkSession, path: str) -> list[str]:
+    """A single argument is a profile dataset itself or a text file that lists datasets."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [path] if fs.isDirectory(fs_path) else profile_list(spark, path)
+
+
+def read_profiles(spark: SparkSession, paths: list[str]) -> Profile:
+    """Several datasets as one. Contigs come from the first, as one representative set."""
+    first = read_profile(spark, paths[0])
+    if len(paths) == 1:
+        return first
+    # One scan over all contig folders: the contig is taken from the folder name, so the scan does
+    # not grow into a union of one branch per dataset.
+    pairs = (
+        spark.read.schema(PAIRS.replace("contig string, ", ""))
+        .parquet(*[f"{p}/pairs/*" for p in paths])
+        .withColumn("contig", F.url_decode(F.regexp_extract("_metadata.file_path", r"/contig=([^/]*)/", 1)))
+        .select("contig", "win", "rg", "off", "dev")
+    )
+    return Profile(
+        pairs,
+        spark.read.schema(HIST).parquet(*[f"{p}/hist" for p in paths]),
+        spark.read.schema(READ_GROUPS).parquet(*[f"{p}/read_groups" for p in paths]),
+        first.contigs,
+    )
