@@ -11,11 +11,6 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("bigint")
 
 
-def weighted_total(entries: Column) -> Column:
-    """Number of values in an array of ``(dev, cnt)`` structs."""
-    return F.aggregate(entries, F.lit(0).cast("bigint"), lambda a, x: a + x["cnt"])
-
-
 def weighted_kth(entries: Column, k: Column) -> Column:
     """0-based k-th value of a sorted array of ``(dev, cnt)`` structs."""
     start = F.struct(
@@ -37,30 +32,6 @@ def upper_quartile_rank(n: Column) -> Column:
     return (3.0 * n + 2.0 + n % 2) / 4.0 - 1.0
 
 
-def weighted_upper_quartile(entries: Column) -> Column:
-    """Rounded third quartile of a sorted ``(dev, cnt)`` array; the maximum below four values."""
-    n = weighted_total(entries)
-    pos = upper_quartile_rank(n)
-    low = F.floor(pos).cast("bigint")
-    frac = pos - low
-    mixed = (1 - frac) * weighted_kth(entries, low) + frac * weighted_kth(entries, low + 1)
-    return F.when(n == 0, F.lit(0).cast("bigint")).when(
-        n < 4, weighted_kth(entries, n - 1)
-    ).otherwise(round_half_up(mixed))
-
-
-def upper_quartile(values: Column) -> Column:
-    """Same statistic on a plain sorted array."""
-    n = F.size(values)
-    pos = upper_quartile_rank(n)
-    low = F.floor(pos).cast("int")
-    frac = pos - low
-    mixed = (1 - frac) * F.get(values, low) + frac * F.get(values, low + 1)
-    return F.when(n == 0, F.lit(0).cast("bigint")).when(
-        n < 4, F.get(values, n - 1).cast("bigint")
-    ).otherwise(round_half_up(mixed))
-
-
 def upper_median(values: Column) -> Column:
     """Element ``n div 2`` of a sorted array."""
     return F.get(values, F.floor(F.size(values) / 2).cast("int"))

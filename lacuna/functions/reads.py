@@ -61,8 +61,11 @@ def passes(quality: ReadQuality) -> Column:
 
 def reference_length(cigar: Column) -> Column:
     """Bases of the reference an alignment spans."""
-    on_reference = F.filter(cigar, lambda c: ~c["op"].isin(*NOT_ON_REFERENCE))
-    return F.aggregate(on_reference, F.lit(0), lambda a, c: a + c["n"])
+    return F.aggregate(
+        cigar,
+        F.lit(0),
+        lambda a, c: a + F.when(c["op"].isin(*NOT_ON_REFERENCE), F.lit(0)).otherwise(c["n"]),
+    )
 
 
 def insert_begin(pos: Column, cigar: Column) -> Column:

@@ -20,15 +20,6 @@ from lacuna.functions.density import lookup
 KEY = ["contig", "p", "len0"]
 
 
-def explode_obs(windows: DataFrame) -> DataFrame:
-    """Long form of the nested ``obs`` column of sample windows."""
-    return (
-        windows.select("contig", "p", "sample", F.explode("obs").alias("o"))
-        .select("contig", "p", "sample", F.col("o.rg").alias("rg"), F.explode("o.devs").alias("d"))
-        .select("contig", "p", "sample", "rg", F.col("d.dev").alias("dev"), F.col("d.cnt").alias("cnt"))
-    )
-
-
 def frequency_seed(obs: DataFrame, state: DataFrame, rg_stats: DataFrame) -> DataFrame:
     """Share of pairs whose deviation lies within two standard deviations of the candidate length."""
     length = F.col("len0")

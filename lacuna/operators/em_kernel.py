@@ -1,8 +1,8 @@
 """Length/frequency estimation of many grid points at once, vectorised over Arrow batches.
 
-Input rows are sample windows sorted by grid point. Whole grid points are gathered until a batch
-is worth the vector overhead, so memory follows the batch size and not the partition size. Grid
-points too large for that never get here; see ``genotyping``.
+Input rows are run-length observations sorted by candidate. Whole candidates are gathered until a
+batch is worth the vector overhead, so memory follows the batch size and not the partition size.
+Grid points too large for that never get here; see ``genotyping``.
 """
 
 from __future__ import annotations
@@ -69,13 +69,6 @@ class ReadGroups:
         return np.where(regular, self.flat[self.base[rg] + np.where(regular, i, 0)], self.min_prob[rg])
 
 
-def _repeat_groups(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, index within owner) of ``count[i]`` copies of every i."""
-    owner = np.repeat(np.arange(len(count)), count)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    return owner, within
-
-
 @dataclass
 class Block:
     """Observations of a set of candidates: entries -> read groups -> samples -> candidates."""
@@ -312,58 +305,50 @@ def _final(b: Block, rgs: ReadGroups, sol: Solution, s: Settings) -> dict[str, n
     return out
 
 
-def _table_cut(table: pa.Table) -> int:
-    """Row at which the last grid point of a sorted table starts."""
-    p = table["p"].to_numpy()
-    contig = table["contig"].combine_chunks().dictionary_encode()
-    code = contig.indices.to_numpy()
-    change = np.flatnonzero((p[1:] != p[:-1]) | (code[1:] != code[:-1]))
-    return int(change[-1]) + 1 if len(change) else 0
-
-
-def _list_parts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return lengths, column.flatten()
-
-
-def _solve_table(table: pa.Table, rg_of: Callable[[pa.Array, pa.Array], tuple[np.ndarray, ReadGroups]],
-                 out_schema: pa.Schema, s: Settings) -> pa.RecordBatch | None:
-    p = table["p"].to_numpy()
-    contig = table["contig"].combine_chunks()
-    code = contig.dictionary_encode().indices.to_numpy()
-    first_row = np.concatenate([[True], (p[1:] != p[:-1]) | (code[1:] != code[:-1])])
-    window = np.cumsum(first_row) - 1
-    starts = np.flatnonzero(first_row)
-
-    cand_n, cand_values = _list_parts(table["len0s"])
-    n_cand = cand_n[starts]
-    cand_first = np.cumsum(n_cand) - n_cand
-    all_first = np.cumsum(cand_n) - cand_n
-    owner, within = _repeat_groups(n_cand)
-    len0 = cand_values.to_numpy(zero_copy_only=False).astype(np.int64)[all_first[starts][owner] + within]
-    cand_row = starts[owner]
-
-    obs_n, obs = _list_parts(table["obs"])
-    dev_n, devs = _list_parts(obs.field("devs"))
-    rg, rgs = rg_of(obs.field("rg"), obs)
-    dev = devs.field("dev").to_numpy(zero_copy_only=False).astype(np.int64)
-    cnt = devs.field("cnt").to_numpy(zero_copy_only=False).astype(float)
-
-    # Copy every level once per candidate of its grid point.
-    copies = n_cand[window]
-    s_row, s_k = _repeat_groups(copies)
-    s_c = cand_first[window[s_row]] + s_k
-    s_start = np.cumsum(copies) - copies
-    row_of_g = np.repeat(np.arange(len(obs_n)), obs_n)
-    g_copies = copies[row_of_g]
-    g_src, g_k = _repeat_groups(g_copies)
-    g_s = s_start[row_of_g[g_src]] + g_k
-    g_start = np.cumsum(g_copies) - g_copies
-    g_of_e = np.repeat(np.arange(len(dev_n)), dev_n)
-    e_src, e_k = _repeat_groups(g_copies[g_of_e])
-    block = Block(dev[e_src], cnt[e_src], g_start[g_of_e[e_src]] + e_k, g_s, rg[g_src], s_c, len(len0))
+def _changes(*codes: np.ndarray) -> np.ndarray:
+    """True where a row of sorted codes differs from the one before."""
+    first = np.zeros(len(codes[0]), bool)
+    first[:1] = True
+    for c in codes:
+        first[1:] |= c[1:] != c[:-1]
+    return first
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def _candidate_changes(table: pa.Table) -> np.ndarray:
+    return _changes(_codes(table["contig"]), table["p"].to_numpy(), table["len0"].to_numpy())
+
+
+def _solve_table(
+    table: pa.Table, resolve: Callable, out_schema: pa.Schema, s: Settings
+) -> pa.RecordBatch | None:
+    """Solves the whole candidates of a table sorted by candidate, sample and read group."""
+    new_c = _candidate_changes(table)
+    new_s = new_c | _changes(_codes(table["sample"]))
+    ok = ~table["high_cov"].to_numpy()
+    cand, samp = np.cumsum(new_c) - 1, np.cumsum(new_s) - 1
+    c_row, s_row = np.flatnonzero(new_c), np.flatnonzero(new_s)
+    len0 = table["len0"].to_numpy()[c_row]
+    cnt = table["cnt"].to_numpy().astype(float)
+    n_active = np.bincount(samp, weights=cnt, minlength=len(s_row))
+
+    rows = np.flatnonzero(ok)
+    usable = table.take(pa.array(rows))
+    rg, rgs = resolve(usable)
+    new_g = _changes(samp[rows], rg) if len(rows) else np.zeros(0, bool)
+    g_row = np.flatnonzero(new_g)
+    block = Block(
+        dev=usable["dev"].to_numpy(), cnt=cnt[rows], e_g=np.cumsum(new_g) - 1, g_s=samp[rows][g_row],
+        g_rg=rg[g_row], s_c=cand[s_row], n_c=len(len0),
+    )
+    none = np.iinfo(np.int64).max
+    first = np.full(len(s_row), none)
+    last = np.full(len(s_row), -1)
+    np.minimum.at(first, samp[rows], usable["first"].to_numpy())
+    np.maximum.at(last, samp[rows], usable["last"].to_numpy())
 
     sol = solve(block, rgs, len0, s)
     good = (sol.af >= PSEUDO) & (sol.length >= s.min_len)
@@ -374,34 +359,31 @@ def _solve_table(table: pa.Table, rg_of: Callable[[pa.Array, pa.Array], tuple[np
     small = Solution(sol.length[kept], sol.shift[g_keep], sol.af[kept], sol.prior[kept], sol.rounds[kept])
     final = _final(sub, rgs, small, s)
 
-    rows = s_row[s_keep]
-    n_active = table["n_active"].to_numpy()
-    covered = n_active[rows] >= 2
+    covered = n_active[s_keep] >= 2
     data_samples = _sum(sub.s_c, covered, sub.n_c).astype(np.int64)
     for k in range(3):
         final[f"pl{k}"][~covered] = 0
     passing = (final["lr"] >= s.min_lr)[sub.s_c]
     if not passing.any():
         return None
-    cand = sub.s_c
-    lead = np.zeros(len(cand), bool)
-    lead[np.unique(cand, return_index=True)[1]] = True
-
-    take = pa.array(rows[passing])
-    cand_p = cand[passing]
+    lead = _changes(sub.s_c)[passing]
+    c = sub.s_c[passing]
+    at = s_row[s_keep][passing]
+    take = pa.array(at)
+    low, high = first[s_keep][passing], last[s_keep][passing]
     columns: dict[str, pa.Array] = {
-        "contig": contig.take(take),
-        "p": pa.array(p[rows][passing]),
-        "len0": pa.array(len0[kept][cand_p]),
-        "iterations": pa.array(small.rounds[cand_p]),
-        "len": pa.array(small.length[cand_p]),
-        "lr": pa.array(final["lr"][cand_p]),
-        "af": pa.array(small.af[cand_p]),
-        "data_samples": pa.array(data_samples[cand_p]),
-        "lead": pa.array(lead[passing]),
-        "sample": table["sample"].combine_chunks().take(take),
-        "first": table["first"].combine_chunks().take(take),
-        "last": table["last"].combine_chunks().take(take),
+        "contig": table["contig"].take(take).combine_chunks(),
+        "p": table["p"].take(take).combine_chunks(),
+        "len0": pa.array(len0[kept][c]),
+        "iterations": pa.array(small.rounds[c]),
+        "len": pa.array(small.length[c]),
+        "lr": pa.array(final["lr"][c]),
+        "af": pa.array(small.af[c]),
+        "data_samples": pa.array(data_samples[c]),
+        "lead": pa.array(lead),
+        "sample": table["sample"].take(take).combine_chunks(),
+        "first": pa.array(low, mask=low == none),
+        "last": pa.array(high, mask=high == -1),
     }
     for name, values in final.items():
         if name != "lr":
@@ -414,49 +396,46 @@ def shared_read_groups(ids: list, arrays: dict[str, np.ndarray]) -> Callable:
     position = {rg: i for i, rg in enumerate(ids)}
     stats = ReadGroups(**arrays)
 
-    def resolve(rg: pa.Array, _: pa.Array) -> tuple[np.ndarray, ReadGroups]:
-        encoded = rg.dictionary_encode()
+    def resolve(rows: pa.Table) -> tuple[np.ndarray, ReadGroups]:
+        encoded = rows["rg"].combine_chunks().dictionary_encode()
         codes = np.array([position[v] for v in encoded.dictionary.to_pylist()], dtype=np.int64)
-        indices = encoded.indices.to_numpy(zero_copy_only=False)
-        return (codes[indices] if len(codes) else np.zeros(0, np.int64)), stats
+        return codes[encoded.indices.to_numpy(zero_copy_only=False)], stats
 
     return resolve
 
 
-def joined_read_groups(rg: pa.Array, obs: pa.StructArray) -> tuple[np.ndarray, ReadGroups]:
-    """Read groups from statistics that travel with the observations."""
-    encoded = rg.dictionary_encode()
+def joined_read_groups(rows: pa.Table) -> tuple[np.ndarray, ReadGroups]:
+    """Read groups from statistics that travel on the first row of every read group."""
+    encoded = rows["rg"].combine_chunks().dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.unique(codes, return_index=True)[1]
-    return codes, ReadGroups.from_arrow(obs.field("stats").take(pa.array(first)))
+    stats = rows["stats"].combine_chunks()
+    carries = np.flatnonzero(stats.is_valid().to_numpy(zero_copy_only=False))
+    at = carries[np.unique(codes[carries], return_index=True)[1]]
+    return codes, ReadGroups.from_arrow(stats.take(pa.array(at)))
 
 
-def kernel(resolver: Callable, out_schema: pa.Schema, s: Settings) -> Callable:
-    """Function for ``mapInArrow`` over partitions that hold whole, sorted grid points."""
+def kernel(resolve: Callable, out_schema: pa.Schema, s: Settings) -> Callable:
+    """Function for ``mapInArrow`` over partitions that hold whole, sorted candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
         waiting = 0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             pending.append(batch)
-            waiting += len(batch.column("obs").flatten().field("devs").flatten())
+            waiting += batch.num_rows
             if waiting < BATCH_OBS:
                 continue
             table = pa.Table.from_batches(pending)
-            cut = _table_cut(table)
+            cut = int(np.flatnonzero(_candidate_changes(table))[-1])
             if cut == 0:
                 continue
-            result = _solve_table(table.slice(0, cut).combine_chunks(), resolver, out_schema, s)
+            result = _solve_table(table.slice(0, cut), resolve, out_schema, s)
             if result is not None:
                 yield result
-            rest = table.slice(cut).combine_chunks()
-            pending = rest.to_batches()
-            waiting = sum(len(x.column("obs").flatten().field("devs").flatten()) for x in pending)
-        if pending:
-            table = pa.Table.from_batches(pending).combine_chunks()
-            result = _solve_table(table, resolver, out_schema, s)
+            pending = table.slice(cut).combine_chunks().to_batches()
+            waiting = sum(b.num_rows for b in pending)
+        if waiting:
+            result = _solve_table(pa.Table.from_batches(pending), resolve, out_schema, s)
             if result is not None:
                 yield result
 

@@ -8,7 +8,7 @@ same steps as distributed aggregations, one round per iteration.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -18,7 +18,7 @@ from lacuna.operators import em
 from lacuna.operators.em_kernel import (
     SAME_FREQUENCY, ReadGroups, Settings, joined_read_groups, kernel, shared_read_groups,
 )
-from lacuna.operators.windows import support_positions
+from lacuna.operators.windows import active_pairs, grid_bin, support_positions
 from lacuna.session import materialise
 
 #: Observations per grid point beyond which it is solved by distributed aggregation.
@@ -30,36 +30,36 @@ STATS = ["offset", "values", "min_prob", "median", "stddev", "lower_q", "upper_q
 COUNTS = ["lad_ref", "lad_amb", "lad_del", "dad_ref", "dad_both", "dad_between", "dad_alt", "dad_right"]
 
 
-def genotype_schema(windows: DataFrame) -> T.StructType:
+def genotype_schema(observed: DataFrame) -> T.StructType:
     """Schema of genotyped grid points: one row per candidate and sample with data."""
     big, dbl = T.LongType(), T.DoubleType()
     fields = [
         ("contig", T.StringType()), ("p", big), ("len0", big), ("iterations", big), ("len", big),
         ("lr", dbl), ("af", dbl), ("data_samples", big), ("lead", T.BooleanType()),
-        ("sample", windows.schema["sample"].dataType), ("first", big), ("last", big),
+        ("sample", observed.schema["sample"].dataType), ("first", big), ("last", big),
         ("pl0", big), ("pl1", big), ("pl2", big), *[(c, big) for c in COUNTS],
     ]
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
-def candidate_windows(windows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Sample windows of the grid points with candidates, with all candidate lengths of the point."""
-    lengths = candidates.groupBy("contig", "p").agg(F.array_sort(F.collect_set("len0")).alias("len0s"))
-    entries = F.aggregate("obs", F.lit(0).cast("bigint"), lambda a, o: a + F.size(o["devs"]))
-    return windows.join(lengths, ["contig", "p"]).withColumn("entries", entries * F.size("len0s"))
+def candidate_observations(loaded: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Observations of the grid points with candidates, once per candidate length."""
+    return loaded.select(
+        "contig", "p", "sample", "rg", "dev", "cnt", "first", "last", "high_cov"
+    ).join(candidates, ["contig", "p"])
 
 
 def genotype_windows(
-    windows: DataFrame, density: DataFrame, settings: Settings, max_local: int = MAX_LOCAL_OBS,
+    observed: DataFrame, density: DataFrame, settings: Settings, max_local: int = MAX_LOCAL_OBS,
     max_shared: int = MAX_SHARED_SLOTS,
 ) -> DataFrame:
-    """Solves candidate windows. ``windows`` must be materialised: it is read several times."""
-    weights = windows.groupBy("contig", "p").agg(F.sum("entries").alias("w"))
+    """Solves candidates. ``observed`` must be materialised: it is read several times."""
+    weights = observed.groupBy("contig", "p").agg(F.count(F.lit(1)).alias("w"))
     large = weights.where(F.col("w") > max_local).select("contig", "p")
     if large.isEmpty():
-        return solve_in_batches(windows, density, settings, max_shared)
-    small = windows.join(large, ["contig", "p"], "left_anti")
-    wide = windows.join(large, ["contig", "p"], "left_semi")
+        return solve_in_batches(observed, density, settings, max_shared)
+    small = observed.join(large, ["contig", "p"], "left_anti")
+    wide = observed.join(large, ["contig", "p"], "left_semi")
     return solve_in_batches(small, density, settings, max_shared).unionByName(
         solve_distributed(wide, density, settings)
     )
@@ -81,61 +81,57 @@ def _shared(density: DataFrame, max_slots: int) -> tuple[list, dict] | None:
 
 
 def solve_in_batches(
-    windows: DataFrame, density: DataFrame, settings: Settings, max_shared: int = MAX_SHARED_SLOTS
+    observed: DataFrame, density: DataFrame, settings: Settings, max_shared: int = MAX_SHARED_SLOTS
 ) -> DataFrame:
-    schema = genotype_schema(windows)
-    spark = windows.sparkSession
+    schema = genotype_schema(observed)
+    arrow = to_arrow_schema(schema)
     shared = _shared(density, max_shared)
     if shared is not None:
-        handle = spark.sparkContext.broadcast(shared)
-        arrow = _arrow(schema)
+        handle = observed.sparkSession.sparkContext.broadcast(shared)
+        rows = observed
 
         def run(batches):
             return kernel(shared_read_groups(*handle.value), arrow, settings)(batches)
 
-        rows = windows.select("contig", "p", "sample", "n_active", "first", "last", "len0s", "obs")
     else:
-        rows = _attach_stats(windows, density)
-        arrow = _arrow(schema)
+        rows = _attach_stats(observed, density)
 
         def run(batches):
             return kernel(joined_read_groups, arrow, settings)(batches)
 
     return (
         rows.repartition("contig", "p")
-        .sortWithinPartitions("contig", "p")
+        .sortWithinPartitions("contig", "p", "len0", "sample", "rg", "dev")
         .mapInArrow(run, schema)
     )
 
 
-def _arrow(schema: T.StructType) -> pa.Schema:
-    return to_arrow_schema(schema)
+def _attach_stats(observed: DataFrame, density: DataFrame) -> DataFrame:
+    """Observations with the statistics of their read group, for densities too big to broadcast.
 
-
-def _attach_stats(windows: DataFrame, density: DataFrame) -> DataFrame:
-    """Observations with the statistics of their read group, for densities too big to broadcast."""
-    keys = ["contig", "p", "sample"]
+    Only the first row of a read group at a candidate carries the array.
+    """
+    group = Window.partitionBy("contig", "p", "len0", "sample", "rg").orderBy("dev")
+    ranked = observed.repartition("contig", "p", "sample").withColumn("_rn", F.row_number().over(group))
     stats = density.select("rg", F.struct(*STATS).alias("stats"))
-    exploded = windows.select(*keys, F.explode("obs").alias("o")).select(
-        *keys, F.col("o.rg").alias("rg"), F.col("o.devs").alias("devs")
-    )
-    nested = (
-        exploded.join(stats, "rg")
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("rg", "devs", "stats")).alias("obs"))
-    )
-    kept = windows.select(*keys, "n_active", "first", "last", "len0s")
-    empty = F.array().cast(nested.schema["obs"].dataType)
-    return kept.join(nested, keys, "left").withColumn("obs", F.coalesce("obs", empty))
+    first = ranked.where("_rn = 1").join(stats, "rg")
+    rest = ranked.where("_rn > 1").withColumn("stats", F.lit(None).cast(stats.schema["stats"].dataType))
+    return first.unionByName(rest).drop("_rn")
 
 
 # ---------------------------------------------------------------- one grid point over many tasks
 
 
-def solve_distributed(windows: DataFrame, density: DataFrame, s: Settings) -> DataFrame:
+def solve_distributed(observed: DataFrame, density: DataFrame, s: Settings) -> DataFrame:
     """Same estimation, every sum a distributed aggregation, state materialised per round."""
-    obs = em.explode_obs(windows)
-    start = windows.select("contig", "p", F.explode("len0s").alias("len0")).distinct()
+    # Observations repeat per candidate; one copy per grid point is enough here.
+    obs = observed.where(~F.col("high_cov")).select("contig", "p", "sample", "rg", "dev", "cnt").distinct()
+    windows = observed.groupBy("contig", "p", "len0", "sample").agg(
+        F.sum("cnt").alias("n_active"),
+        F.min(F.when(~F.col("high_cov"), F.col("first"))).alias("first"),
+        F.max(F.when(~F.col("high_cov"), F.col("last"))).alias("last"),
+    )
+    start = observed.select(*em.KEY).distinct()
     seed = em.frequency_seed(obs, start, density).where(F.col("af") > 0)
     state = em.with_prior(seed, s.cell_population).select(
         *em.KEY, F.col("len0").alias("len"), "af", "g0", "g1", "g2",
@@ -228,24 +224,20 @@ def _finish(windows, obs, state, density, shifts, s: Settings) -> DataFrame:
     scores = logs.select(*em.KEY, "sample", *[pl[k].alias(f"pl{k}") for k in range(3)])
     lad = em.depth_classes(dens)
     dad = em.distribution_classes(obs, good, density, s.strict)
-    covered = (
-        windows.groupBy("contig", "p")
-        .agg(F.sum((F.col("n_active") >= 2).cast("bigint")).alias("data_samples"))
+    covered = windows.groupBy(*em.KEY).agg(
+        F.count_if(F.col("n_active") >= 2).alias("data_samples"), F.min("sample").alias("leader")
     )
     keys = [*em.KEY, "sample"]
     zero = F.lit(0).cast("bigint")
     rows = (
-        windows.select("contig", "p", "sample", "n_active", "first", "last")
-        .join(passing, ["contig", "p"])
-        .join(covered, ["contig", "p"])
+        windows.join(passing, em.KEY)
+        .join(covered, em.KEY)
         .join(scores, keys, "left")
         .join(lad, keys, "left")
         .join(dad, keys, "left")
     )
-    # The first sample by order speaks for the candidate; min_by combines on the map side.
-    leaders = windows.groupBy("contig", "p").agg(F.min("sample").alias("leader"))
     low = F.col("n_active") < 2
-    return rows.join(leaders, ["contig", "p"]).select(
+    return rows.select(
         *em.KEY, "iterations", "len", "lr", "af", "data_samples",
         (F.col("sample") == F.col("leader")).alias("lead"),
         "sample", "first", "last",
@@ -264,8 +256,6 @@ def supported(
 
     ``hot(contig, p, rg)`` lists saturated read groups, which do not support anything.
     """
-    from lacuna.operators.windows import active_pairs
-
     lead = genotyped.where("lead").select(*em.KEY, "len")
     borders = density.select("rg", "lower_q", "upper_q")
     support = (
@@ -302,8 +292,6 @@ def window_calls(
 
 def first_grid_points(spanned: DataFrame) -> DataFrame:
     """Grid bin of the first pair per contig."""
-    from lacuna.operators.windows import grid_bin
-
     return spanned.groupBy("contig").agg(F.min(grid_bin(F.col("start"))).alias("first_p"))
 
 
@@ -319,7 +307,3 @@ def sample_order(samples: DataFrame) -> DataFrame:
     return samples.select("sample").distinct().withColumn(
         "column", (F.row_number().over(Window.orderBy("sample")) - 1).cast("bigint")
     )
-
-
-def count_samples(spark: SparkSession, samples: DataFrame) -> int:
-    return samples.select("sample").distinct().count()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.arrays import upper_quartile, weighted_upper_quartile
+from lacuna.functions.arrays import round_half_up, upper_quartile_rank
 from lacuna.params import GRID_STEP, PROFILE_WINDOW
 
 #: Values of one axis closer than this belong to one candidate length.
@@ -93,66 +93,63 @@ def deviation_counts(active: DataFrame) -> DataFrame:
     )
 
 
-def read_group_load(counts: DataFrame, max_load: DataFrame | None, default_load: int) -> DataFrame:
-    """Per grid point and read group: load, limits reached, deviations of the ones below the limit."""
-    loads = (
-        # One hash exchange serves this grouping and the one per sample that follows.
-        counts.repartition("contig", "p", "sample")
-        .groupBy("contig", "p", "sample", "rg")
-        .agg(
-            F.sum("cnt").alias("n"),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.collect_list(F.struct("dev", "cnt")).alias("devs"),
-        )
-    )
+def with_load(counts: DataFrame, max_load: DataFrame | None, default_load: int) -> DataFrame:
+    """Adds the load ``n`` of the read group at the grid point and whether it is saturated."""
     if max_load is None:
-        limited = loads.withColumn("max_load", F.lit(default_load).cast("bigint"))
+        limited = counts.withColumn("max_load", F.lit(default_load).cast("bigint"))
     else:
-        limited = loads.join(max_load.select("rg", "max_load"), "rg", "left").withColumn(
+        limited = counts.join(max_load.select("rg", "max_load"), "rg", "left").withColumn(
             "max_load", F.coalesce("max_load", F.lit(default_load).cast("bigint"))
         )
-    return limited.withColumn("high_cov", F.col("n") >= F.col("max_load")).withColumn(
-        "devs", F.when(~F.col("high_cov"), F.col("devs"))
+    group = Window.partitionBy("contig", "p", "sample", "rg")
+    # One hash exchange serves this window and everything per sample that follows.
+    return (
+        limited.repartition("contig", "p", "sample")
+        .withColumn("n", F.sum("cnt").over(group))
+        .withColumn("high_cov", F.col("n") >= F.col("max_load"))
+        .drop("max_load")
     )
 
 
-def sample_windows(loads: DataFrame, rg_thresholds: DataFrame | None = None) -> DataFrame:
-    """One row per grid point and sample.
+def usable(loaded: DataFrame) -> DataFrame:
+    """Observations ``(contig, p, sample, rg, dev, cnt)`` of the read groups below their limit."""
+    return loaded.where(~F.col("high_cov")).select("contig", "p", "sample", "rg", "dev", "cnt")
 
-    ``obs`` holds the deviations per usable read group. Saturated groups, listed in ``hot``, count
-    towards ``n_active`` (data is present) but contribute no deviations.
+
+def sample_windows(loaded: DataFrame, rg_thresholds: DataFrame) -> DataFrame:
+    """One row per grid point and sample: load, outermost positions, third quartile, threshold.
+
+    Saturated groups count towards ``n_active`` (data is present) but contribute no deviations.
+    ``q3`` is NULL with fewer than two active pairs or without usable ones.
     """
-    if rg_thresholds is not None:
-        loads = loads.join(rg_thresholds.select("rg", "min_init_len"), "rg")
-    else:
-        loads = loads.withColumn("min_init_len", F.lit(0).cast("bigint"))
-    usable = ~F.col("high_cov")
-    return loads.groupBy("contig", "p", "sample").agg(
-        F.sum("n").alias("n_active"),
-        F.min(F.when(usable, F.col("first"))).alias("first"),
-        F.max(F.when(usable, F.col("last"))).alias("last"),
+    whole = Window.partitionBy("contig", "p", "sample")
+    # Saturated groups sort last, so running counts over the usable rows are unaffected by them.
+    running = whole.orderBy("high_cov", "dev", "rg").rowsBetween(Window.unboundedPreceding, 0)
+    ok = ~F.col("high_cov")
+    ranked = (
+        loaded.join(rg_thresholds.select("rg", "min_init_len"), "rg")
+        .withColumn("m", F.sum(F.when(ok, F.col("cnt")).otherwise(0)).over(whole))
+        .withColumn("upto", F.sum("cnt").over(running))
+        .withColumn("low", F.floor(upper_quartile_rank(F.col("m"))).cast("bigint"))
+    )
+    holds = lambda k: ok & (F.col("upto") > k) & (F.col("upto") - F.col("cnt") <= k)
+    merged = ranked.groupBy("contig", "p", "sample").agg(
+        F.sum("cnt").alias("n_active"),
+        F.max("m").alias("m"),
+        F.min(F.when(ok, F.col("first"))).alias("first"),
+        F.max(F.when(ok, F.col("last"))).alias("last"),
         F.min("min_init_len").alias("threshold"),
-        F.collect_list(F.when(usable, F.struct("rg", "devs"))).alias("obs"),
-        F.collect_list(F.when(~usable, F.col("rg"))).alias("hot"),
+        F.max(F.when(ok, F.col("dev"))).alias("top"),
+        F.max(F.when(holds(F.col("low")), F.col("dev"))).alias("v0"),
+        F.max(F.when(holds(F.col("low") + 1), F.col("dev"))).alias("v1"),
     )
-
-
-def with_upper_quartile(windows: DataFrame) -> DataFrame:
-    """Adds ``q3`` of the sample's deviations; NULL where it has fewer than two active pairs."""
-    merged = F.array_sort(F.flatten(F.transform("obs", lambda o: o["devs"])))
-    # A column of its own: the sorted array is read several times but built once.
-    return windows.withColumn("_sorted", merged).withColumn(
-        "q3",
-        F.when((F.col("n_active") >= 2) & (F.size("obs") > 0), weighted_upper_quartile(F.col("_sorted"))),
-    ).drop("_sorted")
-
-
-def quartile_of_active(active: DataFrame) -> DataFrame:
-    """``q3`` per grid point and sample straight from active pairs."""
-    return active.groupBy("contig", "p", "sample").agg(
-        upper_quartile(F.array_sort(F.collect_list("dev"))).alias("q3")
+    pos = upper_quartile_rank(F.col("m"))
+    frac = pos - F.floor(pos)
+    mixed = round_half_up((1 - frac) * F.col("v0") + frac * F.col("v1"))
+    q3 = F.when(
+        (F.col("n_active") >= 2) & (F.col("m") > 0), F.when(F.col("m") < 4, F.col("top")).otherwise(mixed)
     )
+    return merged.withColumn("q3", q3).drop("m", "top", "v0", "v1")
 
 
 def candidate_lengths(quartiles: DataFrame) -> DataFrame:

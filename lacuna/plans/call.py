@@ -99,15 +99,13 @@ def call_deletions(
 
         spanned = admitted_pairs(spanned, max_load, params.load_limit)
 
-    loads = windows.read_group_load(
-        windows.deviation_counts(pruned_active(spanned, thresholds)), max_load, params.load_limit
-    )
-    grid = materialise(windows.sample_windows(loads, thresholds))
-    candidates = windows.candidate_lengths(windows.with_upper_quartile(grid))
-    ready = materialise(genotyping.candidate_windows(grid, candidates))
-    genotyped = materialise(genotyping.genotype_windows(ready, density, settings))
+    counts = windows.deviation_counts(pruned_active(spanned, thresholds))
+    loaded = materialise(windows.with_load(counts, max_load, params.load_limit))
+    candidates = windows.candidate_lengths(windows.sample_windows(loaded, thresholds))
+    observed = materialise(genotyping.candidate_observations(loaded, candidates))
+    genotyped = materialise(genotyping.genotype_windows(observed, density, settings))
 
-    hot = ready.select("contig", "p", F.explode("hot").alias("rg"))
+    hot = observed.where("high_cov").select("contig", "p", "rg").distinct()
     positions = genotyping.supported(genotyped, spanned, hot, density)
     calls = genotyping.window_calls(
         genotyped, positions, n_samples, params.min_sample_fraction, params.window_wise

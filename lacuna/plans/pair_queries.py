@@ -48,9 +48,10 @@ def active_coverage(spark, sf):
     "active",
 )
 def high_cov_exclusion(spark, sf):
-    loads = Pairs(spark, sf, max_load=3).loads
-    n_dev = F.when(F.col("devs").isNull(), 0).otherwise(F.size("devs")).cast("bigint")
-    return loads.select("contig", "p", "sample", "rg", "n", "high_cov", n_dev.alias("n_dev"))
+    loaded = Pairs(spark, sf, max_load=3).loaded
+    return loaded.groupBy("contig", "p", "sample", "rg", "n", "high_cov").agg(
+        F.count_if(~F.col("high_cov")).alias("n_dev")
+    )
 
 
 @query(
@@ -91,8 +92,7 @@ GROUP BY contig, p, len0""",
 def support_percentiles(spark, sf):
     b = Pairs.stage(spark, sf)
     lead = b.candidates.withColumn("lead", F.lit(True)).withColumn("len", F.col("len0"))
-    hot = b.loads.where("high_cov").select("contig", "p", "rg")
-    return genotyping.supported(lead, b.spanned, hot, b.density)
+    return genotyping.supported(lead, b.spanned, b.hot, b.density)
 
 
 @query(
@@ -101,8 +101,7 @@ def support_percentiles(spark, sf):
     "q3",
 )
 def upper_half_median(spark, sf):
-    quartiles = windows.with_upper_quartile(Pairs(spark, sf).windows)
-    return quartiles.where(F.col("q3").isNotNull()).select("contig", "p", "sample", "q3")
+    return Pairs(spark, sf).windows.where(F.col("q3").isNotNull()).select("contig", "p", "sample", "q3")
 
 
 @query("candidate_lengths", "SELECT contig, p, len0 FROM cand", "cand")
@@ -403,8 +402,7 @@ def _merged(spark, sf):
 
     b = Pairs.stage(spark, sf)
     genotyped = materialise(b.genotyped(SMALL))
-    hot = b.loads.where("high_cov").select("contig", "p", "rg")
-    positions = genotyping.supported(genotyped, b.spanned, hot, b.density)
+    positions = genotyping.supported(genotyped, b.spanned, b.hot, b.density)
     calls = genotyping.window_calls(genotyped, positions, N_SAMPLES, SMALL.min_sample_fraction)
     calls = genotyping.with_segments(calls, genotyping.first_grid_points(b.spanned), 10_000)
     return merging.merge_calls(calls, genotyped, 50.0, N_SAMPLES, 0.0, keep_failed=True)

@@ -97,8 +97,9 @@ class Pairs:
         return windows.active_pairs(self.spanned)
 
     @cached_property
-    def loads(self) -> DataFrame:
-        return windows.read_group_load(windows.deviation_counts(self.active), None, self.max_load)
+    def loaded(self) -> DataFrame:
+        counts = windows.deviation_counts(self.active)
+        return self._keep(windows.with_load(counts, None, self.max_load))
 
     @cached_property
     def thresholds(self) -> DataFrame:
@@ -106,15 +107,19 @@ class Pairs:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return self._keep(windows.sample_windows(self.loads, self.thresholds))
+        return windows.sample_windows(self.loaded, self.thresholds)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return windows.candidate_lengths(windows.with_upper_quartile(self.windows))
+        return self._keep(windows.candidate_lengths(self.windows))
 
     @cached_property
     def obs(self) -> DataFrame:
-        return em.explode_obs(self.windows)
+        return windows.usable(self.loaded)
+
+    @cached_property
+    def hot(self) -> DataFrame:
+        return self.loaded.where("high_cov").select("contig", "p", "rg").distinct()
 
     @cached_property
     def seeds(self) -> DataFrame:
@@ -138,7 +143,7 @@ class Pairs:
         )
 
     def genotyped(self, params: CallParams) -> DataFrame:
-        ready = materialise(genotyping.candidate_windows(self.windows, self.candidates))
+        ready = materialise(genotyping.candidate_observations(self.loaded, self.candidates))
         return genotyping.genotype_windows(ready, self.density, self.settings(params))
 
 
