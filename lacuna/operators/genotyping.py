@@ -125,7 +125,9 @@ def _attach_stats(observed: DataFrame, density: DataFrame) -> DataFrame:
 def solve_distributed(observed: DataFrame, density: DataFrame, s: Settings) -> DataFrame:
     """Same estimation, every sum a distributed aggregation, state materialised per round."""
     # Observations repeat per candidate; one copy per grid point is enough here.
-    obs = observed.where(~F.col("high_cov")).select("contig", "p", "sample", "rg", "dev", "cnt").distinct()
+    obs = materialise(
+        observed.where(~F.col("high_cov")).select("contig", "p", "sample", "rg", "dev", "cnt").distinct()
+    )
     windows = observed.groupBy("contig", "p", "len0", "sample").agg(
         F.sum("cnt").alias("n_active"),
         F.min(F.when(~F.col("high_cov"), F.col("first"))).alias("first"),
@@ -153,15 +155,16 @@ def solve_distributed(observed: DataFrame, density: DataFrame, s: Settings) -> D
 
 
 def _round(obs, active, density, shifts, s: Settings) -> tuple[DataFrame, DataFrame]:
-    before = em.pair_densities(obs, active, density, shifts)
-    d = em.scaled_likelihoods(em.log_likelihoods(before, "sample"))
+    # Every relation below feeds several others, so each is written once.
+    before = materialise(em.pair_densities(obs, active, density, shifts))
+    d = materialise(em.scaled_likelihoods(em.log_likelihoods(before, "sample")))
     groups = em.group_likelihoods(em.log_likelihoods(before, "rg"))
-    new_len = em.length_update(before, d, active)
-    new_shift = em.shift_update(before, groups, active)
+    new_len = materialise(em.length_update(before, d, active))
+    new_shift = materialise(em.shift_update(before, groups, active))
 
     moved = active.drop("len").join(new_len, em.KEY)
     after = em.pair_densities(obs, moved, density, new_shift)
-    new_d = em.scaled_likelihoods(em.log_likelihoods(after, "sample"))
+    new_d = materialise(em.scaled_likelihoods(em.log_likelihoods(after, "sample")))
     new_af = em.frequency_update(new_d, active, s.n_samples)
     weights = em.with_prior(new_af, s.cell_population)
     lr_before = em.likelihood_ratio(d, active, s.n_samples).withColumnRenamed("lr", "lr_before")
@@ -211,8 +214,8 @@ def _round(obs, active, density, shifts, s: Settings) -> tuple[DataFrame, DataFr
 
 def _finish(windows, obs, state, density, shifts, s: Settings) -> DataFrame:
     good = state.where((F.col("af") >= G.PSEUDO) & (F.col("len") >= s.min_len))
-    dens = em.pair_densities(obs, good, density, shifts)
-    logs = em.log_likelihoods(dens, "sample")
+    dens = materialise(em.pair_densities(obs, good, density, shifts))
+    logs = materialise(em.log_likelihoods(dens, "sample"))
     lr = em.likelihood_ratio(em.scaled_likelihoods(logs), good, s.n_samples)
     passing = good.select(*em.KEY, "iterations", "len", "af").join(
         lr.where(F.col("lr") >= s.min_lr), em.KEY
