@@ -124,6 +124,8 @@ def _attach_stats(observed: DataFrame, density: DataFrame) -> DataFrame:
 
 def solve_distributed(observed: DataFrame, density: DataFrame, s: Settings) -> DataFrame:
     """Same estimation, every sum a distributed aggregation, state materialised per round."""
+    if density.agg(F.sum(F.size("values"))).first()[0] <= MAX_SHARED_SLOTS:
+        density = F.broadcast(density)
     # Observations repeat per candidate; one copy per grid point is enough here.
     obs = materialise(
         observed.where(~F.col("high_cov")).select("contig", "p", "sample", "rg", "dev", "cnt").distinct()
@@ -253,14 +255,14 @@ def _finish(windows, obs, state, density, shifts, s: Settings) -> DataFrame:
 
 
 def supported(
-    genotyped: DataFrame, spanned: DataFrame, hot: DataFrame, density: DataFrame
+    genotyped: DataFrame, spanned: DataFrame, hot: DataFrame, rg_stats: DataFrame
 ) -> DataFrame:
     """Window calls with the positions their supporting pairs point at; unsupported ones drop out.
 
     ``hot(contig, p, rg)`` lists saturated read groups, which do not support anything.
     """
     lead = genotyped.where("lead").select(*em.KEY, "len")
-    borders = density.select("rg", "lower_q", "upper_q")
+    borders = rg_stats.select("rg", "lower_q", "upper_q")
     support = (
         active_pairs(spanned)
         .join(lead, ["contig", "p"])

@@ -12,7 +12,7 @@ from lacuna.functions.text import sample_format
 from lacuna.operators import em, genotyping, histograms, intervals, merging, reads, render, windows
 from lacuna.operators.em_kernel import Settings
 from lacuna.params import CallParams
-from lacuna.session import materialise
+from lacuna.session import materialise, shared
 from lacuna.sources.profiles import Profile, check_read_groups, per_sample_read_groups
 
 #: Grid points with outliers up to which they are broadcast to prune the grid (about 32 bytes each).
@@ -42,13 +42,12 @@ def cohort_density(profile: Profile, params: CallParams) -> DataFrame:
     return materialise(shaped)
 
 
-def spanned_pairs(profile: Profile, density: DataFrame, regions: DataFrame | None) -> DataFrame:
+def spanned_pairs(profile: Profile, groups: DataFrame, regions: DataFrame | None) -> DataFrame:
     """Read pairs with their sample and span, restricted to the regions of interest.
 
     Contig and window bounds reach the Parquet scan as partition and row-group filters where the
     regions are few; membership itself is tested on the 30-bp bin of the start.
     """
-    groups = density.select("rg", "sample", "median", "read_len")
     pairs = reads.from_profile(profile.pairs, groups).join(groups.select("rg", "sample"), "rg")
     if regions is not None:
         binned = pairs.withColumn("bin30", windows.grid_bin(F.col("start")))
@@ -80,9 +79,11 @@ def call_deletions(
         profile = per_sample_read_groups(profile)
     check_read_groups(profile)
     density = cohort_density(profile, params)
-    thresholds = histograms.initial_thresholds(density.select("rg", "stddev"), params.min_init_len)
+    # Everything per read group except the arrays, which are handled where they are needed.
+    groups = shared(density.drop("values"))
+    thresholds = histograms.initial_thresholds(groups.select("rg", "stddev"), params.min_init_len)
     scalars = histograms.cohort_scalars(thresholds).first()
-    order = genotyping.sample_order(density)
+    order = genotyping.sample_order(groups)
     n_samples = order.count()
     settings = Settings(
         n_samples=n_samples,
@@ -93,7 +94,7 @@ def call_deletions(
         strict=params.strict_parity,
     )
     regions = None if rois is None else intervals.regions_of_interest(rois, profile.contigs)
-    spanned = spanned_pairs(profile, density, regions)
+    spanned = spanned_pairs(profile, groups, regions)
     if params.strict_parity:
         from lacuna.streaming.admission import admitted_pairs
 
@@ -106,7 +107,7 @@ def call_deletions(
     genotyped = materialise(genotyping.genotype_windows(observed, density, settings))
 
     hot = observed.where("high_cov").select("contig", "p", "rg").distinct()
-    positions = genotyping.supported(genotyped, spanned, hot, density)
+    positions = genotyping.supported(genotyped, spanned, hot, groups)
     calls = genotyping.window_calls(
         genotyped, positions, n_samples, params.min_sample_fraction, params.window_wise
     )

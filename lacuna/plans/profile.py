@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lacuna.operators import histograms, intervals, reads
 from lacuna.params import ParameterError, ProfileParams
-from lacuna.session import materialise
+from lacuna.session import materialise, shared
 from lacuna.sources.profiles import Profile
 
 
 def with_merged_groups(rows: DataFrame, read_groups: DataFrame) -> DataFrame:
     """Replaces every read group by the first one of its sample."""
-    first = read_groups.groupBy("sample").agg(F.min("rg").alias("_first"))
+    first = shared(materialise(read_groups.groupBy("sample").agg(F.min("rg").alias("_first"))))
     return rows.join(first, "sample").withColumn("rg", F.col("_first")).drop("_first")
 
 
@@ -81,7 +81,7 @@ def build_profile(
     if params.merge_read_groups:
         records = with_merged_groups(records, groups)
         groups = records.select("rg", "sample").distinct()
-    groups = materialise(groups)
+    groups = shared(materialise(groups))
     regions = None
     if rois is not None:
         regions = intervals.regions_of_interest(rois, contigs, params.max_deletion)
@@ -90,9 +90,10 @@ def build_profile(
     else:
         on = intervals.whole_contigs(contigs) if regions is None else regions
         wanted = intervals.default_sampling(spark, params.reference, on)
-    itvs = numbered(wanted, contigs)
+    itvs = shared(materialise(numbered(wanted, contigs)))
     sampled = reads.sampled_sizes(records, itvs, params)
     hist, stats = read_group_statistics(sampled, groups, itvs, params)
+    stats = shared(stats)
     pairs = reads.read_pairs(records, stats, params, regions)
     kept = hist.join(stats.select("rg", "lo", "hi"), "rg").where(
         (F.col("size") >= F.col("lo")) & (F.col("size") < F.col("hi"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "lacuna") -> SparkSession:
@@ -42,3 +43,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder so that several consumers read it back."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a narrow dimension table is broadcast; about 100 bytes each.
+MAX_SHARED_ROWS = 500_000
+
+
+def shared(df: DataFrame, max_rows: int = MAX_SHARED_ROWS) -> DataFrame:
+    """Broadcast hint for a small, materialised dimension table, after counting it.
+
+    Its statistics are unknown to the planner, which would otherwise shuffle the large side by a
+    key that may be skewed. Beyond the limit the join is left to the planner and its skew handling.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
