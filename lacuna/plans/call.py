@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import genotype as G
 from lacuna.functions.text import sample_format
 from lacuna.operators import em, genotyping, histograms, intervals, merging, reads, render, windows
 from lacuna.operators.em_kernel import Settings
-from lacuna.params import CallParams
+from lacuna.params import PROFILE_WINDOW, CallParams
 from lacuna.session import materialise, shared
 from lacuna.sources.profiles import Profile, check_read_groups, per_sample_read_groups
 
 #: Grid points with outliers up to which they are broadcast to prune the grid (about 32 bytes each).
 MAX_SHARED_WINDOWS = 1_000_000
+#: Contigs with regions up to which their bounds become a scan filter.
+MAX_BOUND_CONTIGS = 200
 
 
 @dataclass(frozen=True)
@@ -42,13 +45,34 @@ def cohort_density(profile: Profile, params: CallParams) -> DataFrame:
     return materialise(shaped)
 
 
+def scan_bounds(regions: DataFrame) -> Column | None:
+    """Contig and window bounds of the regions as a literal filter, where they are few enough.
+
+    Literals reach the Parquet scan as partition and row-group filters.
+    """
+    bounds = regions.groupBy("contig").agg(F.min("beg").alias("beg"), F.max("end").alias("end"))
+    rows = bounds.limit(MAX_BOUND_CONTIGS + 1).collect()
+    if not rows or len(rows) > MAX_BOUND_CONTIGS:
+        return None
+    # A pair's window may start up to one window before the region.
+    tests = [
+        (F.col("contig") == r["contig"])
+        & (F.col("win") > r["beg"] - PROFILE_WINDOW) & (F.col("win") < r["end"])
+        for r in rows
+    ]
+    return functools.reduce(lambda x, y: x | y, tests)
+
+
 def spanned_pairs(profile: Profile, groups: DataFrame, regions: DataFrame | None) -> DataFrame:
     """Read pairs with their sample and span, restricted to the regions of interest.
 
-    Contig and window bounds reach the Parquet scan as partition and row-group filters where the
-    regions are few; membership itself is tested on the 30-bp bin of the start.
+    Membership is tested on the 30-bp bin of the start.
     """
-    pairs = reads.from_profile(profile.pairs, groups).join(groups.select("rg", "sample"), "rg")
+    stored = profile.pairs
+    bounds = None if regions is None else scan_bounds(regions)
+    if bounds is not None:
+        stored = stored.where(bounds)
+    pairs = reads.from_profile(stored, groups).join(groups.select("rg", "sample"), "rg")
     if regions is not None:
         binned = pairs.withColumn("bin30", windows.grid_bin(F.col("start")))
         pairs = intervals.windows_in_regions(binned, "bin30", regions.select("contig", "beg", "end")).drop("bin30")
@@ -93,7 +117,9 @@ def call_deletions(
         cell_population=params.cell_population,
         strict=params.strict_parity,
     )
-    regions = None if rois is None else intervals.regions_of_interest(rois, profile.contigs)
+    regions = None
+    if rois is not None:
+        regions = shared(materialise(intervals.regions_of_interest(rois, profile.contigs)))
     spanned = spanned_pairs(profile, groups, regions)
     if params.strict_parity:
         from lacuna.streaming.admission import admitted_pairs

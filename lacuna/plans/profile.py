@@ -84,7 +84,7 @@ def build_profile(
     groups = shared(materialise(groups))
     regions = None
     if rois is not None:
-        regions = intervals.regions_of_interest(rois, contigs, params.max_deletion)
+        regions = shared(materialise(intervals.regions_of_interest(rois, contigs, params.max_deletion)))
     if sampling is not None:
         wanted = intervals.parse_regions(sampling)
     else:
