@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import genotype as G
 from lacuna.functions.text import sample_format
 from lacuna.operators import em, genotyping, histograms, intervals, merging, reads, render, windows
 from lacuna.operators.em_kernel import Settings
@@ -159,7 +158,3 @@ def vcf_records(result: Calls) -> DataFrame:
     return render.vcf_lines(
         info, render.call_cells(kept, em.KEY), result.order, result.n_samples, em.KEY, absent, False
     )
-
-
-def filter_names(calls: DataFrame) -> DataFrame:
-    return calls.withColumn("filter_text", G.filter_string(F.col("filter")))
