@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import decontaminate, simhash
+from lacuna.llm import decontaminate, quality, secrets, sentencepiece, simhash
 from lacuna.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,40 @@ def _sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece.encode(read_table(spark, sf_dir, "documents"), sentencepiece.default_model(spark))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids", "decoded_sha256")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(read_table(spark, sf_dir, "documents"))
+
+    def told(keep) -> Column:
+        texts = F.transform(F.filter("spans", keep), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
+        return F.array_join(texts, ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        _sha(told(lambda x: x["base"])).alias("base_sha256"),
+        told(lambda x: F.lit(True)).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
+    )
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
