@@ -13,13 +13,13 @@ if that is longer), each block going to all tasks over the documents, so what is
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import ALNUM_TABLE, batch_of, column_bytes, keyed
@@ -161,22 +161,54 @@ def contamination(
     empty benchmark gives rows without hits, an empty document table an empty result.
     """
     rows = keyed(docs, id_col, text_col)
-    parts = []
+    parts = [_scan(rows, index) for index in _indexes(rows, benchmark, item_col, item_text_col, window, block_words)]
+    if not parts:
+        parts.append(_scan(rows, Index([], {}, np.zeros(0, np.int64), window)))
+    if len(parts) == 1:
+        return parts[0]
+    return _merged(parts)
+
+
+def _indexes(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int) -> Iterator[Index]:
+    """An index per benchmark block, its words ranked by their occurrences over all documents."""
     for block in blocks_of(benchmark, item_col, item_text_col, block_words):
         vocabulary: dict[bytes, int] = {}
         for _, words in block:
             for w in words:
                 vocabulary.setdefault(w, len(vocabulary))
         counts = word_counts(rows, vocabulary)
+        by_word = list(vocabulary)
         rank = np.empty(len(vocabulary), np.int64)
-        by_word = np.array(list(vocabulary), object)
         rank[sorted(range(len(vocabulary)), key=lambda k: (counts[k], by_word[k]))] = np.arange(len(vocabulary))
-        parts.append(_scan(rows, Index(block, vocabulary, rank, window)))
-    if not parts:
-        parts.append(_scan(rows, Index([], {}, np.zeros(0, np.int64), window)))
-    if len(parts) == 1:
-        return parts[0]
-    return _merged(parts)
+        yield Index(block, vocabulary, rank, window)
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of ``docs`` without any hit, with all their columns; no row is shuffled for it."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    out = docs
+    for index in _indexes(rows, benchmark, item_col, item_text_col, window, block_words):
+        out = out.where(~_hit(docs.sparkSession, index)(F.col(text_col).cast("string")))
+    return out
+
+
+def _hit(spark: SparkSession, index: Index):
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        index = shared.value
+        return pd.Series([bool(len(index.search(_ids(words_of(None if t is None else t.encode()), index.vocabulary))[0])) for t in texts], dtype=bool)
+
+    return hit
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
@@ -206,7 +238,3 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     )
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return grouped.select("id", "ord", "thash", "n_words", runs.alias("hits"), "items", copies.alias("copy")).drop("copy")
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,14 +171,40 @@ def scored(
     null labels and ids count for nothing. Without positives or without unlabelled rows every score is 0.5, which
     counts as 1. Repeated rows give one row each; other columns are not read.
     """
+    x, model = learned(docs, labels, id_col, text_col, label_col, max_positives, max_unlabelled)
+    return apply(x, model)
+
+
+def learned(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    max_positives: int = MAX_POSITIVES,
+    max_unlabelled: int = MAX_UNLABELLED,
+) -> tuple[DataFrame, Fitted | None]:
+    """The stored features of all rows, and the model fitted to them."""
     x = table_of_features(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     usable = x.where(~F.col("held_out") & (F.col("id") != NO_ID))
     positives = usable.join(known.where("label = 1"), "id", "left_semi")
     unlabelled = usable.join(known, "id", "left_anti")
-    model = fit(_sample(positives, max_positives), _sample(unlabelled, max_unlabelled))
-    return apply(x, model)
+    return x, fit(_sample(positives, max_positives), _sample(unlabelled, max_unlabelled))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are predicted 1, with all their columns; no row is shuffled for it."""
+    _, model = learned(docs, labels, id_col, text_col, **options)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array([features(None if t is None else t.encode()) for t in texts], np.float32).reshape(-1, len(FEATURES)).astype(float)))
+
+    return docs.where(score(F.col(text_col).cast("string")) >= 0.5)
 
 
 def apply(x: DataFrame, model: Fitted | None) -> DataFrame:
