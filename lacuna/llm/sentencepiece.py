@@ -9,9 +9,9 @@ highest total score with ``aggregate``: one fold over the edges in order of thei
 the last character. Ties go to the longer last piece. A character without a piece of its own costs the lowest
 score less ten and becomes byte pieces.
 
-Texts are packed into compressed blocks of bounded size, stored in buckets, and never shuffled: the
-dictionary of a block's distinct words is sent to the bucket that holds the block.
-Each word is shuffled once per block that has it, however often it occurs there.
+Texts are packed into compressed blocks of bounded size, stored in buckets, and never shuffled. A block
+sends its distinct words, sorted and joined per word part; the ids come back in the same order, without the
+words. A word is segmented once per ``GROUP_BLOCKS`` blocks, so its list of blocks has a bound too.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +34,13 @@ from lacuna.llm.common import batch_of, run_folder
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+_JOIN = "\x01"
+_END = -(1 << 31)
 #: Bytes of text in one block, at most (a longer text is a block of its own).
 BLOCK_BYTES = 16 << 20
+#: Word parts per block, and the most blocks whose words are segmented together.
+PARTS_PER_BLOCK = 4
+GROUP_BLOCKS = 4096
 UNKNOWN_PENALTY = 10.0
 #: Edges folded in one inner step; keeps the copied state short for very long words.
 TILE_EDGES = 256
@@ -78,16 +85,16 @@ def load_model(path: str) -> Model:
         else:
             pieces[piece] = (k, sp.get_score(k))
             surface.append(piece.replace(SPACE, " ").encode())
-    if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
-        raise ValueError("pieces must not cross from a word to the blank behind it")
+    if any(re.search(f"[^{SPACE}]{SPACE}|{_JOIN}", p) for p in pieces):
+        raise ValueError("pieces must not cross from a word to the blank behind it, or contain character 1")
     inside = {c for p in pieces if len(p) > 1 for c in p}
     return Model(pieces, tuple(byte_ids), tuple(surface), "".join(c for c in "\n\r\t" if c not in inside))
 
 
 def word_pattern(model: Model) -> re.Pattern:
     """Words of a normalised text; a control character that no longer piece contains is a word."""
-    cuts = re.escape(model.cuts)
-    return re.compile(f"{SPACE}*[^{SPACE}{cuts}]+|{SPACE}+" + (f"|[{cuts}]" if cuts else ""))
+    cuts = re.escape(model.cuts + _JOIN)
+    return re.compile(f"{SPACE}*[^{SPACE}{cuts}]+|{SPACE}+" + f"|[{cuts}]")
 
 
 def normalise(text: str) -> str:
@@ -98,14 +105,22 @@ def normalise(text: str) -> str:
 
 
 def _substrings(words: DataFrame, longest: int) -> DataFrame:
-    """(word, e, s, piece): substrings by end position, from the longest to the shortest."""
-    ends = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("e"))
+    """(part, word, blocks, e, s, piece): substrings by end position, from the longest to the shortest.
+
+    ``blocks`` stays with the last substring of a word only.
+    """
+    ends = words.select("part", "word", "blocks", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("e"))
     sizes = F.sequence(F.least("e", F.lit(longest)), F.lit(1), F.lit(-1))
-    sized = ends.select("word", "e", F.explode(sizes).alias("l"))
+    sized = ends.select("part", "word", "blocks", "e", F.explode(sizes).alias("l"))
+    last = (F.col("l") == 1) & (F.col("e") == F.length("word"))
     return sized.select(
+        "part",
         "word",
+        F.when(last, F.col("blocks")).alias("blocks"),
         "e",
-        (F.col("e") - F.col("l")).alias("s"), F.substring("word", F.col("e") - F.col("l") + 1, F.col("l")).alias("piece"))
+        (F.col("e") - F.col("l")).alias("s"),
+        F.substring("word", F.col("e") - F.col("l") + 1, F.col("l")).alias("piece"),
+    )
 
 
 def _viterbi(edges: Column, longest: int) -> Column:
@@ -174,7 +189,7 @@ def _path(backs: Column) -> Column:
 
 
 def segment(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) for distinct words that are hash partitioned by word.
+    """(part, word, blocks, ids) for distinct (part, word) that are hash partitioned by part.
 
     ``ids`` run from the last piece to the first; a negative id -c stands for the code point c without a piece.
     """
@@ -185,9 +200,11 @@ def segment(words: DataFrame, model: Model) -> DataFrame:
     edge = F.struct(
         "e", "s", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("w", F.lit(model.unknown_score)).alias("w")
     )
-    grouped = known.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    backs = grouped.select("word", _viterbi(F.col("edges"), model.longest).alias("backs"))
-    return backs.select("word", _path(F.col("backs")).alias("ids"))
+    grouped = known.groupBy("part", "word").agg(
+        F.first("blocks", ignorenulls=True).alias("blocks"), F.array_sort(F.collect_list(edge)).alias("edges")
+    )
+    backs = grouped.select("part", "word", "blocks", _viterbi(F.col("edges"), model.longest).alias("backs"))
+    return backs.select("part", "word", "blocks", _path(F.col("backs")).alias("ids"))
 
 
 # ---------------------------------------------------------------- blocks of texts
@@ -218,7 +235,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
         for b in batches:
             for row in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 rows.append(row)
-                size += 16 + 2 * len(row[1] or "")
+                size += 16 + len(row[1] or "")
                 if size >= block_bytes:
                     yield batch_of(_BLOCK, [[uuid.uuid4().int >> 65], [_pack(rows)]])
                     rows, size = [], 0
@@ -238,22 +255,32 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
     return stored
 
 
-def _words(blocks: DataFrame, pattern: re.Pattern) -> DataFrame:
-    """(word, block): the distinct words of every block."""
-    schema = pa.schema([("word", pa.string()), ("block", pa.int64())])
+def _parted(words: set[str], group: int, parts: int) -> dict[int, list[str]]:
+    """Words by part, sorted; parts of different block groups are different."""
+    out: dict[int, list[str]] = defaultdict(list)
+    for w in words:
+        out[group * parts + zlib.crc32(w.encode()) % parts].append(w)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _words(blocks: DataFrame, pattern: re.Pattern, groups: int, parts: int) -> DataFrame:
+    """(part, block, words): the distinct words of every block by part, sorted and joined by character 1."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
-                met: set[str] = set()
-                for text in _unpack(blob.as_buffer())[1]:
-                    met.update(pattern.findall(normalise(text)))
-                words = list(met)
-                for k in range(0, len(words), 100_000):
-                    part = words[k : k + 100_000]
-                    yield batch_of(schema, [part, [block] * len(part)])
+                parted = _parted(_distinct(_unpack(blob.as_buffer())[1], pattern), block % groups, parts)
+                yield batch_of(schema, [list(parted), [block] * len(parted), [_JOIN.join(w) for w in parted.values()]])
+
+    return blocks.mapInArrow(run, "part long, block long, words string")
+
 
-    return blocks.mapInArrow(run, "word string, block long")
+def _distinct(texts: list[str], pattern: re.Pattern) -> set[str]:
+    met: set[str] = set()
+    for text in texts:
+        met.update(pattern.findall(normalise(text)))
+    return met - {_JOIN}
 
 
 def encode(
@@ -270,19 +297,27 @@ def encode(
     """
     pattern = word_pattern(model)
     blocks = _blocks(docs, id_col, text_col, block_bytes)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = _words(blocks, pattern).repartition(parts, "word")  # one exchange for the lattice and for the way back
-    distinct = met.groupBy("word").agg(F.min("block").alias("some")).where("some is not null").select("word")
-    found = met.join(segment(distinct, model), "word").select("block", "word", "ids")
+    n_blocks = max(1, blocks.select("block").count())
+    groups = -(-n_blocks // GROUP_BLOCKS)
+    parts = max(1, PARTS_PER_BLOCK * n_blocks // groups)
+    sent = _words(blocks, pattern, groups, parts).repartition(parts * groups, "part")
+    met = sent.select("part", "block", F.explode(F.split("words", _JOIN)).alias("word"))
+    distinct = met.groupBy("part", "word").agg(F.collect_set("block").alias("blocks"))
+    found = segment(distinct, model).select("part", "word", F.explode("blocks").alias("block"), "ids")
+    sorted_words = F.array_sort(F.collect_list(F.struct("word", "ids")))
+    listed = F.flatten(F.transform(sorted_words, lambda x: F.concat(x["ids"], F.array(F.lit(_END)))))
+    back = found.groupBy("part", "block").agg(listed.alias("ids"))
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded_sha256", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known: dict[str, bytes] = {}
-        for b in right.to_batches():
-            lists = b.column("ids")
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_pylist()
-            for w, word in enumerate(b.column("word").to_pylist()):
-                known[word] = _final(values[offsets[w] : offsets[w + 1]], model)
+        by_part = dict(zip(right.column("part").to_pylist(), right.column("ids"), strict=True))
+        known: dict[str, bytes] = {_JOIN: np.array([model.byte_ids[1]], np.int32).tobytes()}
+        for block, blob in zip(left.column("block").to_pylist(), left.column("blob"), strict=True):
+            for part, words in _parted(_distinct(_unpack(blob.as_buffer())[1], pattern), block % groups, parts).items():
+                values = by_part[part].values.to_numpy()
+                ends = np.flatnonzero(values == _END).tolist()
+                for word, a, e in zip(words, [-1, *ends], ends, strict=False):
+                    known[word] = _final(values[a + 1 : e], model)
         out = []
         for blob in left.column("blob"):
             ids, texts = _unpack(blob.as_buffer())
@@ -299,7 +334,7 @@ def encode(
                 )
         return pa.Table.from_batches(out, schema)
 
-    together = blocks.groupBy("block").cogroup(found.groupBy("block"))
+    together = blocks.groupBy("block").cogroup(back.groupBy("block"))
     return together.applyInArrow(run, "id long, ids array<int>, n_tokens long, decoded_sha256 string")
 
 

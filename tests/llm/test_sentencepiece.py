@@ -48,6 +48,7 @@ def score_of(ids, text, model):
 TEXTS = [
     "Hello world", "The quick brown fox jumps over the lazy dog", "  two  blanks ", "\n\ttabs\r\nlines\n", "é日本 😀 ñandú straße",
     "a" * 700, "ab" * 3000 + " tail", "x", " ", "", None, "▁ already", "don't stop; re-run: a/b_c", "1234567890" * 60,
+    "con\x01trol \x01\x01 \x02 \x7f", "\x01",
 ]
 
 
