@@ -37,7 +37,7 @@ SPACE = "▁"
 _JOIN = "\x01"
 _END = -(1 << 31)
 #: Bytes of text in one block, at most (a longer text is a block of its own).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Word parts per block, and the most blocks whose words are segmented together.
 PARTS_PER_BLOCK = 4
 GROUP_BLOCKS = 4096
@@ -85,16 +85,25 @@ def load_model(path: str) -> Model:
         else:
             pieces[piece] = (k, sp.get_score(k))
             surface.append(piece.replace(SPACE, " ").encode())
-    if any(re.search(f"[^{SPACE}]{SPACE}|{_JOIN}", p) for p in pieces):
-        raise ValueError("pieces must not cross from a word to the blank behind it, or contain character 1")
+    if any(re.search(f"[^{SPACE}]{SPACE}", p) or (_JOIN in p and len(p) > 1) for p in pieces):
+        raise ValueError("pieces must not cross from a word to the blank behind it, or join character 1 to others")
     inside = {c for p in pieces if len(p) > 1 for c in p}
     return Model(pieces, tuple(byte_ids), tuple(surface), "".join(c for c in "\n\r\t" if c not in inside))
 
 
 def word_pattern(model: Model) -> re.Pattern:
-    """Words of a normalised text; a control character that no longer piece contains is a word."""
+    """Words of a normalised text: letters, one digit, or other characters, with the run of U+2581 before them.
+
+    Holds for tables in which no piece mixes these classes; else words end at U+2581 only. A control character
+    that no longer piece contains is a word of its own.
+    """
     cuts = re.escape(model.cuts + _JOIN)
-    return re.compile(f"{SPACE}*[^{SPACE}{cuts}]+|{SPACE}+" + f"|[{cuts}]")
+    numbers = "".join(sorted({c for p in model.pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
+    letter, other = f"[^\\W\\d_{re.escape(numbers)}]", f"(?:[^\\w{SPACE}{cuts}]|[_{re.escape(numbers)}])"
+    fine = re.compile(f"{SPACE}*{letter}+|{SPACE}*\\d|{SPACE}*{other}+|{SPACE}+|[{cuts}]")
+    if all(fine.fullmatch(p) for p in model.pieces):
+        return fine
+    return re.compile(f"{SPACE}*[^{SPACE}{cuts}]+|{SPACE}+|[{cuts}]")
 
 
 def normalise(text: str) -> str:
@@ -123,75 +132,81 @@ def _substrings(words: DataFrame, longest: int) -> DataFrame:
     )
 
 
-def _viterbi(edges: Column, longest: int) -> Column:
-    """Ids from the end to the start: for every end position the best edge, then the path back from the last.
+_BEST = "array<struct<t:double,s:int,id:int>>"
+
 
-    ``edges`` are structs (e, s, id, w) in order of e and s. The scores kept are those of the last ``longest``
-    positions; back pointers are collected per tile of edges.
+def _fold(edges: Column, start: Column, finish) -> Column:
+    """Folds edges in order of (e, s) into the best total of every end position with its last edge.
+
+    The state is (low, best): best[p - low] belongs to position p. The first edge of a position appends, later ones
+    replace it if they are better.
     """
-    tiles = F.sequence(F.lit(0), F.ceil(F.size(edges) / F.lit(TILE_EDGES)).cast("int") - 1)
 
     def step(acc: Column, x: Column) -> Column:
-        total = F.get(acc["scores"], x["s"] - acc["low"]) + x["w"]
-        back = F.struct(x["s"].alias("s"), x["id"].alias("id"))
-        fresh = F.size(acc["scores"]) + acc["low"] == x["e"]
-        better = total > F.element_at(acc["scores"], -1)
+        total = F.get(acc["best"], x["s"] - acc["low"])["t"] + x["w"]
+        this = F.array(F.struct(total.alias("t"), x["s"].alias("s"), x["id"].alias("id")))
+        n = F.size(acc["best"])
 
-        def state(scores: Column, backs: Column) -> Column:
-            return F.struct(acc["low"].alias("low"), scores.alias("scores"), backs.alias("backs"))
+        def state(best: Column) -> Column:
+            return F.struct(acc["low"].alias("low"), best.alias("best"))
 
-        def less(c: Column) -> Column:
-            return F.slice(c, 1, F.size(c) - 1)
+        return (
+            F.when(n + acc["low"] == x["e"], state(F.concat(acc["best"], this)))
+            .when(total > F.element_at(acc["best"], -1)["t"], state(F.concat(F.slice(acc["best"], 1, n - 1), this)))
+            .otherwise(acc)
+        )
 
-        return F.when(fresh, state(F.concat(acc["scores"], F.array(total)), F.concat(acc["backs"], F.array(back)))).when(
-            better, state(F.concat(less(acc["scores"]), F.array(total)), F.concat(less(acc["backs"]), F.array(back)))
-        ).otherwise(acc)
+    return F.aggregate(edges, start, step, finish)
 
-    back_type = "array<struct<s:int,id:int>>"
+
+def _viterbi(edges: Column, longest: int) -> Column:
+    """The best last edge (t, s, id) of every end position.
+
+    Words of more than ``TILE_EDGES`` edges are folded tile by tile: a tile starts from the last ``longest``
+    positions, so what a step copies stays short.
+    """
+    origin = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("s"), F.lit(0).alias("id")))
+    start = F.struct(F.lit(0).alias("low"), origin.alias("best"))
+    short = _fold(edges, start, lambda acc: F.slice(acc["best"], 2, F.size(acc["best"])))
 
     def tile(acc: Column, t: Column) -> Column:
-        # the last back pointer stays open: the next tile may still improve it
-        kept = F.greatest(F.size(acc["scores"]) - F.lit(longest + 1), F.lit(0))
-        start = F.struct(
-            (acc["low"] + kept).alias("low"),
-            F.slice(acc["scores"], kept + 1, F.lit(longest + 1)).alias("scores"),
-            acc["open"].alias("backs"),
-        )
-        done = F.aggregate(F.slice(edges, t * TILE_EDGES + 1, F.lit(TILE_EDGES)), start, step)
-        return F.struct(
-            done["low"].alias("low"),
-            done["scores"].alias("scores"),
-            F.slice(done["backs"], F.greatest(F.size(done["backs"]), F.lit(1)), F.lit(1)).alias("open"),
-            F.concat(acc["closed"], F.slice(done["backs"], 1, F.greatest(F.size(done["backs"]) - 1, F.lit(0)))).alias("closed"),
-        )
+        # the last position stays open: the next tile may still improve it
+        def finished(done: Column) -> Column:
+            n = F.size(done["best"])
+            kept = F.greatest(n - F.lit(longest + 1), F.lit(0))
+            fresh = F.slice(done["best"], F.size(acc["best"]), F.greatest(n - F.size(acc["best"]), F.lit(0)))
+            return F.struct(
+                (done["low"] + kept).alias("low"),
+                F.slice(done["best"], kept + 1, F.lit(longest + 1)).alias("best"),
+                F.concat(acc["closed"], fresh).alias("closed"),
+            )
+
+        begin = F.struct(acc["low"].alias("low"), acc["best"].alias("best"))
+        return _fold(F.slice(edges, t * TILE_EDGES + 1, F.lit(TILE_EDGES)), begin, finished)
 
-    zero = F.struct(
-        F.lit(0).alias("low"),
-        F.array(F.lit(0.0)).alias("scores"),
-        F.expr(f"cast(array() as {back_type})").alias("open"),
-        F.expr(f"cast(array() as {back_type})").alias("closed"),
-    )
-    return F.aggregate(tiles, zero, tile, lambda acc: F.concat(acc["closed"], acc["open"]))
+    tiles = F.sequence(F.lit(0), F.ceil(F.size(edges) / F.lit(TILE_EDGES)).cast("int") - 1)
+    zero = F.struct(F.lit(0).alias("low"), origin.alias("best"), F.expr(f"cast(array() as {_BEST})").alias("closed"))
+    # closed begins with the origin, the open last position closes the list
+    tiled = F.aggregate(tiles, zero, tile, lambda acc: F.concat(F.slice(acc["closed"], 2, F.size(acc["closed"])), F.slice(acc["best"], -1, 1)))
+    return F.when(F.size(edges) <= TILE_EDGES, short).otherwise(tiled)
 
 
 def _path(backs: Column) -> Column:
-    """Ids along the path, last piece first."""
-    n = F.size(backs)
-    start = F.struct(n.alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
+    """Ids along the best path, in reading order."""
+    start = F.struct(F.size(backs).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
 
     def step(acc: Column, k: Column) -> Column:
         here = F.get(backs, k - 1)
-        return F.when(
-            acc["at"] == k, F.struct(here["s"].alias("at"), F.concat(acc["ids"], F.array(here["id"])).alias("ids"))
-        ).otherwise(acc)
+        longer = F.struct(here["s"].alias("at"), F.concat(acc["ids"], F.array(here["id"])).alias("ids"))
+        return F.when(acc["at"] == k, longer).otherwise(acc)
 
-    return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, step, lambda acc: acc["ids"])
+    return F.aggregate(F.sequence(F.size(backs), F.lit(1), F.lit(-1)), start, step, lambda acc: F.reverse(acc["ids"]))
 
 
 def segment(words: DataFrame, model: Model) -> DataFrame:
     """(part, word, blocks, ids) for distinct (part, word) that are hash partitioned by part.
 
-    ``ids`` run from the last piece to the first; a negative id -c stands for the code point c without a piece.
+    ``ids`` are in reading order; a negative id -c stands for the code point c without a piece.
     """
     spark = words.sparkSession
     table = spark.createDataFrame([(p, k, s) for p, (k, s) in model.pieces.items()], "piece string, id int, w double")
@@ -201,7 +216,7 @@ def segment(words: DataFrame, model: Model) -> DataFrame:
         "e", "s", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("w", F.lit(model.unknown_score)).alias("w")
     )
     grouped = known.groupBy("part", "word").agg(
-        F.first("blocks", ignorenulls=True).alias("blocks"), F.array_sort(F.collect_list(edge)).alias("edges")
+        F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list(edge)).alias("edges")
     )
     backs = grouped.select("part", "word", "blocks", _viterbi(F.col("edges"), model.longest).alias("backs"))
     return backs.select("part", "word", "blocks", _path(F.col("backs")).alias("ids"))
@@ -304,20 +319,25 @@ def encode(
     met = sent.select("part", "block", F.explode(F.split("words", _JOIN)).alias("word"))
     distinct = met.groupBy("part", "word").agg(F.collect_set("block").alias("blocks"))
     found = segment(distinct, model).select("part", "word", F.explode("blocks").alias("block"), "ids")
-    sorted_words = F.array_sort(F.collect_list(F.struct("word", "ids")))
+    sorted_words = F.sort_array(F.collect_list(F.struct("word", "ids")))
     listed = F.flatten(F.transform(sorted_words, lambda x: F.concat(x["ids"], F.array(F.lit(_END)))))
     back = found.groupBy("part", "block").agg(listed.alias("ids"))
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded_sha256", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         by_part = dict(zip(right.column("part").to_pylist(), right.column("ids"), strict=True))
-        known: dict[str, bytes] = {_JOIN: np.array([model.byte_ids[1]], np.int32).tobytes()}
+        known: dict[str, bytes] = {_JOIN: np.array([model.pieces[_JOIN][0] if _JOIN in model.pieces else model.byte_ids[1]], np.int32).tobytes()}
         for block, blob in zip(left.column("block").to_pylist(), left.column("blob"), strict=True):
             for part, words in _parted(_distinct(_unpack(blob.as_buffer())[1], pattern), block % groups, parts).items():
                 values = by_part[part].values.to_numpy()
-                ends = np.flatnonzero(values == _END).tolist()
-                for word, a, e in zip(words, [-1, *ends], ends, strict=False):
-                    known[word] = _final(values[a + 1 : e], model)
+                ends = np.flatnonzero(values == _END)
+                raw = values.astype(np.int32).tobytes()
+                unknown = np.zeros(len(values) + 1, np.int64)
+                np.cumsum((values < 0) & (values != _END), out=unknown[1:])
+                first = np.concatenate([[0], ends[:-1] + 1])
+                odd = (unknown[ends] > unknown[first]).tolist()
+                for word, a, e, has_unknown in zip(words, first.tolist(), ends.tolist(), odd, strict=True):
+                    known[word] = _with_bytes(values[a:e], model) if has_unknown else raw[4 * a : 4 * e]
         out = []
         for blob in left.column("blob"):
             ids, texts = _unpack(blob.as_buffer())
@@ -338,14 +358,12 @@ def encode(
     return together.applyInArrow(run, "id long, ids array<int>, n_tokens long, decoded_sha256 string")
 
 
-def _final(backwards: np.ndarray, model: Model) -> bytes:
-    """Ids in reading order as raw int32; characters without a piece as their bytes."""
-    if len(backwards) and backwards.min() < 0:
-        ids: list[int] = []
-        for k in backwards[::-1].tolist():
-            ids += [k] if k >= 0 else [model.byte_ids[x] for x in chr(-k).encode()]
-        return np.array(ids, np.int32).tobytes()
-    return backwards[::-1].astype(np.int32).tobytes()
+def _with_bytes(values: np.ndarray, model: Model) -> bytes:
+    """Ids as raw int32, with characters that have no piece as their bytes."""
+    ids: list[int] = []
+    for k in values.tolist():
+        ids += [k] if k >= 0 else [model.byte_ids[x] for x in chr(-k).encode()]
+    return np.array(ids, np.int32).tobytes()
 
 
 def decode_ids(ids: list[int], model: Model) -> str:

@@ -158,7 +158,7 @@ def repeated_runs(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     seeds = stage(every.join(shared.select("anchor", "least"), "anchor"), "seeds")
     classes = seeds.groupBy("anchor", "run").agg(F.min("ord").alias("owner"))
     known = stage(seeds.join(classes, ["anchor", "run"]), "classes")
-    ones = F.shiftleft(F.lit(1).cast("long"), F.col("n")) - 1
+    ones = F.expr("shiftleft(1L, n) - 1")
     whole = known.where("ord > owner").select("ord", "thash", "pos", "n", ones.alias("mask"))
 
     several = known.select("anchor", "run").distinct().groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")

@@ -202,7 +202,7 @@ def search(
 
     def met(asked: DataFrame, met_blocks: DataFrame) -> DataFrame:
         """Queries with their lower bound and block number, against the candidates of these blocks."""
-        copies = met_blocks.select("block", "uid", "id", "v", "norm", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("qb"))
+        copies = met_blocks.select("block", "uid", "id", "v", "norm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("qb"))
         return asked.groupBy("qb", "block").cogroup(copies.groupBy("qb", "block")).applyInArrow(run, names)
 
     lowest = F.lit(float("-inf"))

@@ -10,7 +10,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lacuna.llm import chat
 
 SCHEMA = StructType([StructField("conv_id", LongType()), StructField("turn", LongType()), StructField("role", StringType()), StructField("text", StringType()), StructField("example", StringType())])
-HOSTILE = st.text(st.sampled_from(list("\\<>/#n \nturué日") + ["</turn>", "### ", "\\### "])) | st.text()
+PIECES = [*"\\<>/#n \nturué日", "</turn>", "### ", "\\### "]
+HOSTILE = st.lists(st.sampled_from(PIECES)).map("".join) | st.text()
 
 
 @given(st.lists(st.tuples(HOSTILE, HOSTILE)))
