@@ -2,7 +2,6 @@
 
 Input rows are run-length observations sorted by candidate. Whole candidates are gathered until a
 batch is worth the vector overhead, so memory follows the batch size and not the partition size.
-Grid points too large for that never get here; see ``genotyping``.
 """
 
 from __future__ import annotations
@@ -392,7 +391,7 @@ def _solve_table(
 
 
 def shared_read_groups(ids: list, arrays: dict[str, np.ndarray]) -> Callable:
-    """Read groups from a broadcast table."""
+    """Read groups by identifier from one table."""
     position = {rg: i for i, rg in enumerate(ids)}
     stats = ReadGroups(**arrays)
 
@@ -404,16 +403,6 @@ def shared_read_groups(ids: list, arrays: dict[str, np.ndarray]) -> Callable:
     return resolve
 
 
-def joined_read_groups(rows: pa.Table) -> tuple[np.ndarray, ReadGroups]:
-    """Read groups from statistics that travel on the first row of every read group."""
-    encoded = rows["rg"].combine_chunks().dictionary_encode()
-    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    stats = rows["stats"].combine_chunks()
-    carries = np.flatnonzero(stats.is_valid().to_numpy(zero_copy_only=False))
-    at = carries[np.unique(codes[carries], return_index=True)[1]]
-    return codes, ReadGroups.from_arrow(stats.take(pa.array(at)))
-
-
 def kernel(resolve: Callable, out_schema: pa.Schema, s: Settings) -> Callable:
     """Function for ``mapInArrow`` over partitions that hold whole, sorted candidates."""
 

@@ -1,12 +1,12 @@
 """Estimation of deletion length, allele frequency and genotypes per grid point.
 
-Two exact ways share the work. Grid points whose run-length observations fit a batch are hash
-partitioned and solved in memory, many at once. Larger ones, whatever their size, are solved by the
-same steps as distributed aggregations, one round per iteration.
+Run-length observations are dealt over parts by grid point and solved in memory, many candidates at once.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,17 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lacuna.functions import genotype as G
 from lacuna.operators import em
-from lacuna.operators.em_kernel import (
-    SAME_FREQUENCY, ReadGroups, Settings, joined_read_groups, kernel, shared_read_groups,
-)
-from lacuna.operators.windows import active_pairs, grid_bin, support_positions
+from lacuna.operators.em_kernel import ReadGroups, Settings, kernel, shared_read_groups
+from lacuna.operators.windows import GRID_TILE, grid_bin, grid_tiles, support_positions
 from lacuna.session import materialise
 
-#: Observations per grid point beyond which it is solved by distributed aggregation.
-MAX_LOCAL_OBS = 2_000_000
-#: Density slots over all read groups up to which the densities are broadcast (8 bytes each).
-MAX_SHARED_SLOTS = 4_000_000
-
 STATS = ["offset", "values", "min_prob", "median", "stddev", "lower_q", "upper_q"]
 COUNTS = ["lad_ref", "lad_amb", "lad_del", "dad_ref", "dad_both", "dad_between", "dad_alt", "dad_right"]
 
@@ -49,206 +42,47 @@ def candidate_observations(loaded: DataFrame, candidates: DataFrame) -> DataFram
     ).join(candidates, ["contig", "p"])
 
 
-def genotype_windows(
-    observed: DataFrame, density: DataFrame, settings: Settings, max_local: int = MAX_LOCAL_OBS,
-    max_shared: int = MAX_SHARED_SLOTS,
-) -> DataFrame:
-    """Solves candidates. ``observed`` must be materialised: it is read several times."""
-    weights = observed.groupBy("contig", "p").agg(F.count(F.lit(1)).alias("w"))
-    large = weights.where(F.col("w") > max_local).select("contig", "p")
-    if large.isEmpty():
-        return solve_in_batches(observed, density, settings, max_shared)
-    small = observed.join(large, ["contig", "p"], "left_anti")
-    wide = observed.join(large, ["contig", "p"], "left_semi")
-    return solve_in_batches(small, density, settings, max_shared).unionByName(
-        solve_distributed(wide, density, settings)
-    )
-
-
-# ---------------------------------------------------------------- many grid points per batch
+def genotype_windows(observed: DataFrame, density: DataFrame, settings: Settings) -> DataFrame:
+    """Solves candidates. ``observed`` is read twice.
 
-
-def _shared(density: DataFrame, max_slots: int) -> tuple[list, dict] | None:
-    """Densities as plain arrays, or None when they exceed the broadcast budget."""
-    slots = density.agg(F.sum(F.size("values"))).first()[0]
-    if slots is None or slots > max_slots:
-        return None
-    table = density.select("rg", *STATS).toArrow()
-    stats = pa.StructArray.from_arrays(
-        [table[c].combine_chunks() for c in STATS], names=STATS
-    )
-    return table["rg"].to_pylist(), vars(ReadGroups.from_arrow(stats))
-
-
-def solve_in_batches(
-    observed: DataFrame, density: DataFrame, settings: Settings, max_shared: int = MAX_SHARED_SLOTS
-) -> DataFrame:
+    Grid points are dealt over parts. Every part gets the densities of its read groups once, as rows of their own
+    that sort before its observations, so no array is repeated per candidate and nothing is broadcast. A
+    candidate holds at most one observation per read group and distinct deviation below the load limit.
+    """
     schema = genotype_schema(observed)
     arrow = to_arrow_schema(schema)
-    shared = _shared(density, max_shared)
-    if shared is not None:
-        handle = observed.sparkSession.sparkContext.broadcast(shared)
-        rows = observed
-
-        def run(batches):
-            return kernel(shared_read_groups(*handle.value), arrow, settings)(batches)
-
-    else:
-        rows = _attach_stats(observed, density)
-
-        def run(batches):
-            return kernel(joined_read_groups, arrow, settings)(batches)
+    parts = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = observed.withColumn("part", F.pmod(F.xxhash64("contig", "p"), F.lit(parts)))
+    stats = density.select("rg", F.struct(*STATS).alias("stats"))
+    arrays = dealt.select("part", "rg").distinct().join(stats, "rg")
+    rows = dealt.unionByName(arrays, allowMissingColumns=True)
+
+    def run(batches):
+        found: list[pa.RecordBatch] = []
+        batches = iter(batches)
+        for batch in batches:
+            is_array = batch.column("stats").is_valid().to_numpy(zero_copy_only=False)
+            cut = int(is_array.sum())
+            found.append(batch.slice(0, cut).select(["rg", "stats"]))
+            if cut < batch.num_rows:
+                rest = itertools.chain([batch.slice(cut)], batches)
+                yield from kernel(shared_read_groups(*_densities(found)), arrow, settings)(rest)
+                return
 
     return (
-        rows.repartition("contig", "p")
-        .sortWithinPartitions("contig", "p", "len0", "sample", "rg", "dev")
+        rows.repartition(parts, "part")
+        .sortWithinPartitions(F.col("stats").isNull(), "contig", "p", "len0", "sample", "rg", "dev")
         .mapInArrow(run, schema)
     )
 
 
-def _attach_stats(observed: DataFrame, density: DataFrame) -> DataFrame:
-    """Observations with the statistics of their read group, for densities too big to broadcast.
-
-    Only the first row of a read group at a candidate carries the array.
-    """
-    group = Window.partitionBy("contig", "p", "len0", "sample", "rg").orderBy("dev")
-    ranked = observed.repartition("contig", "p", "sample").withColumn("_rn", F.row_number().over(group))
-    stats = density.select("rg", F.struct(*STATS).alias("stats"))
-    first = ranked.where("_rn = 1").join(stats, "rg")
-    rest = ranked.where("_rn > 1").withColumn("stats", F.lit(None).cast(stats.schema["stats"].dataType))
-    return first.unionByName(rest).drop("_rn")
-
-
-# ---------------------------------------------------------------- one grid point over many tasks
-
-
-def solve_distributed(observed: DataFrame, density: DataFrame, s: Settings) -> DataFrame:
-    """Same estimation, every sum a distributed aggregation, state materialised per round."""
-    if density.agg(F.sum(F.size("values"))).first()[0] <= MAX_SHARED_SLOTS:
-        density = F.broadcast(density)
-    # Observations repeat per candidate; one copy per grid point is enough here.
-    obs = materialise(
-        observed.where(~F.col("high_cov")).select("contig", "p", "sample", "rg", "dev", "cnt").distinct()
-    )
-    windows = observed.groupBy("contig", "p", "len0", "sample").agg(
-        F.sum("cnt").alias("n_active"),
-        F.min(F.when(~F.col("high_cov"), F.col("first"))).alias("first"),
-        F.max(F.when(~F.col("high_cov"), F.col("last"))).alias("last"),
-    )
-    start = observed.select(*em.KEY).distinct()
-    seed = em.frequency_seed(obs, start, density).where(F.col("af") > 0)
-    state = em.with_prior(seed, s.cell_population).select(
-        *em.KEY, F.col("len0").alias("len"), "af", "g0", "g1", "g2",
-        F.lit(0).cast("bigint").alias("iterations"),
-        F.lit(True).alias("alive"),
-        F.array().cast("array<struct<len:bigint,af:double>>").alias("visited"),
-    )
-    state = materialise(state)
-    shifts = None
-    for _ in range(s.iterations):
-        active = state.where(F.col("alive") & (F.col("len") >= s.min_len))
-        if active.isEmpty():
-            break
-        moved, shifts = _round(obs, active, density, shifts, s)
-        rest = state.join(active.select(*em.KEY), em.KEY, "left_anti").withColumn("alive", F.lit(False))
-        state = materialise(rest.unionByName(moved))
-        shifts = materialise(shifts)
-    return _finish(windows, obs, state, density, shifts, s)
-
-
-def _round(obs, active, density, shifts, s: Settings) -> tuple[DataFrame, DataFrame]:
-    # Every relation below feeds several others, so each is written once.
-    before = materialise(em.pair_densities(obs, active, density, shifts))
-    d = materialise(em.scaled_likelihoods(em.log_likelihoods(before, "sample")))
-    groups = em.group_likelihoods(em.log_likelihoods(before, "rg"))
-    new_len = materialise(em.length_update(before, d, active))
-    new_shift = materialise(em.shift_update(before, groups, active))
-
-    moved = active.drop("len").join(new_len, em.KEY)
-    after = em.pair_densities(obs, moved, density, new_shift)
-    new_d = materialise(em.scaled_likelihoods(em.log_likelihoods(after, "sample")))
-    new_af = em.frequency_update(new_d, active, s.n_samples)
-    weights = em.with_prior(new_af, s.cell_population)
-    lr_before = em.likelihood_ratio(d, active, s.n_samples).withColumnRenamed("lr", "lr_before")
-    lr_now = em.likelihood_ratio(new_d, weights, s.n_samples)
-
-    fresh = (
-        weights.select(
-            *em.KEY, F.col("af").alias("n_af"), F.col("g0").alias("n0"), F.col("g1").alias("n1"),
-            F.col("g2").alias("n2"),
-        )
-        .join(new_len.withColumnRenamed("len", "n_len"), em.KEY)
-        .join(lr_before, em.KEY)
-        .join(lr_now, em.KEY)
-    )
-    seen = F.concat("visited", F.array(F.struct(F.col("len"), F.col("af"))))
-    known = F.filter("seen", lambda v: v["len"] == F.col("n_len"))
-    last_known = F.element_at(known, -1)["af"]
-    step = (
-        active.join(fresh, em.KEY)
-        .withColumn("seen", seen)
-        .withColumn("lost", F.col("n_af") == 0)
-        .withColumn(
-            "settled",
-            ~F.col("lost") & (F.size(known) > 0)
-            & (F.abs(F.when(F.size(known) > 0, last_known) - F.col("n_af")) <= SAME_FREQUENCY),
-        )
-        .withColumn("settled", F.coalesce("settled", F.lit(False)))
-        .withColumn("back", F.col("settled") & (F.col("lr_before") > F.col("lr")))
-    )
-    step = materialise(step)
-    moved = step.select(
-        *em.KEY,
-        F.when(F.col("back"), F.col("len")).otherwise(F.col("n_len")).alias("len"),
-        F.when(F.col("back"), F.col("af")).otherwise(F.col("n_af")).alias("af"),
-        *[F.when(F.col("lost"), F.col(f"g{k}")).otherwise(F.col(f"n{k}")).alias(f"g{k}") for k in range(3)],
-        (F.col("iterations") + 1).alias("iterations"),
-        (~(F.col("settled") | F.col("lost"))).alias("alive"),
-        F.col("seen").alias("visited"),
-    )
-    # Candidates that went back or were not active keep their shifts.
-    kept_keys = step.where(~F.col("back")).select(*em.KEY)
-    updated = new_shift.join(kept_keys, em.KEY, "left_semi")
-    if shifts is not None:
-        updated = updated.unionByName(shifts.join(kept_keys, em.KEY, "left_anti"))
-    return moved, updated
-
-
-def _finish(windows, obs, state, density, shifts, s: Settings) -> DataFrame:
-    good = state.where((F.col("af") >= G.PSEUDO) & (F.col("len") >= s.min_len))
-    dens = materialise(em.pair_densities(obs, good, density, shifts))
-    logs = materialise(em.log_likelihoods(dens, "sample"))
-    lr = em.likelihood_ratio(em.scaled_likelihoods(logs), good, s.n_samples)
-    passing = good.select(*em.KEY, "iterations", "len", "af").join(
-        lr.where(F.col("lr") >= s.min_lr), em.KEY
-    )
-    ten = [F.col(f"l{k}") / F.log(F.lit(10.0)) for k in range(3)]
-    equal = F.greatest(*ten) - F.least(*ten) < G.EQUAL_WITHIN
-    flat = [F.when(equal, F.lit(v)).otherwise(t) for v, t in zip((0.0, -10.0, -10.0), ten, strict=True)]
-    pl = G.phred(*flat)
-    scores = logs.select(*em.KEY, "sample", *[pl[k].alias(f"pl{k}") for k in range(3)])
-    lad = em.depth_classes(dens)
-    dad = em.distribution_classes(obs, good, density, s.strict)
-    covered = windows.groupBy(*em.KEY).agg(
-        F.count_if(F.col("n_active") >= 2).alias("data_samples"), F.min("sample").alias("leader")
-    )
-    keys = [*em.KEY, "sample"]
-    zero = F.lit(0).cast("bigint")
-    rows = (
-        windows.join(passing, em.KEY)
-        .join(covered, em.KEY)
-        .join(scores, keys, "left")
-        .join(lad, keys, "left")
-        .join(dad, keys, "left")
-    )
-    low = F.col("n_active") < 2
-    return rows.select(
-        *em.KEY, "iterations", "len", "lr", "af", "data_samples",
-        (F.col("sample") == F.col("leader")).alias("lead"),
-        "sample", "first", "last",
-        *[F.when(low, zero).otherwise(F.coalesce(f"pl{k}", zero)).alias(f"pl{k}") for k in range(3)],
-        *[F.coalesce(c, zero).cast("bigint").alias(c) for c in COUNTS],
-    )
+def _densities(batches: list[pa.RecordBatch]) -> tuple[list, dict]:
+    """Read groups with their arrays, each once."""
+    table = pa.Table.from_batches(batches)
+    ids = table["rg"].to_pylist()
+    position = {rg: i for i, rg in enumerate(ids)}
+    chosen = table.take(pa.array(list(position.values()), pa.int64()))
+    return chosen["rg"].to_pylist(), vars(ReadGroups.from_arrow(chosen["stats"]))
 
 
 # ---------------------------------------------------------------- from candidates to window calls
@@ -259,22 +93,25 @@ def supported(
 ) -> DataFrame:
     """Window calls with the positions their supporting pairs point at; unsupported ones drop out.
 
-    ``hot(contig, p, rg)`` lists saturated read groups, which do not support anything.
+    ``hot(contig, p, rg)`` lists saturated read groups, which do not support anything. Spans meet the calls by
+    tile of the grid; nothing is exploded to grid points.
     """
-    lead = genotyped.where("lead").select(*em.KEY, "len")
+    lead = genotyped.where("lead").select(*em.KEY, "len", F.floor(F.col("p") / F.lit(GRID_TILE)).alias("tile"))
     borders = rg_stats.select("rg", "lower_q", "upper_q")
     support = (
-        active_pairs(spanned)
-        .join(lead, ["contig", "p"])
+        grid_tiles(spanned, "rg", "start", "dev", "end_pos")
+        .join(lead, ["contig", "tile"])
+        .where(F.col("p").between(F.col("g_beg"), F.col("g_end")))
         .join(borders, "rg")
         .where(
             (F.col("dev") >= F.col("len") - F.col("lower_q"))
             & (F.col("dev") <= F.col("len") + F.col("upper_q"))
         )
         .join(hot, ["contig", "p", "rg"], "left_anti")
-        .select(*em.KEY, "start", "end_pos")
+        .groupBy(*em.KEY, "start", "end_pos")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return support_positions(support, em.KEY).where((F.col("pos") != 0) | (F.col("end_pos") != 0))
+    return support_positions(materialise(support), em.KEY).where((F.col("pos") != 0) | (F.col("end_pos") != 0))
 
 
 def window_calls(

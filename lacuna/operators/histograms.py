@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 from lacuna.functions.density import dense, quantile_slots, shape, smooth
 from lacuna.functions.arrays import round_half_up, weighted_kth
 
-#: Trimming rounds after which the last borders are kept.
-MAX_TRIM_ROUNDS = 50
 TRIM_SIGMAS = 3.0
 
 
@@ -82,10 +80,16 @@ def trim_borders(median: Column, stddev: Column, slots: Column) -> tuple[Column,
 
 
 def _trim_one(size: np.ndarray, cnt: np.ndarray, slots: int) -> tuple[int, int, int, float, float]:
-    """Repeats statistics and trimming until the borders stay put."""
+    """Repeats statistics and trimming until the borders stay put.
+
+    Borders that come round in a cycle settle on its smallest member, so the result does not depend on where
+    the cycle is entered.
+    """
     lo, hi = 1, slots - 1
     median, mean, stddev = 0, float("nan"), float("nan")
-    for _ in range(MAX_TRIM_ROUNDS):
+    seen: list[tuple[int, int]] = []
+    settled = False
+    while True:
         keep = (size >= lo) & (size < hi)
         s, c = size[keep], cnt[keep].astype(float)
         n = c.sum()
@@ -96,8 +100,12 @@ def _trim_one(size: np.ndarray, cnt: np.ndarray, slots: int) -> tuple[int, int,
         median = int(s[np.searchsorted(np.cumsum(c), n / 2.0)])
         new_lo = max(1, int(np.floor(median - TRIM_SIGMAS * stddev)))
         new_hi = min(slots - 1, int(np.ceil(median + TRIM_SIGMAS * stddev)) + 1)
-        if (new_lo, new_hi) == (lo, hi):
+        if settled or (new_lo, new_hi) == (lo, hi):
             break
+        seen.append((lo, hi))
+        if (new_lo, new_hi) in seen:
+            new_lo, new_hi = min(seen[seen.index((new_lo, new_hi)) :])
+            settled = True
         lo, hi = new_lo, new_hi
     return lo, hi, median, mean, stddev
 

@@ -132,20 +132,28 @@ def sampled_sizes(reads: DataFrame, intervals: DataFrame, params: ProfileParams)
     )
 
 
+def _group_keys(rows: DataFrame, rg_stats: DataFrame) -> list[str]:
+    """Read groups are known by sample and identifier, where both sides name the sample."""
+    return ["sample", "rg"] if "sample" in rows.columns and "sample" in rg_stats.columns else ["rg"]
+
+
 def to_profile(pairs: DataFrame, rg_stats: DataFrame) -> DataFrame:
-    """``profile(contig, win, rg, off, dev)``: pairs by 256-bp window, deviations from the median."""
+    """``profile(contig, win, [sample,] rg, off, dev)``: pairs by 256-bp window, deviations from the median."""
     win = profile_bin(F.col("start"))
-    return pairs.join(rg_stats.select("rg", "median"), "rg").select(
-        "contig", win.alias("win"), "rg",
+    keys = _group_keys(pairs, rg_stats)
+    named = ["sample", "rg"] if "sample" in rg_stats.columns else ["rg"]
+    return pairs.join(rg_stats.select(*named, "median"), keys).select(
+        "contig", win.alias("win"), *named,
         (F.col("start") - win).alias("off"),
         (F.col("isize") - F.col("median")).alias("dev"),
     )
 
 
 def from_profile(profile: DataFrame, rg_stats: DataFrame) -> DataFrame:
-    """Back to ``pairs(contig, rg, start, isize)``."""
-    return profile.join(rg_stats.select("rg", "median"), "rg").select(
-        "contig", "rg",
+    """Back to ``pairs(contig, [sample,] rg, start, isize)``."""
+    keys = _group_keys(profile, rg_stats)
+    return profile.join(rg_stats.select(*keys, "median"), keys).select(
+        "contig", *keys,
         (F.col("win") + F.col("off")).alias("start"),
         (F.col("dev") + F.col("median")).alias("isize"),
     )

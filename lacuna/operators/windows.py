@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lacuna.functions.arrays import round_half_up, upper_quartile_rank
 from lacuna.params import GRID_STEP, PROFILE_WINDOW
 
+#: Width of a tile of the grid, within which places are joined by equality.
+GRID_TILE = 16 * GRID_STEP
 #: Values of one axis closer than this belong to one candidate length.
 CHAIN_GAP = 50
 
@@ -60,18 +62,52 @@ def active_pairs(spanned: DataFrame) -> DataFrame:
     )
 
 
-def outlier_windows(spanned: DataFrame, rg_thresholds: DataFrame) -> DataFrame:
-    """Grid points that can possibly hold a candidate: some active pair exceeds the threshold.
+def grid_tiles(spanned: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of every pair once per tile that holds one of its grid points, with ``tile``, ``g_beg`` and ``g_end``.
+
+    ``g_beg`` to ``g_end`` are the pair's grid points inside the tile.
+    """
+    first = (F.ceil(F.col("start") / F.lit(GRID_STEP)) * GRID_STEP).cast("bigint")
+    last = (F.col("last_win") + GRID_STEP).cast("bigint")
+    tile = lambda p: F.floor(p / F.lit(GRID_TILE))
+    spread = spanned.select(
+        "contig", *columns, first.alias("_first"), last.alias("_last"),
+        F.explode(F.sequence(tile(first), tile(last))).alias("tile"),
+    )
+    return spread.select(
+        "contig", *columns, "tile",
+        F.greatest(F.col("_first"), F.col("tile") * GRID_TILE).alias("g_beg"),
+        F.least(F.col("_last"), F.col("tile") * GRID_TILE + (GRID_TILE - GRID_STEP)).alias("g_end"),
+    )
+
 
-    A candidate length is a mean of per-sample upper quartiles above the smallest threshold, and a
-    quartile cannot exceed the largest value, so every other grid point is candidate-free. The
+def outlier_spans(spanned: DataFrame, rg_thresholds: DataFrame) -> DataFrame:
+    """Tiles and grid points of the pairs above the smallest threshold.
+
+    A candidate length is a mean of per-sample upper quartiles above that threshold, and a
+    quartile cannot exceed the largest value, so every other place is candidate-free. The
     threshold is one scalar, fetched by an uncorrelated subquery.
     """
     lowest = rg_thresholds.select(F.min("min_init_len")).scalar()
-    return (
-        spanned.where(F.col("dev") > lowest)
-        .select("contig", F.explode(active_grid(F.col("start"), F.col("last_win"))).alias("p"))
-        .distinct()
+    return grid_tiles(spanned.where(F.col("dev") > lowest))
+
+
+def outlier_windows(spanned: DataFrame, rg_thresholds: DataFrame) -> DataFrame:
+    """Grid points that can possibly hold a candidate."""
+    points = F.explode(F.sequence("g_beg", "g_end", F.lit(GRID_STEP).cast("bigint")))
+    return outlier_spans(spanned, rg_thresholds).select("contig", points.alias("p")).distinct()
+
+
+def pruned_active(spanned: DataFrame, rg_thresholds: DataFrame) -> DataFrame:
+    """Active pairs in the tiles that can possibly hold a candidate.
+
+    Pairs are joined to these tiles before anything is exploded to the grid.
+    """
+    hot = outlier_spans(spanned, rg_thresholds).select("contig", "tile").distinct()
+    near = grid_tiles(spanned, "sample", "rg", "start", "dev", "end_pos").join(hot, ["contig", "tile"], "left_semi")
+    return near.select(
+        "contig", "sample", "rg", "start", "dev", "end_pos",
+        F.explode(F.sequence("g_beg", "g_end", F.lit(GRID_STEP).cast("bigint"))).alias("p"),
     )
 
 
@@ -185,12 +221,12 @@ def first_last(active: DataFrame) -> DataFrame:
 
 
 def rank_pick(values: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
-    """Value at 0-based rank ``floor((n - 1) p + 0.5)`` per key.
+    """Value at 0-based rank ``floor((total - 1) p + 0.5)`` per key; ``values`` has a count ``n`` per row.
 
     Counts per distinct value first; the ordered window then runs over distinct positions only,
     whose number is bounded by the longest pair span.
     """
-    counts = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    counts = values.groupBy(*keys, value).agg(F.sum("n").alias("cnt"))
     whole = Window.partitionBy(*keys)
     ordered = whole.orderBy(value)
     rank = F.floor((F.sum("cnt").over(whole) - 1) * F.lit(p) + F.lit(0.5))
@@ -204,7 +240,7 @@ def rank_pick(values: DataFrame, keys: list[str], value: str, p: float, out: str
 
 
 def support_positions(support: DataFrame, keys: list[str]) -> DataFrame:
-    """80th percentile of supporting starts, 20th of supporting ends."""
+    """80th percentile of supporting starts, 20th of supporting ends, of rows counted ``n`` times."""
     starts = rank_pick(support, keys, "start", 0.8, "pos")
     ends = rank_pick(support, keys, "end_pos", 1 - 0.8, "end_pos")
     return starts.join(ends, keys)

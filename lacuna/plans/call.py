@@ -12,14 +12,9 @@ from lacuna.functions.text import sample_format
 from lacuna.operators import em, genotyping, histograms, intervals, merging, reads, render, windows
 from lacuna.operators.em_kernel import Settings
 from lacuna.params import PROFILE_WINDOW, CallParams
-from lacuna.session import materialise, shared
+from lacuna.session import materialise
 from lacuna.sources.profiles import Profile, check_read_groups, per_sample_read_groups
 
-#: Grid points with outliers up to which they are broadcast to prune the grid (about 32 bytes each).
-MAX_SHARED_WINDOWS = 1_000_000
-#: Contigs with regions up to which their bounds become a scan filter.
-MAX_BOUND_CONTIGS = 200
-
 
 @dataclass(frozen=True)
 class Calls:
@@ -45,21 +40,18 @@ def cohort_density(profile: Profile, params: CallParams) -> DataFrame:
 
 
 def scan_bounds(regions: DataFrame) -> Column | None:
-    """Contig and window bounds of the regions as a literal filter, where they are few enough.
+    """Contig and window bounds of the regions as a literal filter; None without a region.
 
-    Literals reach the Parquet scan as partition and row-group filters.
+    Literals reach the Parquet scan as partition and row-group filters. There is one test per contig.
     """
-    bounds = regions.groupBy("contig").agg(F.min("beg").alias("beg"), F.max("end").alias("end"))
-    rows = bounds.limit(MAX_BOUND_CONTIGS + 1).collect()
-    if not rows or len(rows) > MAX_BOUND_CONTIGS:
-        return None
+    rows = regions.groupBy("contig").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).collect()
     # A pair's window may start up to one window before the region.
     tests = [
         (F.col("contig") == r["contig"])
         & (F.col("win") > r["beg"] - PROFILE_WINDOW) & (F.col("win") < r["end"])
         for r in rows
     ]
-    return functools.reduce(lambda x, y: x | y, tests)
+    return functools.reduce(lambda x, y: x | y, tests) if tests else None
 
 
 def spanned_pairs(profile: Profile, groups: DataFrame, regions: DataFrame | None) -> DataFrame:
@@ -71,26 +63,13 @@ def spanned_pairs(profile: Profile, groups: DataFrame, regions: DataFrame | None
     bounds = None if regions is None else scan_bounds(regions)
     if bounds is not None:
         stored = stored.where(bounds)
-    pairs = reads.from_profile(stored, groups).join(groups.select("rg", "sample"), "rg")
+    pairs = reads.from_profile(stored, groups)
     if regions is not None:
         binned = pairs.withColumn("bin30", windows.grid_bin(F.col("start")))
         pairs = intervals.windows_in_regions(binned, "bin30", regions.select("contig", "beg", "end")).drop("bin30")
     return windows.with_span(pairs, groups)
 
 
-def pruned_active(spanned: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Active pairs at grid points that can hold a candidate.
-
-    The outlier grid points are broadcast while their counted number allows it; beyond that the
-    grid is used unpruned, which changes nothing but the amount of work.
-    """
-    outliers = materialise(windows.outlier_windows(spanned, thresholds))
-    active = windows.active_pairs(spanned)
-    if outliers.limit(MAX_SHARED_WINDOWS + 1).count() <= MAX_SHARED_WINDOWS:
-        return active.join(F.broadcast(outliers), ["contig", "p"], "left_semi")
-    return active
-
-
 def call_deletions(
     profile: Profile, params: CallParams, rois: DataFrame | None = None, max_load: DataFrame | None = None
 ) -> Calls:
@@ -103,7 +82,7 @@ def call_deletions(
     check_read_groups(profile)
     density = cohort_density(profile, params)
     # Everything per read group except the arrays, which are handled where they are needed.
-    groups = shared(density.drop("values"))
+    groups = density.drop("values")
     thresholds = histograms.initial_thresholds(groups.select("rg", "stddev"), params.min_init_len)
     scalars = histograms.cohort_scalars(thresholds).first()
     order = genotyping.sample_order(groups)
@@ -118,14 +97,14 @@ def call_deletions(
     )
     regions = None
     if rois is not None:
-        regions = shared(materialise(intervals.regions_of_interest(rois, profile.contigs)))
-    spanned = spanned_pairs(profile, groups, regions)
+        regions = materialise(intervals.regions_of_interest(rois, profile.contigs))
+    spanned = materialise(spanned_pairs(profile, groups, regions))
     if params.strict_parity:
         from lacuna.streaming.admission import admitted_pairs
 
         spanned = admitted_pairs(spanned, max_load, params.load_limit)
 
-    counts = windows.deviation_counts(pruned_active(spanned, thresholds))
+    counts = windows.deviation_counts(windows.pruned_active(spanned, thresholds))
     loaded = materialise(windows.with_load(counts, max_load, params.load_limit))
     candidates = windows.candidate_lengths(windows.sample_windows(loaded, thresholds))
     observed = materialise(genotyping.candidate_observations(loaded, candidates))

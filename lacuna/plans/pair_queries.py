@@ -120,6 +120,19 @@ def outlier_windows(spark, sf):
     return windows.outlier_windows(b.spanned, thresholds)
 
 
+@query(
+    "pruned_active",
+    """SELECT contig, p, sample, rg, count(*) AS n FROM active
+WHERE (contig, p // 480) IN (SELECT contig, p // 480 FROM active WHERE dev > 150) GROUP BY contig, p, sample, rg""",
+    "active",
+)
+def pruned_active(spark, sf):
+    b = Pairs(spark, sf)
+    thresholds = histograms.initial_thresholds(b.stats.select("rg", "stddev"), 150)
+    active = windows.pruned_active(b.spanned, thresholds)
+    return active.groupBy("contig", "p", "sample", "rg").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- one estimation step
 
 

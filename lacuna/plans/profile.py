@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from lacuna.operators import histograms, intervals, reads
 from lacuna.params import ParameterError, ProfileParams
-from lacuna.session import materialise, shared
+from lacuna.session import materialise
 from lacuna.sources.profiles import Profile
 
 
+#: Between sample and read group while both are one key.
+GROUP_SEPARATOR = "\x1f"
+
+
 def with_merged_groups(rows: DataFrame, read_groups: DataFrame) -> DataFrame:
     """Replaces every read group by the first one of its sample."""
-    first = shared(materialise(read_groups.groupBy("sample").agg(F.min("rg").alias("_first"))))
+    first = materialise(read_groups.groupBy("sample").agg(F.min("rg").alias("_first")))
     return rows.join(first, "sample").withColumn("rg", F.col("_first")).drop("_first")
 
 
@@ -50,11 +54,9 @@ def read_group_statistics(
     used = owned.where(F.col("itv") <= F.col("last_itv"))
     hist = used.groupBy("rg", "size").agg(F.sum("cnt").alias("cnt"))
     read_len = used.groupBy("rg").agg(F.min_by("read_len", F.struct("itv", "first")).alias("read_len"))
-    length = (
-        stop.join(itvs, F.col("itv") <= F.col("last_itv"))
-        .groupBy("sample")
-        .agg(F.sum(F.col("end") - F.col("beg") - 1).alias("sampled_length"))
-    )
+    upto = F.sum(F.col("end") - F.col("beg") - 1).over(Window.orderBy("itv"))
+    reached = itvs.select(F.col("itv").alias("last_itv"), upto.alias("sampled_length"))
+    length = stop.join(reached, "last_itv").select("sample", "sampled_length")
     stats = (
         histograms.trimmed_stats(hist, params.max_size)
         .join(read_len, "rg")
@@ -77,28 +79,40 @@ def build_profile(
     both hold region texts.
     """
     spark = records.sparkSession
+    # Identifiers are unique within a sample only, so work is keyed by sample and identifier together.
+    records = records.withColumn("rg", F.concat("sample", F.lit(GROUP_SEPARATOR), "rg"))
     groups = records.select("rg", "sample").distinct()
     if params.merge_read_groups:
         records = with_merged_groups(records, groups)
         groups = records.select("rg", "sample").distinct()
-    groups = shared(materialise(groups))
+    groups = materialise(groups)
     regions = None
     if rois is not None:
-        regions = shared(materialise(intervals.regions_of_interest(rois, contigs, params.max_deletion)))
+        regions = materialise(intervals.regions_of_interest(rois, contigs, params.max_deletion))
     if sampling is not None:
         wanted = intervals.parse_regions(sampling)
     else:
         on = intervals.whole_contigs(contigs) if regions is None else regions
         wanted = intervals.default_sampling(spark, params.reference, on)
-    itvs = shared(materialise(numbered(wanted, contigs)))
+    itvs = materialise(numbered(wanted, contigs))
     sampled = reads.sampled_sizes(records, itvs, params)
     hist, stats = read_group_statistics(sampled, groups, itvs, params)
-    stats = shared(stats)
     pairs = reads.read_pairs(records, stats, params, regions)
-    kept = hist.join(stats.select("rg", "lo", "hi"), "rg").where(
+    kept = hist.join(stats.select("rg", "sample", "lo", "hi"), "rg").where(
         (F.col("size") >= F.col("lo")) & (F.col("size") < F.col("hi"))
-    ).select("rg", "size", "cnt")
-    return Profile(reads.to_profile(pairs, stats), kept, stats, contigs)
+    )
+    own = F.expr(f"substring(rg, length(sample) + {len(GROUP_SEPARATOR) + 1})")
+    return Profile(
+        reads.to_profile(pairs, stats).withColumn("rg", own),
+        kept.select("sample", own.alias("rg"), "size", "cnt"),
+        stats.withColumn("rg", own),
+        contigs,
+    )
+
+
+def unknown_sampling_contigs(sampling: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Contigs of sampling intervals that the reference lacks; these intervals are not sampled."""
+    return intervals.unknown_contigs(intervals.parse_regions(sampling), contigs).select("contig").distinct()
 
 
 def coverage_warnings(profile: Profile, minimum: float = 5.0) -> DataFrame:

@@ -42,6 +42,22 @@ def profile_round_trip(spark, sf):
     return pairs.groupBy("contig", "rg", "start", "isize").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "sample_rg_join",
+    """SELECT b.contig, CAST(b.start // 256 * 256 AS BIGINT) AS win, b.sample, b.rg % 2 AS rg,
+  CAST(b.start - b.start // 256 * 256 AS BIGINT) AS off, b.isize - m.median AS dev, count(*) AS n
+FROM b1 b JOIN (SELECT sample, rg % 2 AS rg, min(isize) AS median FROM b1 GROUP BY sample, rg % 2) m
+  ON b.sample = m.sample AND b.rg % 2 = m.rg GROUP BY ALL""",
+    "b1",
+)
+def sample_rg_join(spark, sf):
+    """Samples that share identifiers: profiles are keyed by sample and read group."""
+    pairs = Pairs(spark, sf).pairs.withColumn("rg", F.col("rg") % 2)
+    stats = pairs.groupBy("sample", "rg").agg(F.min("isize").alias("median"))
+    profile = reads.to_profile(pairs, stats)
+    return profile.groupBy(*profile.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 HIST_CELLS = ", ".join(
     f"coalesce(max(CASE WHEN s.rg = {g} THEN CAST(coalesce(h.cnt, 0) AS VARCHAR) END), 'NA')" for g in GROUPS
 )

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "lacuna") -> SparkSession:
@@ -39,20 +39,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder so that several consumers read it back."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/lacuna-{spark.sparkContext.applicationId}"
 
 
-#: Rows up to which a narrow dimension table is broadcast; about 100 bytes each.
-MAX_SHARED_ROWS = 500_000
+def materialise(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Writes ``df`` once as Parquet in the run folder and reads it back.
 
+    The lineage ends there, readers take only the columns they need, and the planner knows the size.
+    """
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def shared(df: DataFrame, max_rows: int = MAX_SHARED_ROWS) -> DataFrame:
-    """Broadcast hint for a small, materialised dimension table, after counting it.
 
-    Its statistics are unknown to the planner, which would otherwise shuffle the large side by a
-    key that may be skewed. Beyond the limit the join is left to the planner and its skew handling.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def remove_run_folder(spark: SparkSession) -> None:
+    """Deletes everything staged by this application, through the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lacuna.params import PROFILE_WINDOW, ParameterError
 
-PAIRS = "contig string, win bigint, rg string, off bigint, dev bigint"
-HIST = "rg string, size bigint, cnt bigint"
+PAIRS = "contig string, win bigint, sample string, rg string, off bigint, dev bigint"
+HIST = "sample string, rg string, size bigint, cnt bigint"
 READ_GROUPS = (
     "rg string, sample string, median bigint, mean double, stddev double, read_len bigint,"
     " lo bigint, hi bigint, coverage double"
@@ -38,10 +38,12 @@ class Profile:
 
 
 def write_profile(profile: Profile, path: str, mode: str = "append") -> None:
-    """Writes or appends a profile.
+    """Writes or appends a profile; a sample that is stored already is refused.
 
-    Ranges over contig, window and read group keep a deep contig from ending in one task.
+    Ranges over contig, window, sample and read group keep a deep contig from ending in one task.
     """
+    if mode == "append":
+        refuse_stored_samples(profile, path)
     checked = profile.pairs.withColumn(
         "off",
         F.when(F.col("off").between(0, PROFILE_WINDOW - 1), F.col("off")).otherwise(
@@ -49,8 +51,8 @@ def write_profile(profile: Profile, path: str, mode: str = "append") -> None:
         ),
     )
     (
-        checked.repartitionByRange("contig", "win", "rg")
-        .sortWithinPartitions("contig", "win", "rg", "off", "dev")
+        checked.repartitionByRange("contig", "win", "sample", "rg")
+        .sortWithinPartitions("contig", "win", "sample", "rg", "off", "dev")
         .write.mode(mode)
         .partitionBy("contig")
         .parquet(f"{path}/pairs")
@@ -68,27 +70,34 @@ def read_profile(spark: SparkSession, path: str) -> Profile:
     return Profile(read("pairs", PAIRS), read("hist", HIST), read("read_groups", READ_GROUPS), contigs)
 
 
+def refuse_stored_samples(profile: Profile, path: str) -> None:
+    """Raises if the dataset at ``path`` holds one of the samples."""
+    spark = profile.read_groups.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/read_groups")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return
+    stored = spark.read.schema(READ_GROUPS).parquet(f"{path}/read_groups").select("sample")
+    twice = profile.read_groups.select("sample").join(stored, "sample", "left_semi").first()
+    if twice is not None:
+        raise ParameterError(f"sample {twice['sample']!r} is in this profile already")
+
+
 def per_sample_read_groups(profile: Profile) -> Profile:
     """Renames every read group to ``sample:rg``; for samples that share identifiers."""
-    name = F.concat_ws(":", "sample", "rg")
-    owner = profile.read_groups.select("rg", name.alias("_full"))
-    renamed = lambda df: df.join(owner, "rg").withColumn("rg", F.col("_full")).drop("_full")
-    return Profile(
-        renamed(profile.pairs), renamed(profile.hist), profile.read_groups.withColumn("rg", name),
-        profile.contigs,
-    )
+    named = lambda df: df.withColumn("rg", F.concat_ws(":", "sample", "rg"))
+    return Profile(named(profile.pairs), named(profile.hist), named(profile.read_groups), profile.contigs)
 
 
 def duplicate_read_groups(read_groups: DataFrame) -> DataFrame:
-    """Identifiers that occur in more than one sample."""
-    return read_groups.groupBy("rg").agg(F.countDistinct("sample").alias("n")).where("n > 1")
+    """Identifiers that occur more than once, in several samples or in one that was read twice."""
+    return read_groups.groupBy("rg").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def check_read_groups(profile: Profile) -> None:
     clash = duplicate_read_groups(profile.read_groups).first()
     if clash is not None:
         raise ParameterError(
-            f"read group {clash['rg']!r} occurs in several samples; use per_sample_rg"
+            f"read group {clash['rg']!r} occurs more than once; use per_sample_rg for samples that share identifiers"
         )
 
 
@@ -151,7 +160,7 @@ def read_profiles(spark: SparkSession, paths: list[str]) -> Profile:
         spark.read.schema(PAIRS.replace("contig string, ", ""))
         .parquet(*[f"{p}/pairs/*" for p in paths])
         .withColumn("contig", F.url_decode(F.regexp_extract("_metadata.file_path", r"/contig=([^/]*)/", 1)))
-        .select("contig", "win", "rg", "off", "dev")
+        .select("contig", "win", "sample", "rg", "off", "dev")
     )
     return Profile(
         pairs,

@@ -49,9 +49,9 @@ def cohort(spark, deletions: list[tuple[int, int, dict[int, int]]], n_samples=6,
         rg = f"rg{s}"
         win = rows["start"] // 256 * 256
         pairs.append(pd.DataFrame({
-            "contig": "chr1", "win": win, "rg": rg, "off": rows["start"] - win, "dev": rows["isize"] - median,
+            "contig": "chr1", "win": win, "sample": f"s{s}", "rg": rg, "off": rows["start"] - win, "dev": rows["isize"] - median,
         }))
-        hists.append(pd.DataFrame({"rg": rg, "size": size, "cnt": cnt}))
+        hists.append(pd.DataFrame({"sample": f"s{s}", "rg": rg, "size": size, "cnt": cnt}))
         groups.append((rg, f"s{s}", median, float(usual.mean()), sd, READ_LEN, lo, hi, 30.0))
     from lacuna.sources import profiles as P
 

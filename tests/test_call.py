@@ -1,10 +1,12 @@
 """Planted deletions through the whole call command."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lacuna.operators import genotyping, merging
 from lacuna.params import CallParams
 from lacuna.plans.call import call_deletions, vcf_records
+from lacuna.sources.profiles import Profile
 from tests.simulate import cohort
 
 PLANTED = [
@@ -78,6 +80,15 @@ def test_strict_parity_and_load_limit(spark, profile):
     assert result.calls.count() >= 2
 
 
+def test_shared_identifiers(spark, profile, result):
+    """Samples that all use one identifier give the same calls as samples with names of their own."""
+    one = Profile(*[t.withColumn("rg", F.lit("1")) if "rg" in t.columns else t
+                    for t in (profile.pairs, profile.hist, profile.read_groups, profile.contigs)])
+    again = call_deletions(one, CallParams(per_sample_rg=True))
+    lines = lambda x: sorted(r["line"] for r in vcf_records(x).collect())
+    assert lines(again) == lines(result)
+
+
 def test_merge_output_has_partners(result):
     assert all(r["sig_windows"] >= 1 for r in result.calls.collect())
     assert merging.CALL == ["contig", "segment", "cluster"]

@@ -198,33 +198,4 @@ def check(got, expected):
 
 def test_batches_match_the_plain_loop(case):
     observed, dens, expected = case
-    check(collected(genotyping.solve_in_batches(observed, dens, SETTINGS)), expected)
-
-
-def test_joined_statistics_match_the_plain_loop(case):
-    observed, dens, expected = case
-    check(collected(genotyping.solve_in_batches(observed, dens, SETTINGS, max_shared=0)), expected)
-
-
-def test_distributed_rounds_match_the_plain_loop(case):
-    """Three rounds cover moving, stopping and keeping the older estimate."""
-    observed, dens, _ = case
-    short = Settings(N_SAMPLES, 50, 0.5, 3, False, False)
-    expected = {}
-    for (contig, p), obs in random_points(3).items():
-        if p < 150:
-            for len0 in (150, 280):
-                expected[contig, p, len0] = estimate(obs, len0, short)
-    got = genotyping.solve_distributed(observed.where("p < 150"), dens, short)
-    check(collected(got), {k: v for k, v in expected.items() if v})
-
-
-def test_split_by_size_covers_every_point(case):
-    """Points above the limit take the distributed way, the others the batches."""
-    observed, dens, _ = case
-    short = Settings(N_SAMPLES, 50, 0.5, 1, False, False)
-    few = observed.where("p < 120")
-    sizes = [r["count"] for r in few.groupBy("p").count().collect()]
-    whole = collected(genotyping.solve_in_batches(few, dens, short))
-    split = collected(genotyping.genotype_windows(few, dens, short, max_local=sorted(sizes)[len(sizes) // 2]))
-    check(split, whole)
+    check(collected(genotyping.genotype_windows(observed, dens, SETTINGS)), expected)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lacuna.cli import call_params, parser
 from lacuna.params import ParameterError, ProfileParams, ViewParams
@@ -107,6 +108,39 @@ def test_several_datasets_and_read_group_names(stored, spark):
     assert {r["rg"] for r in renamed.read_groups.collect()} == {"a:a1", "b:b1"}
 
 
+def test_shared_identifiers_give_the_same_profile_and_calls(spark):
+    """Two samples that both use read group 1 against the same samples with names of their own."""
+    reads, contigs, _ = records(spark)
+    sampling = spark.createDataFrame([("chr1:1-15000",)], "value string")
+    shared = reads.withColumn("rg", F.lit("1"))
+    made = {}
+    for name, rows in (("own", reads), ("shared", shared)):
+        profile = build_profile(rows, contigs, ProfileParams(min_pairs=500), sampling=sampling)
+        pairs = sorted(tuple(r) for r in profile.pairs.drop("rg").collect())
+        hist = sorted(tuple(r) for r in profile.hist.drop("rg").collect())
+        stats = sorted(tuple(r) for r in profile.read_groups.drop("rg").collect())
+        made[name] = pairs, hist, stats
+        assert {r["rg"] for r in profile.read_groups.collect()} == ({"a1", "b1"} if name == "own" else {"1"})
+    assert made["own"] == made["shared"]
+
+
+def test_a_sample_is_stored_once(stored, spark, tmp_path):
+    profile, _, path = stored
+    with pytest.raises(ParameterError, match="in this profile already"):
+        P.write_profile(profile, path)
+    with pytest.raises(ParameterError, match="more than once"):
+        P.check_read_groups(P.read_profiles(spark, [path, path]))
+    other = P.Profile(*[t.withColumn("sample", F.concat(F.lit("x"), "sample")) if "sample" in t.columns else t
+                        for t in (profile.pairs, profile.hist, profile.read_groups, profile.contigs)])
+    P.write_profile(profile, str(tmp_path / "p"))
+    P.write_profile(other, str(tmp_path / "p"))
+    both = P.read_profile(spark, str(tmp_path / "p"))
+    assert both.pairs.count() == 2 * profile.pairs.count()
+    with pytest.raises(ParameterError, match="per_sample_rg"):
+        P.check_read_groups(both)
+    P.check_read_groups(P.per_sample_read_groups(both))
+
+
 def test_text_inputs(spark, tmp_path):
     (tmp_path / "l.txt").write_text("x.p y.p\nx.p\n z.p\n")
     assert P.profile_list(spark, str(tmp_path / "l.txt")) == ["x.p", "y.p", "z.p"]
