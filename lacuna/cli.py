@@ -9,6 +9,14 @@ from pyspark.sql import SparkSession
 
 from lacuna import __version__
 from lacuna.params import CallParams, ParameterError, ProfileParams, ReadQuality, ViewParams
+from lacuna.session import remove_run_folder
+
+#: Warnings of one kind that are printed one by one; more are counted.
+SHOWN_WARNINGS = 20
+
+
+def warn(text: str) -> None:
+    print(f"lacuna: warning: {text}", file=sys.stderr)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,7 +36,6 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-n", "--min-read-num", type=int, default=50_000)
     p.add_argument("-f", "--flags-set", type=int, default=33)
     p.add_argument("-F", "--flags-unset", type=int, default=3868)
-    p.add_argument("-ir", "--index-region-size", type=int, default=10_000)
     p.add_argument("-mq", "--min-mapping-qual", type=int, default=1)
     p.add_argument("-s", "--min-align-score", type=float, default=0.8)
     p.add_argument("-u", "--min-unclipped", type=int, default=50)
@@ -36,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("call", help="profiles to deletion calls")
     c.add_argument("profiles", nargs="+", help="profile datasets, or one file that lists them")
     c.add_argument("-o", "--out", default="calls.vcf")
+    c.add_argument("--parts", action="store_true", help="leave header and records as folders below --out")
     c.add_argument("-A", "--active-coverage-file")
     c.add_argument("-a", "--active-coverage", type=int, default=100)
     c.add_argument("-d", "--max-deletion-size", type=int, default=10_000)
@@ -64,7 +72,8 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("-r", "--region")
     v.add_argument("-c", "--chunk-size", type=int)
     v.add_argument("-p", "--padding", type=int)
-    v.add_argument("-s", "--index-region-size", type=int)
+    v.add_argument("-s", "--sample", help="only this sample of the dataset")
+    v.add_argument("-t", "--text", help="folder for the lines, in order, instead of standard output")
     return top
 
 
@@ -74,7 +83,7 @@ def profile_params(a: argparse.Namespace) -> ProfileParams:
     )
     return ProfileParams(
         reference=a.reference, max_deletion=a.max_deletion_size, merge_read_groups=a.merge_read_groups,
-        min_pairs=a.min_read_num, index_region=a.index_region_size, quality=quality,
+        min_pairs=a.min_read_num, quality=quality,
     )
 
 
@@ -92,12 +101,12 @@ def call_params(a: argparse.Namespace) -> CallParams:
 def view_params(a: argparse.Namespace) -> ViewParams:
     return ViewParams(
         header=a.header, only_header=a.onlyHeader, histograms=a.histograms, out=a.out, region=a.region,
-        chunk_size=a.chunk_size, padding=a.padding, index_region=a.index_region_size,
+        chunk_size=a.chunk_size, padding=a.padding,
     )
 
 
 def run_profile(spark: SparkSession, a: argparse.Namespace) -> None:
-    from lacuna.plans.profile import build_profile
+    from lacuna.plans.profile import build_profile, coverage_warnings, unknown_sampling_contigs
     from lacuna.sources import alignments, profiles
 
     if a.reads.endswith(".bam"):
@@ -110,7 +119,17 @@ def run_profile(spark: SparkSession, a: argparse.Namespace) -> None:
         contigs = spark.read.schema(profiles.CONTIGS).parquet(a.contigs)
     rois = spark.createDataFrame([(r,) for r in a.regions], "value string") if a.regions else None
     sampling = profiles.words(spark, a.intervals) if a.intervals else None
-    profiles.write_profile(build_profile(records, contigs, profile_params(a), rois, sampling), a.out)
+    if sampling is not None:
+        for r in unknown_sampling_contigs(sampling, contigs).limit(SHOWN_WARNINGS).collect():
+            warn(f"no sampling on {r['contig']!r}: the reference has no such contig")
+    profile = build_profile(records, contigs, profile_params(a), rois, sampling)
+    profiles.write_profile(profile, a.out)
+    shallow = coverage_warnings(profile)
+    total = shallow.count()
+    for r in shallow.orderBy("sample", "rg").limit(SHOWN_WARNINGS).collect():
+        warn(f"low coverage of read group {r['rg']!r} of sample {r['sample']!r}: {r['coverage']:.2f}")
+    if total > SHOWN_WARNINGS:
+        warn(f"low coverage of {total} read groups in all")
 
 
 def run_call(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -127,7 +146,7 @@ def run_call(spark: SparkSession, a: argparse.Namespace) -> None:
         rois = listed if rois is None else rois.unionByName(listed)
     limits = profiles.load_limits(spark, a.active_coverage_file) if a.active_coverage_file else None
     result = call_deletions(profile, call_params(a), rois, limits)
-    variants.write_vcf(vcf_records(result), profile.contigs, result.order, a.out)
+    variants.write_vcf(vcf_records(result), profile.contigs, result.order, a.out, parts=a.parts)
 
 
 def run_view(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -136,21 +155,30 @@ def run_view(spark: SparkSession, a: argparse.Namespace) -> None:
 
     params = view_params(a)
     profile = profiles.read_profile(spark, a.profile)
+    if a.sample is not None:
+        profile = profiles.of_sample(profile, a.sample)
+    elif a.out is None and len(profile.read_groups.select("sample").distinct().limit(2).collect()) > 1:
+        raise ParameterError("the dataset holds several samples; choose one with --sample")
     if params.out is not None:
         view.write_chunks(profile, params)
         return
-    show = lambda rows: [print(r["line"]) for r in rows.toLocalIterator()]
-    if params.header or params.only_header:
-        print("\n".join(view.header(profile)))
-        if params.only_header:
-            return
-    if params.histograms:
-        head, lines = view.histogram_text(profile)
-        print("\n".join(head))
-        show(lines.orderBy("size"))
+    head = view.header(profile) if params.header or params.only_header else []
+    if params.histograms and not params.only_header:
+        more, lines = view.histogram_text(profile)
+        head, lines = head + more, lines.orderBy("size")
+    else:
+        lines = view.window_text(profile, params.region).join(profile.contigs.select("contig", "contig_id"), "contig")
+        lines = lines.orderBy("contig_id", "win")
+    if a.text is not None:
+        spark.createDataFrame([(h,) for h in head], "line string").coalesce(1).write.text(f"{a.text}/header")
+        if not params.only_header:
+            lines.select("line").write.text(f"{a.text}/lines")
         return
-    lines = view.window_text(profile, params.region).join(profile.contigs.select("contig", "contig_id"), "contig")
-    show(lines.orderBy("contig_id", "win"))
+    for h in head:
+        print(h)
+    if not params.only_header:
+        for r in lines.toLocalIterator():
+            print(r["line"])
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -161,4 +189,6 @@ def main(argv: list[str] | None = None) -> int:
     except ParameterError as e:
         print(f"lacuna: {e}", file=sys.stderr)
         return 1
+    finally:
+        remove_run_folder(spark)
     return 0

@@ -68,7 +68,6 @@ class ProfileParams:
     merge_read_groups: bool = False
     min_pairs: int = 50_000
     max_size: int = 20_000
-    index_region: int = 10_000
     quality: ReadQuality = field(default_factory=ReadQuality)
 
     def __post_init__(self) -> None:
@@ -139,10 +138,9 @@ class ViewParams:
     region: str | None = None
     chunk_size: int | None = None
     padding: int | None = None
-    index_region: int | None = None
 
     def __post_init__(self) -> None:
-        for name in ("chunk_size", "padding", "index_region"):
+        for name in ("chunk_size", "padding"):
             _require(
                 getattr(self, name) is None or self.out is not None,
                 f"{name} is given but no output path",

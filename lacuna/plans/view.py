@@ -12,7 +12,7 @@ from lacuna.sources.profiles import Profile
 
 
 def _groups(profile: Profile) -> list[str]:
-    """Read groups of the viewed sample, in name order."""
+    """Read groups of the viewed samples, in name order; the command shows one sample."""
     return [r["rg"] for r in profile.read_groups.select("rg").distinct().orderBy("rg").collect()]
 
 

@@ -88,6 +88,12 @@ def per_sample_read_groups(profile: Profile) -> Profile:
     return Profile(named(profile.pairs), named(profile.hist), named(profile.read_groups), profile.contigs)
 
 
+def of_sample(profile: Profile, sample: str) -> Profile:
+    """The profile of one sample of a dataset."""
+    own = lambda df: df.where(F.col("sample") == sample)
+    return Profile(own(profile.pairs), own(profile.hist), own(profile.read_groups), profile.contigs)
+
+
 def duplicate_read_groups(read_groups: DataFrame) -> DataFrame:
     """Identifiers that occur more than once, in several samples or in one that was read twice."""
     return read_groups.groupBy("rg").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -179,7 +179,7 @@ def test_parameters():
             CallParams(**bad)
     with pytest.raises(ParameterError):
         ProfileParams(reference="hg7")
-    for bad in (dict(chunk_size=10), dict(padding=5, out="x"), dict(index_region=5)):
+    for bad in (dict(chunk_size=10), dict(padding=5, out="x")):
         with pytest.raises(ParameterError):
             ViewParams(**bad)
 

@@ -44,9 +44,13 @@ def test_variant_file(spark, tmp_path):
         [("chr1", 5, 9, "c"), ("chr2", 7, 9, "b"), ("chr2", 3, 9, "a")], "contig string, pos bigint, len bigint, line string"
     )
     path = str(tmp_path / "v")
-    write_vcf(lines, contigs, order, path)
+    write_vcf(lines, contigs, order, path, parts=True)
     head = [r["value"] for r in spark.read.text(f"{path}/header").collect()]
     assert head[0] == "##fileformat=VCFv4.3" and head[-1].endswith("FORMAT\ts1\ts2")
     assert head.index("##contig=<ID=chr2,length=90>") < head.index("##contig=<ID=chr1,length=80>")
     parts = sorted((tmp_path / "v" / "records").glob("part-*"))
     assert "".join(p.read_text() for p in parts).split() == ["a", "b", "c"]
+    one = str(tmp_path / "calls.vcf")
+    write_vcf(lines, contigs, order, one)
+    text = (tmp_path / "calls.vcf").read_text().splitlines()
+    assert text == [*head, "a", "b", "c"]
