@@ -291,13 +291,36 @@ def _words(blocks: DataFrame, pattern: re.Pattern, groups: int, parts: int) -> D
     return blocks.mapInArrow(run, "part long, block long, words string")
 
 
+def _regular(text: str) -> bool:
+    """Whether blanks stand single and between words, so that splitting at them gives the words' places."""
+    return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
+
+
 def _distinct(texts: list[str], pattern: re.Pattern) -> set[str]:
+    """Distinct words of the texts; what stands between blanks is taken apart once, however often it occurs."""
     met: set[str] = set()
+    spaced: set[str] = set()
     for text in texts:
-        met.update(pattern.findall(normalise(text)))
+        if _regular(text):
+            spaced.update(text.split(" "))
+        else:
+            met.update(pattern.findall(normalise(text)))
+    for w in spaced:
+        met.update(pattern.findall(SPACE + w))
     return met - {_JOIN}
 
 
+class _Spaced(dict):
+    """Ids of what stands between two blanks, put together from its words once."""
+
+    def __init__(self, known: dict[str, bytes], pattern: re.Pattern):
+        self.known, self.pattern = known, pattern
+
+    def __missing__(self, w: str) -> bytes:
+        self[w] = ids = b"".join(map(self.known.__getitem__, self.pattern.findall(SPACE + w)))
+        return ids
+
+
 def encode(
     docs: DataFrame,
     model: Model,
@@ -339,10 +362,14 @@ def encode(
                 for word, a, e, has_unknown in zip(words, first.tolist(), ends.tolist(), odd, strict=True):
                     known[word] = _with_bytes(values[a:e], model) if has_unknown else raw[4 * a : 4 * e]
         out = []
+        spaced = _Spaced(known, pattern)
         for blob in left.column("blob"):
             ids, texts = _unpack(blob.as_buffer())
             for k in range(0, len(texts), 1000):
-                raw = [b"".join(map(known.__getitem__, pattern.findall(normalise(t)))) for t in texts[k : k + 1000]]
+                raw = [
+                    b"".join(map(spaced.__getitem__, t.split(" ")) if _regular(t) else map(known.__getitem__, pattern.findall(normalise(t))))
+                    for t in texts[k : k + 1000]
+                ]
                 arrays = [np.frombuffer(x, np.int32) for x in raw]
                 ends = np.cumsum([0, *map(len, arrays)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
