@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,21 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterable[pa.RecordBatch], name: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``most_bytes`` of the column ``name``, at least one row each.
+
+    Batches are cut by rows, so their size follows the texts; slices keep what a task holds in Python small.
+    """
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(name)), 0), dtype=np.int64))
+        a = 0
+        while a < b.num_rows:
+            z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, "right"))
+            z = max(a + 1, z)
+            yield b.slice(a, z - a)
+            a = z
+
+
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 

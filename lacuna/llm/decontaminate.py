@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import ALNUM_TABLE, batch_of, column_bytes, keyed
+from lacuna.llm.common import ALNUM_TABLE, batch_of, column_bytes, keyed, slices
 
 WINDOW = 10
 #: Words of one block of benchmark items, at most; about 100 bytes each in a task.
@@ -58,7 +58,7 @@ def word_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary) + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text in column_bytes(b, "text"):
                 total += np.bincount(_ids(words_of(text), vocabulary), minlength=len(total))
         met = np.flatnonzero(total[:-1])
@@ -126,7 +126,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for b in batches:
+        for b in slices(batches):
             n, hits, items = [], [], []
             for text in column_bytes(b, "text"):
                 words = words_of(text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import NO_ID, column_bytes, stage
+from lacuna.llm.common import NO_ID, column_bytes, slices, stage
 
 MAX_POSITIVES = 20_000
 MAX_UNLABELLED = 40_000
@@ -70,7 +70,7 @@ def table_of_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [features(t).astype(np.float32) for t in column_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(x, pa.list_(pa.float32()))], names=["id", "x"])
 

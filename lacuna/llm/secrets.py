@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import NO_ID, column_bytes, stage
+from lacuna.llm.common import NO_ID, column_bytes, slices, stage
 
 KINDS = ("assign", "access", "hex", "token")
 #: A value held by more owners, or in more repositories, is a copied example.
@@ -95,7 +95,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
     ).withColumn("thash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             spans = [[dict(zip(("kind", "start", "end", "value", "base"), x, strict=True)) for x in find(t)] for t in column_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in ("id", "thash", "repo", "owner")), pa.array(spans, pa.list_(_SPAN))], names=["id", "thash", "repo", "owner", "spans"]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import batch_of, column_bytes, in_pieces, keyed, stage
+from lacuna.llm.common import batch_of, column_bytes, in_pieces, keyed, slices, stage
 
 WINDOW = 50
 #: Words of an anchor. A window has WINDOW - ANCHOR + 1 of them, which bounds the windows of one run.
@@ -32,7 +32,7 @@ ANCHOR = 15
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _CHUNK = 1 << 20
 _POSITION = np.uint64((1 << 21) - 1)
-_MOST_WORDS = 1 << 20
+_MOST_WORDS = 1 << 18
 
 
 class _WordHashes(dict):
@@ -115,7 +115,7 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in batches:
+        for b in slices(batches):
             found: list[list[np.ndarray]] = [[] for _ in schema]
             for text, o, t in zip(column_bytes(b, "text"), b.column("ord").to_pylist(), b.column("thash").to_pylist(), strict=True):
                 a, r, pos, n = runs_of(text.split(), hasher, window, anchor)
@@ -134,7 +134,7 @@ def _windows(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in batches:
+        for b in slices(batches):
             lists = b.column("runs")
             fields = {c: lists.values.field(c).to_numpy() for c in ("anchor", "run", "pos", "n")}
             offsets = lists.offsets.to_pylist()
@@ -188,7 +188,7 @@ def deduplicated(
     schema = pa.schema(fields + [("kept", pa.string())] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in schema]
             lists = b.column("spans")
             part = {c: lists.values.field(c).to_numpy() for c in ("pos", "n", "mask")}
