@@ -7,8 +7,6 @@ and candidates; everything per sample is aggregated by Spark afterwards.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,67 +24,62 @@ SIZE_SIGMAS = 2
 OVERLAP_SHARE = 0.25
 RANGE_SIGMAS = 4
 
+#: Calls compared with a head at a time.
+LOOK_AHEAD = 64
 
-@dataclass
-class Span:
-    """Running head of a cluster."""
-
-    pos: int
-    end: int
-    length: int
-
-
-def sizes_similar(a: int, b: int, sigma: float) -> bool:
-    small, large = min(a, b), max(a, b)
-    return small + SIZE_SIGMAS * sigma >= large or small >= SIZE_RATIO * large
-
-
-def overlap_enough(a: Span, b: Span, sigma: float) -> bool:
-    span_a, span_b = max(0, a.end - a.pos), max(0, b.end - b.pos)
-    shorter = min(span_a, span_b)
-    overlap = min(a.pos + span_a, b.pos + span_b) - max(a.pos, b.pos)
-    return overlap >= OVERLAP_SHARE * shorter or overlap + SIZE_SIGMAS * sigma >= shorter
 
+def _against(head: tuple[int, int, int], pos, end, length, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """How calls relate to a cluster head (pos, end, length): they overlap it, or they only continue it.
 
-def extends(a: Span, b: Span, sigma: float) -> bool:
-    """One span is shorter than its deletion and ``b`` starts within the range of ``a``."""
-    short = max(0, a.end - a.pos) < a.length or max(0, b.end - b.pos) < b.length
-    return short and b.pos - a.pos < min(a.length, b.length) + RANGE_SIGMAS * sigma
-
-
-def absorb(head: Span, nxt: Span, sigma: float) -> bool:
-    """Whether ``nxt`` joins the cluster of ``head``; moves the head's end where that closes a gap."""
-    if not sizes_similar(head.length, nxt.length, sigma):
-        return False
-    if overlap_enough(head, nxt, sigma):
-        return True
-    if extends(head, nxt, sigma):
-        head.end = nxt.end
-        return True
-    return False
+    Calls of dissimilar length do neither. A call continues the head where one of the two spans falls short of
+    its deletion and the call begins within the shorter deletion.
+    """
+    h_pos, h_end, h_len = head
+    h_span, span = max(0, h_end - h_pos), np.maximum(0, end - pos)
+    small, large = np.minimum(h_len, length), np.maximum(h_len, length)
+    alike = (large - small <= SIZE_SIGMAS * sigma) | (small >= SIZE_RATIO * large)
+    shorter = np.minimum(h_span, span)
+    shared = np.minimum(h_pos + h_span, pos + span) - np.maximum(h_pos, pos)
+    overlaps = alike & ((shared >= OVERLAP_SHARE * shorter) | (shorter - shared <= SIZE_SIGMAS * sigma))
+    open_end = (h_span < h_len) | (span < length)
+    continues = alike & ~overlaps & open_end & (pos - h_pos < small + RANGE_SIGMAS * sigma)
+    return overlaps, continues
 
 
 def cluster_ids(pos, end, length, passing, sigma: float, keep_failed: bool) -> np.ndarray:
-    """Cluster number per call of a sorted segment, -1 for calls outside any cluster."""
-    ids = np.full(len(pos), -1, dtype=np.int64)
-    if len(pos) < 2:
+    """Cluster number per call of a sorted segment, -1 for calls outside any cluster.
+
+    A head takes the calls after it while they overlap it. One that only continues it moves its end, any other
+    becomes the next head.
+    """
+    n = len(pos)
+    ids = np.full(n, -1, dtype=np.int64)
+    starts = np.arange(n) if keep_failed else np.flatnonzero(passing)
+    if n < 2 or not len(starts):
         return ids
-    begin = 0
-    if not keep_failed:
-        good = np.flatnonzero(passing)
-        if not len(good):
-            return ids
-        begin = int(good[0])
-    head = Span(int(pos[begin]), int(end[begin]), int(length[begin]))
-    current = ids[begin] = 0
-    for i in range(begin + 1, len(pos)):
-        nxt = Span(int(pos[i]), int(end[i]), int(length[i]))
-        if not absorb(head, nxt, sigma):
+    at, current = int(starts[0]), -1
+    head: tuple[int, int, int] | None = None
+    while at < n:
+        taken, moves = 0, False
+        if head is not None:
+            ahead = slice(at, at + LOOK_AHEAD)
+            overlaps, continues = _against(head, pos[ahead], end[ahead], length[ahead], sigma)
+            taken = int(np.argmin(overlaps)) if not overlaps.all() else len(overlaps)
+            moves = taken < len(overlaps) and bool(continues[taken])
+        if taken:
+            ids[at : at + taken] = current
+            at += taken
+            if at == n or taken == LOOK_AHEAD:
+                continue
+        if moves:
+            head = head[0], int(end[at]), head[2]
+        else:
             current += 1
-            head = nxt
-        ids[i] = current
-    sizes = np.bincount(ids[ids >= 0])
-    ids[(ids >= 0) & (sizes[np.maximum(ids, 0)] < 2)] = -1
+            head = int(pos[at]), int(end[at]), int(length[at])
+        ids[at] = current
+        at += 1
+    alone = np.bincount(ids[ids >= 0])[np.maximum(ids, 0)] < 2
+    ids[alone] = -1
     return ids
 
 

@@ -10,6 +10,9 @@ from lacuna.functions.genotype import likelihood_ladder
 EPS = "1e-10"
 LN2 = repr(math.log(2.0))
 
+#: Names whose body reads itself.
+RECURSIVE = {"walk", "walk_all"}
+
 # name -> (names it reads, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -34,7 +37,8 @@ def with_ctes(select: str, *names: str) -> str:
     if not ordered:
         return select
     parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
-    return f"WITH {parts}\n{select}"
+    recursive = " RECURSIVE" if any(n in RECURSIVE for n in ordered) else ""
+    return f"WITH{recursive} {parts}\n{select}"
 
 
 cte(
@@ -273,6 +277,67 @@ cte(
 FROM pls""",
     "pls",
 )
+# Window calls made up from candidates, and their clusters: the rows of a segment are walked one by one.
+cte(
+    "wcalls",
+    """SELECT c.contig, CAST((c.p - f.first_p) // 10000 AS BIGINT) AS segment, c.p, c.len0, c.p - 1 AS win_pos,
+       c.p + c.len0 % 7 * 5 AS pos, c.p + c.len0 * (c.p // 30 % 3) // 2 AS end_pos, c.len0 AS len,
+       CAST(c.len0 % 11 AS DOUBLE) AS lr, CASE WHEN c.p // 30 % 4 = 0 THEN 4 ELSE 0 END AS filter
+FROM cand c JOIN (SELECT contig, min(start // 30 * 30) AS first_p FROM b1 GROUP BY contig) f ON c.contig = f.contig""",
+    "cand", "b1",
+)
+cte(
+    "ranked",
+    """SELECT *, row_number() OVER (PARTITION BY contig, segment ORDER BY pos, len, lr DESC, win_pos, len0) AS i
+FROM wcalls""",
+    "wcalls",
+)
+for _name, _from in (("walk", "CASE WHEN filter = 0 THEN i END"), ("walk_all", "i")):
+    cte(
+        _name,
+        f"""SELECT r.contig, r.segment, r.i, CAST(0 AS BIGINT) AS cluster, r.pos AS h_pos, r.end_pos AS h_end, r.len AS h_len
+FROM ranked r JOIN (SELECT contig, segment, min({_from}) AS i FROM ranked GROUP BY contig, segment) b
+  ON r.contig = b.contig AND r.segment = b.segment AND r.i = b.i
+UNION ALL
+SELECT contig, segment, i, CASE WHEN alike AND (laps OR runs) THEN cluster ELSE cluster + 1 END,
+       CASE WHEN alike AND (laps OR runs) THEN h_pos ELSE pos END,
+       CASE WHEN alike AND laps THEN h_end ELSE end_pos END,
+       CASE WHEN alike AND (laps OR runs) THEN h_len ELSE len END
+FROM (SELECT *, small + 20 >= large OR small >= 0.5 * large AS alike, lap >= 0.25 * short OR lap + 20 >= short AS laps,
+             (h_span < h_len OR span < len) AND pos - h_pos < small + 40 AS runs
+      FROM (SELECT *, least(h_pos + h_span, pos + span) - greatest(h_pos, pos) AS lap, least(h_span, span) AS short
+            FROM (SELECT r.contig, r.segment, r.i, r.pos, r.end_pos, r.len, w.cluster, w.h_pos, w.h_end, w.h_len,
+                         greatest(0, w.h_end - w.h_pos) AS h_span, greatest(0, r.end_pos - r.pos) AS span,
+                         least(w.h_len, r.len) AS small, greatest(w.h_len, r.len) AS large
+                  FROM {_name} w JOIN ranked r ON r.contig = w.contig AND r.segment = w.segment AND r.i = w.i + 1)))""",
+        "ranked",
+    )
+    cte(
+        _name.replace("walk", "clustered"),
+        f"""SELECT *, i = first_i AS head FROM (
+  SELECT r.*, w.cluster, min(r.i) OVER c AS first_i, count(*) OVER c AS members
+  FROM ranked r JOIN {_name} w ON r.contig = w.contig AND r.segment = w.segment AND r.i = w.i
+  WINDOW c AS (PARTITION BY r.contig, r.segment, w.cluster)) WHERE members > 1""",
+        "ranked", _name,
+    )
+cte(
+    "mergedpos",
+    """SELECT contig, segment, cluster, pos, len, lr, sig_windows,
+       CASE WHEN 30.0::DOUBLE * sig_windows / len < 0.5::DOUBLE THEN filter | 16 ELSE filter END AS filter
+FROM (SELECT contig, segment, cluster, avg(lr) AS lr, max(CASE WHEN head THEN filter END) AS filter,
+             count(*) FILTER (WHERE head OR filter = 0) AS sig_windows,
+             list_sort(list(pos) FILTER (WHERE head OR filter = 0))[count(*) FILTER (WHERE head OR filter = 0) // 2 + 1] AS pos,
+             list_sort(list(len) FILTER (WHERE head OR filter = 0))[count(*) FILTER (WHERE head OR filter = 0) // 2 + 1] AS len
+      FROM clustered GROUP BY contig, segment, cluster)""",
+    "clustered",
+)
+cte(
+    "members",
+    """SELECT c.contig, c.segment, c.cluster, c.p, c.len0, count(*) OVER (PARTITION BY c.contig, c.segment, c.cluster) AS n
+FROM clustered c JOIN mergedpos m ON c.contig = m.contig AND c.segment = m.segment AND c.cluster = m.cluster
+WHERE c.win_pos > m.pos AND c.win_pos - 30 < m.pos + m.len""",
+    "clustered", "mergedpos",
+)
 cte(
     "ladder",
     "SELECT * FROM (VALUES " + ", ".join(f"({q}, {k!r}::DOUBLE)" for q, k in enumerate(likelihood_ladder())) + ") AS t(q, k)",

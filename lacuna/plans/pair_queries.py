@@ -433,6 +433,77 @@ def call_genotypes(spark, sf):
     return samples.select(*merging.CALL, "sample", "pl0", "pl1", "pl2", "lad_ref", "lad_amb", "lad_del", "first", "last")
 
 
+# ---------------------------------------------------------------- clustering of made-up window calls
+
+SIGMA = 10.0
+
+
+def _window_calls(b: Pairs):
+    seg = genotyping.with_segments(b.candidates, genotyping.first_grid_points(b.spanned), 10_000)
+    return seg.select(
+        "contig", "segment", "p", "len0",
+        (F.col("p") - 1).alias("win_pos"),
+        (F.col("p") + F.col("len0") % 7 * 5).alias("pos"),
+        F.expr("p + len0 * (p div 30 % 3) div 2").alias("end_pos"),
+        F.col("len0").alias("len"),
+        (F.col("len0") % 11).cast("double").alias("lr"),
+        F.lit(1).cast("bigint").alias("iterations"),
+        F.expr("if(p div 30 % 4 = 0, 4L, 0L)").alias("filter"),
+    )
+
+
+@query("cluster_calls", "SELECT contig, segment, cluster, p, len0, head FROM clustered", "clustered")
+def cluster_calls(spark, sf):
+    rows = merging.cluster_calls(_window_calls(Pairs.stage(spark, sf)), SIGMA)
+    return rows.select(*merging.CALL, "p", "len0", "head")
+
+
+@query("cluster_calls_all", "SELECT contig, segment, cluster, p, len0, head FROM clustered_all", "clustered_all")
+def cluster_calls_all(spark, sf):
+    """Failed window calls may open a cluster too."""
+    rows = merging.cluster_calls(_window_calls(Pairs.stage(spark, sf)), SIGMA, keep_failed=True)
+    return rows.select(*merging.CALL, "p", "len0", "head")
+
+
+@query(
+    "merged_positions",
+    "SELECT contig, segment, cluster, pos, len, round(lr, 6) AS lr, sig_windows, CAST(filter AS BIGINT) AS filter FROM mergedpos",
+    "mergedpos",
+)
+def merged_positions(spark, sf):
+    clustered = merging.cluster_calls(_window_calls(Pairs.stage(spark, sf)), SIGMA)
+    rows = merging.merged_positions(clustered, 0.5)
+    return rows.select(*merging.CALL, "pos", "len", r("lr"), "sig_windows", "filter")
+
+
+@query(
+    "merged_genotypes",
+    """SELECT contig, segment, cluster, sample, n_windows,
+       CAST(r0 + CASE WHEN r1 <> r2 AND r0 = r1 AND x0 > x1 THEN 1 ELSE 0 END AS BIGINT) AS pl0,
+       CAST(r1 + CASE WHEN r1 = r2 AND x1 > x2 OR r1 <> r2 AND r0 = r1 AND NOT x0 > x1 THEN 1 ELSE 0 END AS BIGINT) AS pl1,
+       CAST(r2 + CASE WHEN r1 = r2 AND NOT x1 > x2 THEN 1 ELSE 0 END AS BIGINT) AS pl2, lad_ref, lad_del
+FROM (SELECT *, floor(x0 + 0.5) AS r0, floor(x1 + 0.5) AS r1, floor(x2 + 0.5) AS r2
+      FROM (SELECT *, (s0 - low) / n_windows AS x0, (s1 - low) / n_windows AS x1, (s2 - low) / n_windows AS x2
+            FROM (SELECT *, least(s0, s1, s2) AS low FROM (
+              SELECT m.contig, m.segment, m.cluster, g.sample, max(m.n) AS n_windows, CAST(sum(pl0) AS DOUBLE) AS s0,
+                     CAST(sum(pl1) AS DOUBLE) AS s1, CAST(sum(pl2) AS DOUBLE) AS s2,
+                     coalesce(list_sort(list(lad_ref))[nullif(greatest(max(m.n) // 2 - (max(m.n) - count(*)), -1) + 1, 0)], 0) AS lad_ref,
+                     coalesce(list_sort(list(lad_del))[nullif(greatest(max(m.n) // 2 - (max(m.n) - count(*)), -1) + 1, 0)], 0) AS lad_del
+              FROM members m JOIN pls g ON m.contig = g.contig AND m.p = g.p AND m.len0 = g.len0
+              JOIN lad l ON l.contig = g.contig AND l.p = g.p AND l.len0 = g.len0 AND l.sample = g.sample
+              GROUP BY m.contig, m.segment, m.cluster, g.sample))))""",
+    "members", "pls", "lad",
+)
+def merged_genotypes(spark, sf):
+    b = Pairs.stage(spark, sf)
+    clustered = merging.cluster_calls(_window_calls(b), SIGMA)
+    members = merging.genotype_members(clustered, merging.merged_positions(clustered, 0.5))
+    keys = [*KEY, "sample"]
+    depths = em.depth_classes(b.densities).join(em.distribution_classes(b.obs, b.seeds, b.density), keys)
+    rows = merging.call_genotypes(members, _phred(b).join(depths, keys))
+    return rows.select(*merging.CALL, "sample", "n_windows", *PL, "lad_ref", "lad_del")
+
+
 @query(
     "merge_windows_islands",
     """SELECT contig, segment, CAST(island AS BIGINT) AS island, count(*) AS n, list_sort(list(len0))[count(*) // 2 + 1] AS len,
