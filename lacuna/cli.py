@@ -109,7 +109,9 @@ def run_profile(spark: SparkSession, a: argparse.Namespace) -> None:
     from lacuna.plans.profile import build_profile, coverage_warnings, unknown_sampling_contigs
     from lacuna.sources import alignments, profiles
 
+    groups = None
     if a.reads.endswith(".bam"):
+        groups = alignments.bam_read_groups(spark, a.reads)
         records = alignments.read_bam(spark, a.reads)
         contigs = alignments.bam_contigs(spark, a.reads)
     else:
@@ -122,7 +124,7 @@ def run_profile(spark: SparkSession, a: argparse.Namespace) -> None:
     if sampling is not None:
         for r in unknown_sampling_contigs(sampling, contigs).limit(SHOWN_WARNINGS).collect():
             warn(f"no sampling on {r['contig']!r}: the reference has no such contig")
-    profile = build_profile(records, contigs, profile_params(a), rois, sampling)
+    profile = build_profile(records, contigs, profile_params(a), rois, sampling, groups)
     profiles.write_profile(profile, a.out)
     shallow = coverage_warnings(profile)
     total = shallow.count()

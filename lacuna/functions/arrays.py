@@ -44,10 +44,3 @@ def padded_upper_median(values: Column, n: Column) -> Column:
     """
     index = F.floor(n / 2).cast("int") - (n - F.size(values)).cast("int")
     return F.when(index < 0, F.lit(0)).otherwise(F.get(values, index)).cast("bigint")
-
-
-def nearest_rank(values: Column, p: float) -> Column:
-    """Nearest-rank percentile ``ceil(n p)`` of a sorted array."""
-    return F.get(values, (F.ceil(F.size(values) * F.lit(p)) - 1).cast("int"))
-
-

@@ -94,8 +94,3 @@ def lookup(values: Column, minimum: Column, offset: Column, median: Column, dev:
     """Density of a deviation from the median; the minimum outside the regular slots."""
     i = (dev + median - offset).cast("int")
     return F.when((i <= 0) | (i + 1 >= F.size(values)), minimum).otherwise(F.get(values, i))
-
-
-def lookup_size(values: Column, minimum: Column, offset: Column, size: Column) -> Column:
-    """Density of an absolute insert size."""
-    return lookup(values, minimum, offset, F.lit(0), size)

@@ -22,7 +22,6 @@ FILTER_COVERAGE = 2
 FILTER_SAMPLES = 4
 FILTER_ALL_REF = 8
 FILTER_WINDOW_COVER = 16
-FILTER_INVALID = 255
 FILTER_NAMES = (
     (FILTER_LR, "lowLR"),
     (FILTER_COVERAGE, "highCov"),

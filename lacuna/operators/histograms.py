@@ -29,11 +29,6 @@ def insert_size_histogram(sizes: DataFrame, *extra: str) -> DataFrame:
     return sizes.groupBy("rg", *extra, "size").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def first_read_length(reads: DataFrame) -> DataFrame:
-    """Read length of each group's first record in scan order."""
-    return reads.groupBy("rg").agg(F.min_by("read_len", F.struct("itv", "pos", "qname")).alias("read_len"))
-
-
 def moments(hist: DataFrame) -> DataFrame:
     """Count-weighted mean and corrected standard deviation per read group.
 
@@ -199,11 +194,16 @@ def densities(
     )
 
 
+def depth(pairs: Column, sampled_length: Column, read_len: Column) -> Column:
+    """Average coverage by both reads of ``pairs`` pairs over the sampled length."""
+    return pairs / sampled_length * read_len * 2
+
+
 def coverage(hist: DataFrame, interval_length: Column, read_len: DataFrame) -> DataFrame:
     """Average coverage of each read group over the sampled intervals."""
     counts = hist.groupBy("rg").agg(F.sum("cnt").alias("n"))
     return counts.join(read_len.select("rg", "read_len"), "rg").select(
-        "rg", "n", (F.col("n") / interval_length * F.col("read_len") * 2).alias("coverage")
+        "rg", "n", depth(F.col("n"), interval_length, F.col("read_len")).alias("coverage")
     )
 
 

@@ -174,8 +174,3 @@ def windows_in_regions(rows: DataFrame, window: str, regions: DataFrame) -> Data
 def index_regions(contigs: DataFrame, region_size: int) -> DataFrame:
     """Number of index regions per contig."""
     return contigs.select("contig", (F.floor(F.col("len") / region_size) + 1).alias("n_regions"))
-
-
-def window_reaches(window_beg: str, roi_beg: str):
-    """Whether a profile window ends at or after the start of a region."""
-    return F.col(window_beg) + (PROFILE_WINDOW - 1) >= F.col(roi_beg)

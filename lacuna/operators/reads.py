@@ -14,6 +14,10 @@ from lacuna.operators.windows import profile_bin
 from lacuna.params import ProfileParams
 
 
+#: Width of the tiles in which records meet sampling intervals.
+SAMPLING_TILE = 1_000_000
+
+
 def name_keys(rows: DataFrame) -> list[str]:
     """Key of a read name; names are unique within a sample only."""
     return [*(["sample"] if "sample" in rows.columns else []), "qname", "contig"]
@@ -116,13 +120,19 @@ def read_pairs(
 def sampled_sizes(reads: DataFrame, intervals: DataFrame, params: ProfileParams) -> DataFrame:
     """Forward reads inside the sampling intervals: ``(rg, itv, pos, qname, size, read_len)``.
 
-    A record at the interval's end position still counts. Intervals are few and fixed per build.
+    A record at the interval's end position still counts. Records meet intervals by tile, so a contig with very many of
+    either is spread.
     """
     from lacuna.operators.histograms import capped_size
 
     gated = reads.where(R.passes(params.quality) & (F.col("pos") <= F.col("mate_pos")))
+    tile = lambda p: F.floor(p / F.lit(SAMPLING_TILE))
+    tiled = intervals.select(
+        "itv", "contig", "beg", "end", F.explode(F.sequence(tile(F.col("beg")), tile(F.col("end")))).alias("_tile")
+    )
     return (
-        gated.join(intervals.select("itv", "contig", "beg", "end"), "contig")
+        gated.withColumn("_tile", tile(F.col("pos")))
+        .join(tiled, ["contig", "_tile"])
         .where((F.col("pos") >= F.col("beg")) & (F.col("pos") <= F.col("end")))
         .select(
             "rg", "itv", "pos", "qname",

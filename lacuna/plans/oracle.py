@@ -11,7 +11,7 @@ EPS = "1e-10"
 LN2 = repr(math.log(2.0))
 
 #: Names whose body reads itself.
-RECURSIVE = {"walk", "walk_all"}
+RECURSIVE = {"walk", "walk_all", "trim"}
 
 # name -> (names it reads, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -366,6 +366,23 @@ FROM rhist h JOIN (SELECT rg, CAST(sum(cnt) AS BIGINT) AS n, CAST(sum(size * cnt
                    FROM rhist GROUP BY rg) m ON h.rg = m.rg GROUP BY h.rg""",
     "rhist",
 )
+_TRIMMED = """SELECT rg, k, lo, hi, max(mean) AS mean, CAST(min(CASE WHEN upto * 2 >= n THEN size END) AS BIGINT) AS median,
+       sqrt(sum(cnt * (size - mean) * (size - mean)) / (max(n) - 1)) AS stddev
+FROM (SELECT t.rg, t.k, t.lo, t.hi, h.size, h.cnt, sum(h.cnt) OVER (PARTITION BY t.rg, t.k ORDER BY h.size) AS upto,
+             sum(h.cnt) OVER (PARTITION BY t.rg, t.k) AS n,
+             CAST(sum(h.size * h.cnt) OVER (PARTITION BY t.rg, t.k) AS DOUBLE) / CAST(sum(h.cnt) OVER (PARTITION BY t.rg, t.k) AS DOUBLE) AS mean
+      FROM trim t JOIN rhist h ON h.rg = t.rg AND h.size >= t.lo AND h.size < t.hi) GROUP BY rg, k, lo, hi"""
+cte(
+    "trim",
+    f"""SELECT DISTINCT rg, CAST(0 AS BIGINT) AS k, CAST(1 AS BIGINT) AS lo, CAST(19999 AS BIGINT) AS hi FROM rhist
+UNION ALL
+SELECT rg, k + 1, lo2, hi2 FROM (
+  SELECT *, greatest(1, CAST(floor(median - 3 * stddev) AS BIGINT)) AS lo2,
+         least(19999, CAST(ceil(median + 3 * stddev) AS BIGINT) + 1) AS hi2 FROM ({_TRIMMED}))
+WHERE (lo2 <> lo OR hi2 <> hi) AND k < 1000""",
+    "rhist",
+)
+cte("trimmed", f"SELECT * FROM ({_TRIMMED}) QUALIFY k = max(k) OVER (PARTITION BY rg)", "trim", "rhist")
 cte(
     "itv",
     """SELECT o_orderkey AS itv, o_orderpriority AS contig,

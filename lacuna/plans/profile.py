@@ -63,7 +63,7 @@ def read_group_statistics(
         .join(hist.groupBy("rg").agg(F.sum("cnt").alias("n")), "rg")
         .join(read_groups.select("rg", "sample"), "rg")
         .join(length, "sample")
-        .withColumn("coverage", F.col("n") / F.col("sampled_length") * F.col("read_len") * 2)
+        .withColumn("coverage", histograms.depth(F.col("n"), F.col("sampled_length"), F.col("read_len")))
         .select("rg", "sample", "median", "mean", "stddev", "read_len", "lo", "hi", "coverage")
     )
     return hist, materialise(stats)
@@ -71,20 +71,23 @@ def read_group_statistics(
 
 def build_profile(
     records: DataFrame, contigs: DataFrame, params: ProfileParams,
-    rois: DataFrame | None = None, sampling: DataFrame | None = None,
+    rois: DataFrame | None = None, sampling: DataFrame | None = None, groups: DataFrame | None = None,
 ) -> Profile:
     """Profile of all samples in ``records``.
 
+    ``groups(rg, sample)`` are the read groups where a header names them; else a scan finds them.
+
     ``rois(value)`` limits the profile, ``sampling(value)`` replaces the default sampling intervals;
     both hold region texts.
     """
     spark = records.sparkSession
     # Identifiers are unique within a sample only, so work is keyed by sample and identifier together.
-    records = records.withColumn("rg", F.concat("sample", F.lit(GROUP_SEPARATOR), "rg"))
-    groups = records.select("rg", "sample").distinct()
+    keyed = lambda df: df.withColumn("rg", F.concat("sample", F.lit(GROUP_SEPARATOR), "rg"))
+    records = keyed(records)
+    groups = records.select("rg", "sample").distinct() if groups is None else keyed(groups.select("rg", "sample")).distinct()
     if params.merge_read_groups:
         records = with_merged_groups(records, groups)
-        groups = records.select("rg", "sample").distinct()
+        groups = groups.groupBy("sample").agg(F.min("rg").alias("rg")).select("rg", "sample")
     groups = materialise(groups)
     regions = None
     if rois is not None:

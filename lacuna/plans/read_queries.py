@@ -214,7 +214,11 @@ def hist_trim_bounds(spark, sf):
     return stats.select("rg", lo.alias("lo"), hi.alias("hi"))
 
 
-@query("hist_trim_fixed_point")
+@query(
+    "hist_trim_fixed_point",
+    "SELECT rg, lo, hi, median, round(mean, 6) AS mean, round(stddev, 6) AS stddev FROM trimmed",
+    "trimmed",
+)
 def hist_trim_fixed_point(spark, sf):
     return histograms.trimmed_stats(Reads(spark, sf).hist, 20_000).select(
         "rg", "lo", "hi", "median", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev")

@@ -7,6 +7,7 @@ skipped. Files must be reachable under the same path from every executor. CRAM i
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -191,10 +192,10 @@ def decode(path: str, data: bytes, contigs: list[str]) -> tuple:
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.paths = options["paths"].split(",")
+        self.paths = json.loads(options["paths"])
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         contigs = options.get("contigs")
-        self.wanted = set(contigs.split(",")) if contigs else None
+        self.wanted = set(json.loads(contigs)) if contigs else None
 
     def partitions(self) -> list[Range]:
         return [r for p in self.paths for r in plan_ranges(p, self.range_bytes, self.wanted)]
@@ -223,7 +224,7 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam").option("paths", ...)``."""
+    """``spark.read.format("bam").option("paths", ...)``; paths and contigs are JSON lists."""
 
     @classmethod
     def name(cls) -> str:
@@ -242,10 +243,10 @@ def read_bam(
     """Alignment records of one or more files; the sample is the file's base name."""
     spark.dataSource.register(BamSource)
     reader = spark.read.format("bam").option("rangebytes", str(range_bytes)).option(
-        "paths", paths if isinstance(paths, str) else ",".join(paths)
+        "paths", json.dumps([paths] if isinstance(paths, str) else list(paths))
     )
     if contigs is not None:
-        reader = reader.option("contigs", ",".join(contigs))
+        reader = reader.option("contigs", json.dumps(list(contigs)))
     rows = reader.load()
     return rows.withColumn("sample", sample_name(F.col("path"))).drop("path")
 

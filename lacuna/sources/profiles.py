@@ -139,15 +139,6 @@ def load_limits(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def header_read_groups(header: DataFrame, sample: str) -> DataFrame:
-    """Read groups of ``@RG`` header lines of one file, in file order."""
-    from lacuna.functions.reads import header_read_group
-
-    return header.select(header_read_group(F.col("value")).alias("rg")).where(F.col("rg") != "").select(
-        "rg", F.lit(sample).alias("sample")
-    )
-
-
 def inputs(spark: SparkSession, path: str) -> list[str]:
     """A single argument is a profile dataset itself or a text file that lists datasets."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,18 +115,20 @@ def test_admission_on_a_stream(spark, tmp_path):
 
 
 def test_clustering_rules():
-    span = merging.Span
-    assert merging.sizes_similar(100, 199, 0) and not merging.sizes_similar(100, 201, 0)
-    assert merging.sizes_similar(100, 201, 51)
-    assert merging.overlap_enough(span(0, 100, 100), span(75, 175, 100), 0)
-    assert not merging.overlap_enough(span(0, 100, 100), span(90, 190, 100), 0)
-    head = span(0, 10, 500)
-    assert merging.absorb(head, span(100, 120, 500), 1.0) and head.end == 120
-    pos, end, length = [0, 5, 1000, 5000, 5010], [90, 95, 1100, 5600, 5600], [100, 90, 100, 600, 610]
+    def joins(head, call, sigma=0.0):
+        overlaps, continues = merging._against(head, *(np.array([x]) for x in call), sigma)
+        return bool(overlaps[0]), bool(continues[0])
+
+    same = (0, 100, 100)
+    assert joins(same, (0, 199, 199))[0] and joins(same, (0, 201, 201)) == (False, False)
+    assert joins(same, (0, 201, 201), 51)[0]
+    assert joins(same, (75, 175, 100)) == (True, False) and joins(same, (90, 190, 100)) == (False, False)
+    assert joins((0, 10, 500), (100, 120, 500), 1.0) == (False, True)
+    pos, end, length = (np.array(x) for x in ([0, 5, 1000, 5000, 5010], [90, 95, 1100, 5600, 5600], [100, 90, 100, 600, 610]))
     ids = merging.cluster_ids(pos, end, length, [True] * 5, 1.0, False)
     assert ids.tolist() == [0, 0, -1, 2, 2]
     assert merging.cluster_ids(pos, end, length, [False, True, True, True, True], 1.0, False).tolist() == [-1, -1, -1, 2, 2]
-    assert merging.cluster_ids([1], [2], [3], [True], 1.0, False).tolist() == [-1]
+    assert merging.cluster_ids(np.array([1]), np.array([2]), np.array([3]), [True], 1.0, False).tolist() == [-1]
 
 
 def test_averaged_phred_ties(spark):
