@@ -285,7 +285,7 @@ def _words(blocks: DataFrame, pattern: re.Pattern, groups: int, parts: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
-                parted = _parted(_distinct(_unpack(blob.as_buffer())[1], pattern), block % groups, parts)
+                parted = _parted(_taken_apart(_unpack(blob.as_buffer())[1], pattern)[0], block % groups, parts)
                 yield batch_of(schema, [list(parted), [block] * len(parted), [_JOIN.join(w) for w in parted.values()]])
 
     return blocks.mapInArrow(run, "part long, block long, words string")
@@ -296,8 +296,11 @@ def _regular(text: str) -> bool:
     return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
 
 
-def _distinct(texts: list[str], pattern: re.Pattern) -> set[str]:
-    """Distinct words of the texts; what stands between blanks is taken apart once, however often it occurs."""
+def _taken_apart(texts: list[str], pattern: re.Pattern) -> tuple[set[str], dict[str, list[str]]]:
+    """The distinct words of the texts, and the words of everything that stands between two blanks.
+
+    What stands between blanks is taken apart once, however often it occurs; letters alone are one word.
+    """
     met: set[str] = set()
     spaced: set[str] = set()
     for text in texts:
@@ -305,20 +308,11 @@ def _distinct(texts: list[str], pattern: re.Pattern) -> set[str]:
             spaced.update(text.split(" "))
         else:
             met.update(pattern.findall(normalise(text)))
-    for w in spaced:
-        met.update(pattern.findall(SPACE + w))
-    return met - {_JOIN}
-
-
-class _Spaced(dict):
-    """Ids of what stands between two blanks, put together from its words once."""
-
-    def __init__(self, known: dict[str, bytes], pattern: re.Pattern):
-        self.known, self.pattern = known, pattern
-
-    def __missing__(self, w: str) -> bytes:
-        self[w] = ids = b"".join(map(self.known.__getitem__, self.pattern.findall(SPACE + w)))
-        return ids
+    apart = {w: [SPACE + w] if w.isalpha() and w.isascii() else pattern.findall(SPACE + w) for w in spaced}
+    for words in apart.values():
+        met.update(words)
+    met.discard(_JOIN)
+    return met, apart
 
 
 def encode(
@@ -350,8 +344,11 @@ def encode(
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         by_part = dict(zip(right.column("part").to_pylist(), right.column("ids"), strict=True))
         known: dict[str, bytes] = {_JOIN: np.array([model.pieces[_JOIN][0] if _JOIN in model.pieces else model.byte_ids[1]], np.int32).tobytes()}
+        out = []
         for block, blob in zip(left.column("block").to_pylist(), left.column("blob"), strict=True):
-            for part, words in _parted(_distinct(_unpack(blob.as_buffer())[1], pattern), block % groups, parts).items():
+            ids, texts = _unpack(blob.as_buffer())
+            met, apart = _taken_apart(texts, pattern)
+            for part, words in _parted(met, block % groups, parts).items():
                 values = by_part[part].values.to_numpy()
                 ends = np.flatnonzero(values == _END)
                 raw = values.astype(np.int32).tobytes()
@@ -361,16 +358,13 @@ def encode(
                 odd = (unknown[ends] > unknown[first]).tolist()
                 for word, a, e, has_unknown in zip(words, first.tolist(), ends.tolist(), odd, strict=True):
                     known[word] = _with_bytes(values[a:e], model) if has_unknown else raw[4 * a : 4 * e]
-        out = []
-        spaced = _Spaced(known, pattern)
-        for blob in left.column("blob"):
-            ids, texts = _unpack(blob.as_buffer())
+            spaced = {w: known[words[0]] if len(words) == 1 else b"".join([known[x] for x in words]) for w, words in apart.items()}
             for k in range(0, len(texts), 1000):
-                raw = [
+                raws = [
                     b"".join(map(spaced.__getitem__, t.split(" ")) if _regular(t) else map(known.__getitem__, pattern.findall(normalise(t))))
                     for t in texts[k : k + 1000]
                 ]
-                arrays = [np.frombuffer(x, np.int32) for x in raw]
+                arrays = [np.frombuffer(x, np.int32) for x in raws]
                 ends = np.cumsum([0, *map(len, arrays)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
                 hashes = [hashlib.sha256(decode_ids(x.tolist(), model).encode()).hexdigest() for x in arrays]
