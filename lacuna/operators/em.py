@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import genotype as G
 from lacuna.functions.density import lookup
+from lacuna.operators.em_kernel import SAME_WHOLE
 
 KEY = ["contig", "p", "len0"]
 
@@ -181,8 +182,9 @@ def shift_update(densities: DataFrame, groups: DataFrame, weights: DataFrame) ->
         .groupBy(*KEY, "rg", "stddev")
         .agg(F.sum(share).alias("weight"), F.sum(share * F.col("dev")).alias("moment"))
     )
-    # The cast truncates towards zero.
-    shift = (F.col("moment") / F.col("weight")).cast("bigint")
+    # The cast truncates towards zero; the last bits of a sum decide nothing.
+    mean = F.col("moment") / F.col("weight")
+    shift = (mean + F.signum(mean) * F.lit(SAME_WHOLE)).cast("bigint")
     return sums.select(
         *KEY, "rg",
         F.when(

@@ -19,6 +19,8 @@ BATCH_OBS = 200_000
 
 LOG2, LOG10 = np.log(2.0), np.log(10.0)
 SAME_FREQUENCY = 1e-4
+#: A mean this close below a whole number counts as that number before it is truncated.
+SAME_WHOLE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -194,7 +196,8 @@ def length_and_shift(
         mean = np.where(weight > 0, moment / weight, 0.0)
         length = np.floor(np.maximum(mean, 0.0) + 0.5).astype(np.int64)
         w = _sum(b.e_g, from_ref, len(b.g_s))
-        shift = np.where(w > 0, np.trunc(_sum(b.e_g, from_ref * b.dev, len(b.g_s)) / w), 0.0)
+        mean = _sum(b.e_g, from_ref * b.dev, len(b.g_s)) / w
+        shift = np.where(w > 0, np.trunc(mean + np.sign(mean) * SAME_WHOLE), 0.0)
     limit = rgs.stddev[b.g_rg]
     shift = np.where(np.abs(shift) > limit, 0, shift).astype(np.int64)
     return length, shift

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lacuna.functions import genotype as G
 from lacuna.functions.density import lookup
 from lacuna.operators import em, genotyping, histograms, intervals, merging, windows
-from lacuna.params import CallParams
+from lacuna.params import CHI2_Q99, CallParams
 from lacuna.plans.registry import query
 from lacuna.plans.stand_ins import N_SAMPLES, Pairs
 
@@ -215,6 +217,68 @@ def length_update(spark, sf):
     return em.length_moments(b.densities, b.likelihoods, b.seeds).select(*KEY, r("weight", 4), r("moment", 3))
 
 
+@query(
+    "length_step",
+    """SELECT contig, p, len0, CAST(CASE WHEN weight = 0 OR moment / weight < 0 THEN 0 ELSE floor(moment / weight + 0.5) END AS BIGINT) AS len
+FROM (SELECT d.contig, d.p, d.len0, sum(w) AS weight, sum(w * d.dev) AS moment FROM (
+  SELECT pd.*, pd.cnt * (p1 / (p0 + p1 + p2) * pd.dl / (pd.dl + pd.ref) + p2 / (p0 + p1 + p2)) AS w
+  FROM pd JOIN post t ON pd.contig = t.contig AND pd.p = t.p AND pd.len0 = t.len0 AND pd.sample = t.sample) d
+GROUP BY d.contig, d.p, d.len0)""",
+    "pd", "post",
+)
+def length_step(spark, sf):
+    b = Pairs.stage(spark, sf)
+    return em.length_update(b.densities, b.likelihoods, b.seeds)
+
+
+@query(
+    "shift_update",
+    f"""SELECT contig, p, len0, rg, CAST(CASE WHEN weight > 0 AND abs(trunc(mean)) <= stddev THEN trunc(mean) ELSE 0 END AS BIGINT) AS shift
+FROM (SELECT *, moment / weight + sign(moment / weight) * 1e-9::DOUBLE AS mean FROM (SELECT d.contig, d.p, d.len0, d.rg, max(m.stddev) AS stddev, sum(w) AS weight, sum(w * dev) AS moment
+      FROM (SELECT pd.*, pd.cnt * (b1 * pd.ref / (pd.dl + pd.ref) + b0) AS w FROM pd JOIN (
+              SELECT contig, p, len0, rg, r0 * g0 / (r0 * g0 + r1 * g1 + r2 * g2) AS b0, r1 * g1 / (r0 * g0 + r1 * g1 + r2 * g2) AS b1
+              FROM (SELECT l.*, s.g0, s.g1, s.g2, exp(l0 - greatest(l0, l1, l2)) AS r0, exp(l1 - greatest(l0, l1, l2)) AS r1,
+                           exp(l2 - greatest(l0, l1, l2)) AS r2
+                    FROM (SELECT contig, p, len0, rg, sum(cnt * ln(ref)) AS l0, sum(cnt * (ln(ref + dl) - {math.log(2.0)!r})) AS l1,
+                                 sum(cnt * ln(dl)) AS l2 FROM pd GROUP BY contig, p, len0, rg) l
+                    JOIN state s ON l.contig = s.contig AND l.p = s.p AND l.len0 = s.len0)) t
+            ON pd.contig = t.contig AND pd.p = t.p AND pd.len0 = t.len0 AND pd.rg = t.rg) d
+      JOIN mom m ON m.rg = d.rg GROUP BY d.contig, d.p, d.len0, d.rg))""",
+    "pd", "state", "mom",
+)
+def shift_update(spark, sf):
+    b = Pairs.stage(spark, sf)
+    groups = em.group_likelihoods(em.log_likelihoods(b.densities, "rg"))
+    return em.shift_update(b.densities, groups, b.seeds)
+
+
+@query(
+    "min_likelihood_ratio",
+    f"""SELECT contig, p, len0 FROM (SELECT contig, p, len0, round(lr, 4) AS lr FROM lrs)
+WHERE lr >= {CHI2_Q99!r} / 2 - ln(0.2::DOUBLE / (1 - 0.2::DOUBLE))""",
+    "lrs",
+)
+def min_likelihood_ratio(spark, sf):
+    b = Pairs.stage(spark, sf)
+    lr = em.likelihood_ratio(b.likelihoods, b.seeds, N_SAMPLES).select(*KEY, r("lr", 4))
+    return lr.where(F.col("lr") >= CallParams(prior=0.2).min_likelihood_ratio).select(*KEY)
+
+
+@query(
+    "load_limits_join",
+    """SELECT a.contig, a.p, a.sample, a.rg, a.dev, count(*) AS cnt, max(l.n) AS n,
+       max(l.n) >= CASE WHEN a.rg < 5 THEN a.rg + 1 ELSE 4 END AS high_cov
+FROM active a JOIN loads l ON a.contig = l.contig AND a.p = l.p AND a.sample = l.sample AND a.rg = l.rg
+GROUP BY a.contig, a.p, a.sample, a.rg, a.dev""",
+    "active", "loads",
+)
+def load_limits_join(spark, sf):
+    b = Pairs(spark, sf)
+    limits = b.pairs.where("rg < 5").select("rg").distinct().withColumn("max_load", F.col("rg") + 1)
+    loaded = windows.with_load(windows.deviation_counts(b.active), limits, 4)
+    return loaded.select("contig", "p", "sample", "rg", "dev", "cnt", "n", "high_cov")
+
+
 @query(
     "dad_counts",
     "SELECT * FROM dad",
@@ -433,6 +497,23 @@ def call_genotypes(spark, sf):
     return samples.select(*merging.CALL, "sample", "pl0", "pl1", "pl2", "lad_ref", "lad_amb", "lad_del", "first", "last")
 
 
+@query(
+    "padded_median",
+    """SELECT contig, sample, win, CAST(CASE WHEN (count(*) + 3) // 2 - 3 < 0 THEN 0
+         ELSE list_sort(list(lad_ref))[(count(*) + 3) // 2 - 3 + 1] END AS BIGINT) AS lad_ref
+FROM (SELECT *, CAST(p // 3000 * 3000 AS BIGINT) AS win FROM lad) GROUP BY contig, sample, win""",
+    "lad",
+)
+def padded_median(spark, sf):
+    from lacuna.functions.arrays import padded_upper_median
+
+    rows = em.depth_classes(Pairs.stage(spark, sf).densities).withColumn("win", windows.bin_start(F.col("p"), 3000))
+    listed = rows.groupBy("contig", "sample", "win").agg(
+        F.array_sort(F.collect_list("lad_ref")).alias("listed"), (F.count(F.lit(1)) + 3).alias("n")
+    )
+    return listed.select("contig", "sample", "win", padded_upper_median(F.col("listed"), F.col("n")).alias("lad_ref"))
+
+
 # ---------------------------------------------------------------- clustering of made-up window calls
 
 SIGMA = 10.0
@@ -504,6 +585,28 @@ def merged_genotypes(spark, sf):
     return rows.select(*merging.CALL, "sample", "n_windows", *PL, "lad_ref", "lad_del")
 
 
+@query(
+    "call_filter",
+    """SELECT m.contig, m.segment, m.cluster, m.pos, m.len, round(sum(CASE WHEN pl0 = 0 THEN 0 WHEN pl1 = 0 THEN 1 ELSE 2 END) / 10.0::DOUBLE, 6) AS af
+FROM (SELECT * FROM mergedpos WHERE filter = 0) m JOIN (
+  SELECT k.contig, k.segment, k.cluster, g.sample, sum(pl0) AS pl0, sum(pl1) AS pl1
+  FROM (SELECT contig, segment, cluster, min(p) AS p, min(len0) AS len0 FROM members GROUP BY contig, segment, cluster HAVING count(*) = 1) k
+  JOIN pls g ON k.contig = g.contig AND k.p = g.p AND k.len0 = g.len0 GROUP BY k.contig, k.segment, k.cluster, g.sample) s
+  ON m.contig = s.contig AND m.segment = s.segment AND m.cluster = s.cluster GROUP BY m.contig, m.segment, m.cluster, m.pos, m.len""",
+    "mergedpos", "members", "pls",
+)
+def call_filter(spark, sf):
+    """Calls that pass, with the frequency of their genotypes; clusters with one genotyping window only."""
+    b = Pairs.stage(spark, sf)
+    merged = merging.merged_positions(merging.cluster_calls(_window_calls(b), SIGMA), 0.5)
+    clustered = merging.cluster_calls(_window_calls(b), SIGMA)
+    members = merging.genotype_members(clustered, merged)
+    single = members.groupBy(*merging.CALL).agg(F.min("p").alias("p"), F.min("len0").alias("len0"), F.count(F.lit(1)).alias("n"))
+    samples = _phred(b).join(single.where("n = 1"), KEY)
+    called = merging.finish_calls(merged, samples, N_SAMPLES).where("filter = 0")
+    return called.select(*merging.CALL, "pos", "len", r("af"))
+
+
 @query(
     "merge_windows_islands",
     """SELECT contig, segment, CAST(island AS BIGINT) AS island, count(*) AS n, list_sort(list(len0))[count(*) // 2 + 1] AS len,

@@ -271,6 +271,44 @@ def rg_coverage(spark, sf):
     return cov.select("rg", "n", F.round("coverage", 6).alias("coverage"), (F.col("coverage") < 1000).alias("low"))
 
 
+@query(
+    "capped_histogram",
+    "SELECT rg, least(abs(size - 500), 199) AS size, count(*) AS cnt FROM reads GROUP BY ALL",
+    "reads",
+)
+def capped_histogram(spark, sf):
+    rows = Reads(spark, sf).reads.select("rg", histograms.capped_size(F.col("size") - 500, 200).alias("size"))
+    return histograms.insert_size_histogram(rows)
+
+
+@query(
+    "low_coverage",
+    """SELECT rg, n, round(count_all * 50 * 2, 6) AS coverage FROM (
+  SELECT rg, count(*) AS n, count(*) / (SELECT CAST(max(pos) AS DOUBLE) FROM reads) AS count_all FROM reads GROUP BY rg)
+WHERE count_all * 50 * 2 < 1500""",
+    "reads",
+)
+def low_coverage(spark, sf):
+    b = Reads(spark, sf)
+    length = b.reads.select(F.max("pos").cast("double")).scalar()
+    cov = histograms.coverage(b.hist, length, b.hist.select("rg").distinct().withColumn("read_len", F.lit(50)))
+    return histograms.low_coverage(cov, 1500).select("rg", "n", F.round("coverage", 6).alias("coverage"))
+
+
+@query(
+    "fill_open_intervals",
+    """SELECT i.itv, i.contig, CASE WHEN itv % 3 = 0 THEN 0 ELSE beg END AS beg, CASE WHEN itv % 5 = 0 THEN n.len ELSE "end" END AS "end"
+FROM itv i JOIN (SELECT contig, max("end") AS len FROM itv GROUP BY contig) n ON i.contig = n.contig""",
+    "itv",
+)
+def fill_open_intervals(spark, sf):
+    b = Intervals(spark, sf)
+    rows = b.intervals.withColumn("beg", F.when(F.col("itv") % 3 != 0, F.col("beg"))).withColumn(
+        "end", F.when(F.col("itv") % 5 != 0, F.col("end"))
+    )
+    return intervals.close_intervals(rows, b.contigs).select("itv", "contig", "beg", "end")
+
+
 @query(
     "sampling_stop",
     """SELECT CAST(CASE WHEN count(*) = count(itv) THEN max(itv) END AS BIGINT) AS last_itv FROM (
