@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from lacuna.functions.density import KERNEL, KERNEL_SUM, SMOOTH_REACH
 from lacuna.functions.genotype import likelihood_ladder
@@ -277,6 +278,126 @@ cte(
 FROM pls""",
     "pls",
 )
+LENGTH_STEP = """SELECT contig, p, len0, CAST(CASE WHEN weight = 0 OR moment / weight < 0 THEN 0 ELSE floor(moment / weight + 0.5) END AS BIGINT) AS len
+FROM (SELECT d.contig, d.p, d.len0, sum(w) AS weight, sum(w * d.dev) AS moment FROM (
+  SELECT pd.*, pd.cnt * (p1 / (p0 + p1 + p2) * pd.dl / (pd.dl + pd.ref) + p2 / (p0 + p1 + p2)) AS w
+  FROM pd JOIN post t ON pd.contig = t.contig AND pd.p = t.p AND pd.len0 = t.len0 AND pd.sample = t.sample) d
+GROUP BY d.contig, d.p, d.len0)"""
+SHIFT_STEP = f"""SELECT contig, p, len0, rg, CAST(CASE WHEN weight > 0 AND abs(trunc(mean)) <= stddev THEN trunc(mean) ELSE 0 END AS BIGINT) AS shift
+FROM (SELECT *, moment / weight + sign(moment / weight) * 1e-9::DOUBLE AS mean FROM (
+      SELECT d.contig, d.p, d.len0, d.rg, max(m.stddev) AS stddev, sum(w) AS weight, sum(w * dev) AS moment
+      FROM (SELECT pd.*, pd.cnt * (b1 * pd.ref / (pd.dl + pd.ref) + b0) AS w FROM pd JOIN (
+              SELECT contig, p, len0, rg, r0 * g0 / (r0 * g0 + r1 * g1 + r2 * g2) AS b0, r1 * g1 / (r0 * g0 + r1 * g1 + r2 * g2) AS b1
+              FROM (SELECT l.*, s.g0, s.g1, s.g2, exp(l0 - greatest(l0, l1, l2)) AS r0, exp(l1 - greatest(l0, l1, l2)) AS r1,
+                           exp(l2 - greatest(l0, l1, l2)) AS r2
+                    FROM (SELECT contig, p, len0, rg, sum(cnt * ln(ref)) AS l0, sum(cnt * (ln(ref + dl) - {LN2})) AS l1,
+                                 sum(cnt * ln(dl)) AS l2 FROM pd GROUP BY contig, p, len0, rg) l
+                    JOIN state s ON l.contig = s.contig AND l.p = s.p AND l.len0 = s.len0)) t
+            ON pd.contig = t.contig AND pd.p = t.p AND pd.len0 = t.len0 AND pd.rg = t.rg) d
+      JOIN mom m ON m.rg = d.rg GROUP BY d.contig, d.p, d.len0, d.rg))"""
+_DENSITIES = """SELECT o.contig, o.p, s.len0, o.sample, o.rg, o.dev, o.cnt,
+       coalesce(r.v, m.min_prob) AS ref, coalesce(d.v, m.min_prob) AS dl
+FROM obs o JOIN state s ON o.contig = s.contig AND o.p = s.p
+JOIN minp m ON m.rg = o.rg JOIN med ON med.rg = o.rg
+LEFT JOIN shifts h ON h.contig = o.contig AND h.p = o.p AND h.len0 = s.len0 AND h.rg = o.rg
+LEFT JOIN dens r ON r.rg = o.rg AND r.size = o.dev + med.median - coalesce(h.shift, 0)
+LEFT JOIN dens d ON d.rg = o.rg AND d.size = o.dev + med.median - s.len"""
+_SAME = "a.contig = {0}.contig AND a.p = {0}.p AND a.len0 = {0}.len0"
+
+
+def unrolled_estimation(rounds: int, min_len: int, min_lr: float) -> str:
+    """Defines the given number of estimation rounds, each a chain of expressions; returns the last one's name.
+
+    The bodies are those of the single step with the names of the round in place.
+    """
+    base = ("obs", "minp", "med", "dens", "mom")
+
+    def define(name: str, body: str, **names: str) -> str:
+        for old, new in names.items():
+            # an alias is in small letters; a name without one becomes the alias
+            body = re.sub(rf"\b(FROM|JOIN) {old}\b(?! [a-z])", rf"\1 {new} {old}", body)
+            body = re.sub(rf"\b(FROM|JOIN) {old} (?=[a-z])", rf"\1 {new} ", body)
+        cte(name, body, *names.values(), *base)
+        return name
+
+    def likelihoods(tag: str, states: str, shifts: str) -> tuple[str, str]:
+        pd = define(f"pd{tag}", _DENSITIES, state=states, shifts=shifts)
+        logs = define(f"logs{tag}", CTES["logs"][1], pd=pd)
+        return pd, define(f"lik{tag}", CTES["lik"][1], logs=logs)
+
+    def ratio(tag: str, lik: str, weights: str) -> tuple[str, str]:
+        post = define(f"post{tag}", CTES["post"][1], lik=lik, state=weights)
+        return post, define(f"lrs{tag}", CTES["lrs"][1], post=post)
+
+    past = [f"CAST(NULL AS BIGINT) AS vl{k}, CAST(NULL AS DOUBLE) AS va{k}" for k in range(rounds)]
+    cte(f"st_{rounds}00", f"SELECT *, len0 AS len, 0 AS iterations, TRUE AS alive, {', '.join(past)} FROM state", "state")
+    state = f"st_{rounds}00"
+    cte(f"sh_{rounds}00", "SELECT contig, p, len0, CAST(0 AS BIGINT) AS rg, CAST(0 AS BIGINT) AS shift FROM state WHERE FALSE", "state")
+    shifts = f"sh_{rounds}00"
+    for t in range(rounds):
+        n = f"_{rounds}{t}1"
+        active = define(f"act{n}", f"SELECT * FROM s WHERE alive AND len >= {min_len}", s=state)
+        pd, lik = likelihoods(f"b{n}", active, shifts)
+        post, before = ratio(f"b{n}", lik, active)
+        longer = define(f"nl{n}", LENGTH_STEP, pd=pd, post=post)
+        moved_shift = define(f"ns{n}", SHIFT_STEP, pd=pd, state=active)
+        cte(f"mv{n}", f"SELECT a.* EXCLUDE (len), b.len FROM {active} a JOIN {longer} b ON {_SAME.format('b')}", active, longer)
+        _, lik = likelihoods(f"a{n}", f"mv{n}", moved_shift)
+        post, _ = ratio(f"a{n}", lik, active)
+        share = define(f"af{n}", CTES["afup"][1], post=post)
+        weights = define(
+            f"wt{n}",
+            f"""SELECT *, greatest((1 - af) * (1 - af), {EPS}) AS g0, greatest(2 * af * (1 - af), {EPS}) AS g1,
+       greatest(af * af, {EPS}) AS g2 FROM s""",
+            s=share,
+        )
+        _, after = ratio(f"c{n}", lik, weights)
+        seen = ", ".join(f"vl{k}" if k != t else "len AS vl" + str(k) for k in range(rounds))
+        seen_af = ", ".join(f"va{k}" if k != t else "af AS va" + str(k) for k in range(rounds))
+        known = " ".join(f"WHEN n_len = {'len' if k == t else f'vl{k}'} THEN {'af' if k == t else f'va{k}'}" for k in range(t, -1, -1))
+        cte(
+            f"step{n}",
+            f"""SELECT *, settled AND lr_before > lr_now AS back FROM (
+  SELECT *, n_af = 0 AS lost, coalesce(n_af <> 0 AND abs(CASE {known} END - n_af) <= 1e-4, FALSE) AS settled FROM (
+    SELECT a.*, b.len AS n_len, c.af AS n_af, c.g0 AS n0, c.g1 AS n1, c.g2 AS n2, d.lr AS lr_before, e.lr AS lr_now
+    FROM {active} a JOIN {longer} b ON {_SAME.format('b')} JOIN {weights} c ON {_SAME.format('c')}
+    JOIN {before} d ON {_SAME.format('d')} JOIN {after} e ON {_SAME.format('e')}))""",
+            active, longer, weights, before, after,
+        )
+        columns = f"contig, p, len0, len, af, g0, g1, g2, iterations, alive, {', '.join(f'vl{k}, va{k}' for k in range(rounds))}"
+        cte(
+            f"st{n}",
+            f"""SELECT {columns} FROM (
+  SELECT contig, p, len0, CASE WHEN back THEN len ELSE n_len END AS len, CASE WHEN back THEN af ELSE n_af END AS af,
+         CASE WHEN lost THEN g0 ELSE n0 END AS g0, CASE WHEN lost THEN g1 ELSE n1 END AS g1, CASE WHEN lost THEN g2 ELSE n2 END AS g2,
+         iterations + 1 AS iterations, NOT (settled OR lost) AS alive, {seen}, {seen_af} FROM step{n})
+UNION ALL SELECT {columns.replace('alive', 'FALSE')} FROM {state} a WHERE NOT EXISTS (SELECT 1 FROM step{n} b WHERE {_SAME.format('b')})""",
+            f"step{n}", state,
+        )
+        cte(
+            f"sh{n}",
+            f"""SELECT a.* FROM {moved_shift} a JOIN step{n} b ON {_SAME.format('b')} WHERE NOT back
+UNION ALL SELECT a.* FROM {shifts} a WHERE NOT EXISTS (SELECT 1 FROM step{n} b WHERE {_SAME.format('b')} AND NOT back)""",
+            moved_shift, shifts, f"step{n}",
+        )
+        state, shifts = f"st{n}", f"sh{n}"
+    n = f"_{rounds}99"
+    good = define(f"good{n}", f"SELECT * FROM s WHERE af >= {EPS} AND len >= {min_len}", s=state)
+    _, lik = likelihoods(f"f{n}", good, shifts)
+    _, last = ratio(f"f{n}", lik, good)
+    cte(
+        f"em{n}",
+        f"""SELECT a.contig, a.p, a.len0, CAST(a.iterations AS BIGINT) AS iterations, a.len, round(b.lr, 4) AS lr, round(a.af, 4) AS af,
+       c.data_samples
+FROM {good} a JOIN {last} b ON {_SAME.format('b')}
+JOIN (SELECT contig, p, count(*) FILTER (WHERE n_active >= 2) AS data_samples FROM sampled GROUP BY contig, p) c
+  ON a.contig = c.contig AND a.p = c.p
+WHERE b.lr >= {min_lr}""",
+        good, last, "sampled",
+    )
+    return f"em{n}"
+
+
 # Window calls made up from candidates, and their clusters: the rows of a segment are walked one by one.
 cte(
     "wcalls",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -10,8 +10,9 @@ from lacuna.functions import genotype as G
 from lacuna.functions.density import lookup
 from lacuna.operators import em, genotyping, histograms, intervals, merging, windows
 from lacuna.params import CHI2_Q99, CallParams
+from lacuna.plans.oracle import LENGTH_STEP, SHIFT_STEP, unrolled_estimation
 from lacuna.plans.registry import query
-from lacuna.plans.stand_ins import N_SAMPLES, Pairs
+from lacuna.plans.stand_ins import MIN_LEN, N_SAMPLES, Pairs
 
 KEY = em.KEY
 
@@ -217,35 +218,13 @@ def length_update(spark, sf):
     return em.length_moments(b.densities, b.likelihoods, b.seeds).select(*KEY, r("weight", 4), r("moment", 3))
 
 
-@query(
-    "length_step",
-    """SELECT contig, p, len0, CAST(CASE WHEN weight = 0 OR moment / weight < 0 THEN 0 ELSE floor(moment / weight + 0.5) END AS BIGINT) AS len
-FROM (SELECT d.contig, d.p, d.len0, sum(w) AS weight, sum(w * d.dev) AS moment FROM (
-  SELECT pd.*, pd.cnt * (p1 / (p0 + p1 + p2) * pd.dl / (pd.dl + pd.ref) + p2 / (p0 + p1 + p2)) AS w
-  FROM pd JOIN post t ON pd.contig = t.contig AND pd.p = t.p AND pd.len0 = t.len0 AND pd.sample = t.sample) d
-GROUP BY d.contig, d.p, d.len0)""",
-    "pd", "post",
-)
+@query("length_step", LENGTH_STEP, "pd", "post")
 def length_step(spark, sf):
     b = Pairs.stage(spark, sf)
     return em.length_update(b.densities, b.likelihoods, b.seeds)
 
 
-@query(
-    "shift_update",
-    f"""SELECT contig, p, len0, rg, CAST(CASE WHEN weight > 0 AND abs(trunc(mean)) <= stddev THEN trunc(mean) ELSE 0 END AS BIGINT) AS shift
-FROM (SELECT *, moment / weight + sign(moment / weight) * 1e-9::DOUBLE AS mean FROM (SELECT d.contig, d.p, d.len0, d.rg, max(m.stddev) AS stddev, sum(w) AS weight, sum(w * dev) AS moment
-      FROM (SELECT pd.*, pd.cnt * (b1 * pd.ref / (pd.dl + pd.ref) + b0) AS w FROM pd JOIN (
-              SELECT contig, p, len0, rg, r0 * g0 / (r0 * g0 + r1 * g1 + r2 * g2) AS b0, r1 * g1 / (r0 * g0 + r1 * g1 + r2 * g2) AS b1
-              FROM (SELECT l.*, s.g0, s.g1, s.g2, exp(l0 - greatest(l0, l1, l2)) AS r0, exp(l1 - greatest(l0, l1, l2)) AS r1,
-                           exp(l2 - greatest(l0, l1, l2)) AS r2
-                    FROM (SELECT contig, p, len0, rg, sum(cnt * ln(ref)) AS l0, sum(cnt * (ln(ref + dl) - {math.log(2.0)!r})) AS l1,
-                                 sum(cnt * ln(dl)) AS l2 FROM pd GROUP BY contig, p, len0, rg) l
-                    JOIN state s ON l.contig = s.contig AND l.p = s.p AND l.len0 = s.len0)) t
-            ON pd.contig = t.contig AND pd.p = t.p AND pd.len0 = t.len0 AND pd.rg = t.rg) d
-      JOIN mom m ON m.rg = d.rg GROUP BY d.contig, d.p, d.len0, d.rg))""",
-    "pd", "state", "mom",
-)
+@query("shift_update", SHIFT_STEP, "pd", "state", "mom")
 def shift_update(spark, sf):
     b = Pairs.stage(spark, sf)
     groups = em.group_likelihoods(em.log_likelihoods(b.densities, "rg"))
@@ -474,6 +453,15 @@ def window_calls_em(spark, sf):
     return rows.where("lead").select(*KEY, "iterations", "len", r("lr", 4), r("af", 4), "data_samples")
 
 
+for _rounds in (1, 2):
+
+    @query(f"window_calls_em_{_rounds}", *(lambda n: (f"SELECT * FROM {n}", n))(unrolled_estimation(_rounds, MIN_LEN, 0.5)))
+    def window_calls_rounds(spark, sf, rounds=_rounds):
+        """The estimation stopped after a few rounds, which SQL can write out."""
+        rows = Pairs.stage(spark, sf).genotyped(replace(SMALL, iterations=rounds))
+        return rows.where("lead").select(*KEY, "iterations", "len", r("lr", 4), r("af", 4), "data_samples")
+
+
 def _merged(spark, sf):
     from lacuna.session import materialise
 
