@@ -7,6 +7,8 @@ repeated equal rows get equal results. A null id sorts after all others (``NO_ID
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -85,6 +87,16 @@ def slices(batches: Iterable[pa.RecordBatch], name: str = "text", most_bytes: in
             z = max(a + 1, z)
             yield b.slice(a, z - a)
             a = z
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker waits for its next task with what it holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import batch_of, run_folder
+from lacuna.llm.common import batch_of, release, run_folder, slices
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -247,7 +247,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for b in batches:
+        for b in slices(batches):
             for row in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 rows.append(row)
                 size += 16 + len(row[1] or "")
@@ -256,6 +256,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
                     rows, size = [], 0
         if rows:
             yield batch_of(_BLOCK, [[uuid.uuid4().int >> 65], [_pack(rows)]])
+        release()
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "block long, blob binary"
@@ -285,8 +286,10 @@ def _words(blocks: DataFrame, pattern: re.Pattern, groups: int, parts: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
-                parted = _parted(_taken_apart(_unpack(blob.as_buffer())[1], pattern)[0], block % groups, parts)
+                parted = _parted(_all_words(*_between_blanks(_unpack(blob.as_buffer())[1], pattern), pattern), block % groups, parts)
                 yield batch_of(schema, [list(parted), [block] * len(parted), [_JOIN.join(w) for w in parted.values()]])
+                del parted
+        release()
 
     return blocks.mapInArrow(run, "part long, block long, words string")
 
@@ -296,11 +299,8 @@ def _regular(text: str) -> bool:
     return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
 
 
-def _taken_apart(texts: list[str], pattern: re.Pattern) -> tuple[set[str], dict[str, list[str]]]:
-    """The distinct words of the texts, and the words of everything that stands between two blanks.
-
-    What stands between blanks is taken apart once, however often it occurs; letters alone are one word.
-    """
+def _between_blanks(texts: list[str], pattern: re.Pattern) -> tuple[set[str], set[str]]:
+    """Distinct words of irregular texts, and what stands between two blanks in the others."""
     met: set[str] = set()
     spaced: set[str] = set()
     for text in texts:
@@ -308,11 +308,19 @@ def _taken_apart(texts: list[str], pattern: re.Pattern) -> tuple[set[str], dict[
             spaced.update(text.split(" "))
         else:
             met.update(pattern.findall(normalise(text)))
-    apart = {w: [SPACE + w] if w.isalpha() and w.isascii() else pattern.findall(SPACE + w) for w in spaced}
-    for words in apart.values():
-        met.update(words)
+    return met, spaced
+
+
+def _apart(w: str, pattern: re.Pattern) -> list[str]:
+    """The words of what stands between two blanks; letters alone are one."""
+    return [SPACE + w] if w.isalpha() and w.isascii() else pattern.findall(SPACE + w)
+
+
+def _all_words(met: set[str], spaced: set[str], pattern: re.Pattern) -> set[str]:
+    for w in spaced:
+        met.update(_apart(w, pattern))
     met.discard(_JOIN)
-    return met, apart
+    return met
 
 
 def encode(
@@ -347,8 +355,8 @@ def encode(
         out = []
         for block, blob in zip(left.column("block").to_pylist(), left.column("blob"), strict=True):
             ids, texts = _unpack(blob.as_buffer())
-            met, apart = _taken_apart(texts, pattern)
-            for part, words in _parted(met, block % groups, parts).items():
+            met, spaced = _between_blanks(texts, pattern)
+            for part, words in _parted(_all_words(met, spaced, pattern), block % groups, parts).items():
                 values = by_part[part].values.to_numpy()
                 ends = np.flatnonzero(values == _END)
                 raw = values.astype(np.int32).tobytes()
@@ -358,10 +366,12 @@ def encode(
                 odd = (unknown[ends] > unknown[first]).tolist()
                 for word, a, e, has_unknown in zip(words, first.tolist(), ends.tolist(), odd, strict=True):
                     known[word] = _with_bytes(values[a:e], model) if has_unknown else raw[4 * a : 4 * e]
-            spaced = {w: known[words[0]] if len(words) == 1 else b"".join([known[x] for x in words]) for w, words in apart.items()}
+            del met
+            ready = {w: b"".join([known[x] for x in _apart(w, pattern)]) for w in spaced}
+            del spaced
             for k in range(0, len(texts), 1000):
                 raws = [
-                    b"".join(map(spaced.__getitem__, t.split(" ")) if _regular(t) else map(known.__getitem__, pattern.findall(normalise(t))))
+                    b"".join(map(ready.__getitem__, t.split(" ")) if _regular(t) else map(known.__getitem__, pattern.findall(normalise(t))))
                     for t in texts[k : k + 1000]
                 ]
                 arrays = [np.frombuffer(x, np.int32) for x in raws]
@@ -373,6 +383,7 @@ def encode(
                         [pa.array(ids[k : k + 1000], pa.int64()), lists, pa.array(np.diff(ends), pa.int64()), pa.array(hashes)], schema=schema
                     )
                 )
+        release()
         return pa.Table.from_batches(out, schema)
 
     together = blocks.groupBy("block").cogroup(back.groupBy("block"))
