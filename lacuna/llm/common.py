@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.session import checkpoint_dir
+from lacuna.session import materialise
 
 NO_ID = (1 << 63) - 1
 #: Every byte that is no word byte becomes a blank; A-Z become a-z; all of 0x80 and above belongs to words.
@@ -31,25 +30,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def run_folder(spark: SparkSession) -> str:
-    """Folder of this application below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/lacuna-llm-{spark.sparkContext.applicationId}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared run folder and reads it back.
 
     This cuts the lineage: later steps survive lost executors without running earlier ones again.
     """
-    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove_run_folder(spark: SparkSession) -> None:
-    """Deletes all staged tables of this application, through the file system that holds them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return materialise(df, name)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, null_text: str | None = "") -> DataFrame:

@@ -30,7 +30,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import batch_of, release, run_folder, slices
+from lacuna.llm.common import batch_of, release, slices
+from lacuna.session import run_folder
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"

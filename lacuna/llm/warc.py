@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import NO_ID, batch_of, run_folder, stage
+from lacuna.llm.common import NO_ID, batch_of, stage
+from lacuna.session import run_folder
 
 MIN_SHARED = 100
 #: Compressed bytes after which a task starts another archive file.
