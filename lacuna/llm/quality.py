@@ -8,8 +8,8 @@ The model then minimises
 
     prior * R_p(+)  +  max(0, R_u(-) - prior * R_p(-))
 
-with the logistic loss, so its output estimates the probability of label 1. It is fitted on the driver on at
-most ``MAX_POSITIVES`` and ``MAX_UNLABELLED`` rows, those with the smallest hash of their id; these two bounds
+with the logistic loss, so its output estimates the probability of label 1. It is fitted on the driver on about
+``MAX_POSITIVES`` and ``MAX_UNLABELLED`` rows at most, chosen by a hash of their id; these two bounds
 are parameters. The score is computed for every row by Spark.
 """
 
@@ -152,7 +152,14 @@ def fit(p: np.ndarray, u: np.ndarray) -> Fitted | None:
 
 
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    found = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("x").toArrow()
+    """Features of all rows, or of about ``most`` of them: those whose id hash lies below a cut that the count gives.
+
+    Only the rows chosen leave the executors, however many partitions there are.
+    """
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * most / n))
+    found = rows.orderBy(F.xxhash64("id"), "id").select("x").toArrow()
     return np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
 
 

@@ -42,6 +42,15 @@ def test_only_usable_positives_are_learned(spark, tables, monkeypatch):
     assert seen == [(usable, free)]
 
 
+def test_bounded_sample(tables):
+    docs, labels = tables
+    x, _ = quality.learned(docs, labels)
+    n = x.count()
+    some = quality._sample(x, 500)
+    assert abs(len(some) - 500) < 150 and n > 5000
+    assert (some == quality._sample(x, 500)).all() and len(quality._sample(x, n)) == n
+
+
 def test_prior():
     rng = np.random.default_rng(2)
     p = rng.normal(2, 1, 8000)
