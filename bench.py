@@ -1,4 +1,4 @@
-"""Times the headline queries (best of a few runs in one warm session) and prints one JSON line.
+"""Times the headline queries (median of a few runs in one warm session) and prints one JSON line.
 
 Set BENCH_SF_DIR for the tables and BENCH_CPUS for the number of local cores.
 """
@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 
 HEADLINE = [
     "isize_histogram",
@@ -40,7 +41,7 @@ def main() -> None:
             begin = time.perf_counter()
             QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - begin)
-        times[name] = round(min(runs), 3)
+        times[name] = round(statistics.median(runs), 3)
         print(f"{name}: {times[name]} s {[round(r, 2) for r in runs]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
