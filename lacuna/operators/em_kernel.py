@@ -46,24 +46,6 @@ class ReadGroups:
     lower_q: np.ndarray
     upper_q: np.ndarray
 
-    @classmethod
-    def from_arrow(cls, stats: pa.StructArray | pa.ChunkedArray) -> ReadGroups:
-        if isinstance(stats, pa.ChunkedArray):
-            stats = stats.combine_chunks()
-        values = stats.field("values")
-        slots = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        num = lambda name: stats.field(name).to_numpy(zero_copy_only=False)
-        return cls(
-            flat=values.flatten().to_numpy(zero_copy_only=False),
-            base=np.cumsum(slots) - slots,
-            slots=slots,
-            rebase=num("median").astype(np.int64) - num("offset").astype(np.int64),
-            min_prob=num("min_prob"),
-            stddev=num("stddev"),
-            lower_q=num("lower_q").astype(np.int64),
-            upper_q=num("upper_q").astype(np.int64),
-        )
-
     def density(self, rg: np.ndarray, dev: np.ndarray) -> np.ndarray:
         i = dev + self.rebase[rg]
         regular = (i > 0) & (i + 1 < self.slots[rg])

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from lacuna.operators.em_kernel import ReadGroups, Settings, kernel, shared_read
 from lacuna.operators.windows import GRID_TILE, grid_bin, grid_tiles, support_positions
 from lacuna.session import materialise
 
-STATS = ["offset", "values", "min_prob", "median", "stddev", "lower_q", "upper_q"]
+SCALARS = ["offset", "min_prob", "median", "stddev", "lower_q", "upper_q"]
 COUNTS = ["lad_ref", "lad_amb", "lad_del", "dad_ref", "dad_both", "dad_between", "dad_alt", "dad_right"]
 
 
@@ -52,8 +53,9 @@ def genotype_windows(observed: DataFrame, density: DataFrame, settings: Settings
     schema = genotype_schema(observed)
     arrow = to_arrow_schema(schema)
     parts = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = observed.withColumn("part", F.pmod(F.xxhash64("contig", "p"), F.lit(parts)))
-    stats = density.select("rg", F.struct(*STATS).alias("stats"))
+    dealt = observed.withColumn("part", F.pmod(F.xxhash64("contig", "p"), F.lit(parts)).cast("int"))
+    # one array per read group, its scalars first: cheap to leave out of the rows of observations
+    stats = density.select("rg", F.concat(F.array(*[F.col(c).cast("double") for c in SCALARS]), "values").alias("stats"))
     arrays = dealt.select("part", "rg").distinct().join(stats, "rg")
     rows = dealt.unionByName(arrays, allowMissingColumns=True)
 
@@ -70,19 +72,31 @@ def genotype_windows(observed: DataFrame, density: DataFrame, settings: Settings
                 return
 
     return (
-        rows.repartition(parts, "part")
+        rows.repartitionById(parts, "part")
         .sortWithinPartitions(F.col("stats").isNull(), "contig", "p", "len0", "sample", "rg", "dev")
         .mapInArrow(run, schema)
     )
 
 
 def _densities(batches: list[pa.RecordBatch]) -> tuple[list, dict]:
-    """Read groups with their arrays, each once."""
+    """Read groups with their statistics and densities, each once."""
     table = pa.Table.from_batches(batches)
-    ids = table["rg"].to_pylist()
-    position = {rg: i for i, rg in enumerate(ids)}
-    chosen = table.take(pa.array(list(position.values()), pa.int64()))
-    return chosen["rg"].to_pylist(), vars(ReadGroups.from_arrow(chosen["stats"]))
+    position = {rg: i for i, rg in enumerate(table["rg"].to_pylist())}
+    lists = [table["stats"][i].values.to_numpy() for i in position.values()]
+    scalars = np.array([x[: len(SCALARS)] for x in lists]).reshape(-1, len(SCALARS))
+    slots = np.array([len(x) - len(SCALARS) for x in lists], dtype=np.int64)
+    offset, min_prob, median, stddev, lower_q, upper_q = scalars.T
+    groups = ReadGroups(
+        flat=np.concatenate([x[len(SCALARS) :] for x in lists]) if lists else np.zeros(0),
+        base=np.cumsum(slots) - slots,
+        slots=slots,
+        rebase=median.astype(np.int64) - offset.astype(np.int64),
+        min_prob=min_prob,
+        stddev=stddev,
+        lower_q=lower_q.astype(np.int64),
+        upper_q=upper_q.astype(np.int64),
+    )
+    return list(position), vars(groups)
 
 
 # ---------------------------------------------------------------- from candidates to window calls
