@@ -1,11 +1,13 @@
 """License scans: exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line of a text; blocks and templates are sets of words. A block matches a template if it contains at
-least ``CONTAINMENT`` of the template's words. Tokens are ordered by their frequency over all blocks,
-rarest first. A template's prefix, its rarest ``n - need + 1`` words, must share a word with any matching
-block; blocks are joined to templates on prefix words. A pair stays if the block has enough words (length)
-and if what follows the shared word on both sides can still reach the needed overlap (position). What is left is
-verified by intersecting the sets. Templates are fixed values of a few hundred words in all, so they travel in the plan.
+A block is a window of consecutive words of a text, whatever its line ends: ``template size / containment`` words long for
+each template, at every place. Blocks and templates are sets of words. A block matches a template if it contains at
+least ``CONTAINMENT`` of the template's words, all words that ``MARKS`` requires and none that it excludes. Tokens are ordered
+by the number of texts that hold them, rarest first. A template's prefix, its rarest ``n - need + 1`` words, must share a
+word with any text that holds a matching block; texts are joined to templates on prefix words. A pair stays if the
+text has enough of the words (length) and if what follows the shared word on both sides can still reach the needed
+overlap (position). In the texts that are left, a window stays if it holds enough places of template words (length), and
+is verified by intersecting the sets. Templates are fixed values of a few hundred words in all, so they travel in the plan.
 
 Besides, the base finds the places of three phrases, word by word.
 """
@@ -28,7 +30,7 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-notice": "Work licensed under the GNU General Public License 3",
     "mit-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
@@ -48,6 +50,8 @@ TEMPLATES = {
         "following conditions are met"
     ),
 }
+# Words of a window that a template's license needs, and words that name another license.
+MARKS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,21 +65,20 @@ def words(text: Column) -> Column:
     return F.filter(_split(F.translate(text, _UPPER, _LOWER)), lambda w: w != "")
 
 
+def template_tokens(text: str) -> list[str]:
+    return "".join(c if c.isalnum() and c.isascii() else " " for c in text.lower()).split()
+
+
 def template_words(text: str) -> list[str]:
-    out: list[str] = []
-    for w in "".join(c if c.isalnum() and c.isascii() else " " for c in text.lower()).split():
-        if w not in out:
-            out.append(w)
-    return out
+    return list(dict.fromkeys(template_tokens(text)))
 
 
 def _needed(size: int, containment: float) -> int:
     return max(1, ceil(containment * size - 1e-9))
 
 
-def _places(text: Column) -> Column:
-    """Structs (start, label) of all places of the phrases, found from their last word, which they share."""
-    w = words(text)
+def _places(w: Column) -> Column:
+    """Structs (start, label) of all places of the phrases in words, found from their last word, which they share."""
     last = {p.split()[-1] for p in PHRASES}
     if len(last) != 1:
         raise ValueError("the phrases must end in one word")
@@ -92,58 +95,91 @@ def _places(text: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], least: int) -> DataFrame:
-    """(uid, id, n_words, places, blocks): one pass over the texts, stored.
+def _sets(templates: dict[str, str]) -> dict[str, list[str]]:
+    return {t: template_words(x) for t, x in templates.items()}
+
+
+def _known(templates: dict[str, str]) -> list[str]:
+    """The words of the templates and their marks."""
+    marks = [w for t in templates for side in MARKS.get(t, ()) for w in side]
+    return sorted({w for s in _sets(templates).values() for w in s} | set(marks))
 
-    A block keeps its distinct words of the template vocabulary; blocks with fewer than ``least`` go.
+
+def scanned(docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str], containment: float) -> DataFrame:
+    """(uid, id, n_words, places, known, words): one pass over the texts, stored.
+
+    ``known`` are the distinct words of a text that templates have; ``words`` all words in order, null for texts with too few
+    of every template.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    blocks = F.transform(
-        F.split(F.translate("text", _UPPER, _LOWER), "\n"), lambda line: F.array_intersect(known, _split(line))
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), words(text).alias("w"))
+    of_templates = F.array(*[F.lit(w) for w in _known(templates)])
+    rows = rows.select("id", "w", F.array_intersect(of_templates, F.col("w")).alias("known"))
+    enough = F.lit(False)
+    for s in _sets(templates).values():
+        both = F.size(F.array_intersect(F.array(*[F.lit(w) for w in s]), F.col("known")))
+        enough = enough | (both >= _needed(len(s), containment))
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
     return stage(
         rows.select(
             F.monotonically_increasing_id().alias("uid"),
             "id",
-            F.size(F.filter(_split(F.col("text")), lambda w: w != "")).cast("long").alias("n_words"),
-            F.when(F.lower("text").contains("license"), _places(F.col("text"))).otherwise(none).alias("places"),
-            F.filter(blocks, lambda b: F.size(b) >= least).alias("blocks"),
+            F.size("w").cast("long").alias("n_words"),
+            F.when(F.array_contains("w", "license"), _places(F.col("w"))).otherwise(none).alias("places"),
+            "known",
+            F.when(enough, F.col("w")).alias("words"),
         ),
         "licenses",
     )
 
 
+def _best(hits: Column) -> Column:
+    """The largest overlap of a window with its template, 0 without a match; a window starts at a word of ``hits``."""
+
+    def at(k: Column) -> Column:
+        return F.get(hits, k)["i"]
+
+    def overlap(k: Column) -> Column:
+        # a mark that excludes may stand up to two words before: 'Lesser General Public License'
+        near = F.filter(F.slice(hits, F.greatest(k - 1, F.lit(1)), F.col("span") + 2), lambda h: (h["i"] >= at(k) - 2) & (h["i"] < at(k) + F.col("span")))
+        block = F.transform(F.filter(near, lambda h: h["i"] >= at(k)), lambda h: h["x"])
+        good = (F.size(F.array_except("required", block)) == 0) & ~F.arrays_overlap("excluded", F.transform(near, lambda h: h["x"]))
+        return F.when(good, F.size(F.array_intersect("template_words", block))).otherwise(F.lit(0))
+
+    places = F.when(F.size(hits) >= F.col("need"), F.sequence(F.lit(0), F.size(hits) - F.col("need"))).otherwise(F.expr("cast(array() as array<int>)"))
+    full = F.filter(places, lambda k: at(k + F.col("need") - 1) < at(k) + F.col("span"))
+    return F.coalesce(F.array_max(F.transform(full, overlap)), F.lit(0))
+
+
 def template_matches(rows: DataFrame, templates: dict[str, str], containment: float) -> DataFrame:
-    """(uid, template, contained): all matches of blocks with templates, with the share of the template contained."""
+    """(uid, template, contained): all matches of texts with templates, with the largest share of the template in a window."""
     spark = rows.sparkSession
-    sets = {t: template_words(x) for t, x in templates.items()}
-    vocabulary = sorted({w for s in sets.values() for w in s})
-    counts = rows.select(F.explode(F.flatten("blocks")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    sets = _sets(templates)
+    counts = rows.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     seen = {r["word"]: r["n"] for r in counts.collect()}  # at most one row per template word
-    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
+    order = sorted({w for s in sets.values() for w in s}, key=lambda w: (seen.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
-    prefixes = []
+    prefixes, whole = [], []
     for t, s in sets.items():
         need = _needed(len(s), containment)
         ranked = sorted(s, key=rank.__getitem__)
         prefixes += [(t, w, j, len(s), need) for j, w in enumerate(ranked[: len(s) - need + 1])]
+        required, excluded = MARKS.get(t, ((), ()))
+        length = len(template_tokens(templates[t]))
+        whole.append((t, s, [*{*s, *required, *excluded}], list(required), list(excluded), len(s), need, ceil(length / containment - 1e-9)))
     prefix = spark.createDataFrame(prefixes, "template string, word string, j int, size int, need int")
-    whole = spark.createDataFrame(list(sets.items()), "template string, words array<string>")
-    starts = sorted({w for _, w, *_ in prefixes})
-    blocks = rows.select("uid", F.posexplode("blocks").alias("block", "words"))
-    near = blocks.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in starts])))
-    ordered = near.select("uid", "block", F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words")).alias("words"))
-    tokens = ordered.select("uid", "block", "words", F.posexplode("words").alias("i", "word"))
-    pairs = tokens.join(F.broadcast(prefix), "word").where(
-        (F.size("words") >= F.col("need"))
-        & (F.least(F.size("words") - F.col("i"), F.col("size") - F.col("j")) >= F.col("need"))
-    )
-    # in both orders the first shared word comes first, so the smallest i stands for the pair
-    once = pairs.groupBy("uid", "block", "template").agg(F.min("i").alias("i"), F.first("words").alias("block_words"), F.first("size").alias("size"), F.first("need").alias("need"))
-    verified = once.join(F.broadcast(whole), "template").withColumn("overlap", F.size(F.array_intersect("block_words", "words")))
+    columns = "template string, template_words array<string>, marked array<string>, required array<string>, excluded array<string>, size int, need int, span int"
+    every = spark.createDataFrame(whole, columns)
+    texts = rows.where("words is not null")
+    ordered = texts.select("uid", F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("known")).alias("known"))
+    tokens = ordered.select("uid", F.size("known").alias("n"), F.posexplode("known").alias("i", "word"))
+    pairs = tokens.join(F.broadcast(prefix), "word").where("n >= need and least(n - i, size - j) >= need").select("uid", "template").distinct()
+    near = texts.select("uid", "words").join(pairs, "uid").join(F.broadcast(every), "template")
+    placed = F.transform("words", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    # stored, and filtered after a grouping: the optimizer would put the whole expression into every step of the search
+    hits = stage(near.withColumn("hits", F.filter(placed, lambda h: F.array_contains(F.col("marked"), h["x"]))).drop("words"), "hits")
+    best = hits.select("uid", "template", "size", "need", _best(F.col("hits")).alias("overlap"))
+    verified = best.groupBy("uid", "template", "size", "need").agg(F.max("overlap").alias("overlap"))
     return verified.where("overlap >= need").select("uid", "template", (F.col("overlap") / F.col("size")).alias("contained"))
 
 
@@ -157,17 +193,14 @@ def licenses(
     """(id, n_words, places, templates, contained) per document row.
 
     ``places`` are structs (start, label) of the phrases, ``templates`` the matching templates, sorted, ``contained``
-    the largest share of a template found in a block (0 without a match). A null text is empty. Repeated rows give one row each;
+    the largest share of a template found in a window (0 without a match). A null text is empty. Repeated rows give one row each;
     null ids stay null.
     """
     templates = TEMPLATES if templates is None else templates
-    sets = [template_words(x) for x in templates.values()]
-    vocabulary = sorted({w for s in sets for w in s})
-    least = min((_needed(len(s), containment) for s in sets), default=1)
-    rows = scanned(docs, id_col, text_col, vocabulary, least)
+    rows = scanned(docs, id_col, text_col, templates, containment)
     found = template_matches(rows, templates, containment)
     by_row = found.groupBy("uid").agg(F.sort_array(F.collect_set("template")).alias("templates"), F.max("contained").alias("contained"))
-    joined = rows.drop("blocks").join(by_row, "uid", "left")
+    joined = rows.drop("known", "words").join(by_row, "uid", "left")
     return joined.select(
         "id",
         "n_words",
