@@ -26,3 +26,23 @@ def test_wrapped(spark, width):
 def test_window_is_bounded(spark):
     apart = (" x" * 200).join(T["bsd-conditions"].split())
     assert labels(spark, [apart, T["bsd-conditions"]]) == [([], 0.0), (["bsd-conditions"], 1.0)]
+
+
+def test_other_licenses_are_told_apart(spark):
+    texts = [
+        "Released under the BSD License.",
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "under the " + "x " * 50 + "MIT " + "y " * 50 + "license",
+        "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "Licensed under CC BY-NC 4.0.",
+        "Released under the MIT License.",
+        "Licensed under the Apache License, Version 2.0.",
+        "This work is licensed under the GNU General Public License, version 3.",
+    ]
+    want = [["bsd-notice"], ["mpl-2.0-notice"], ["gpl-2.0-notice"], ["lgpl-notice"], ["agpl-notice"], [], [], []]
+    want += [["cc-by-nc-4.0-name"], ["mit-notice"], ["apache-2.0-notice"], ["gpl-3.0-notice"]]
+    assert [found for found, _ in labels(spark, texts)] == want
