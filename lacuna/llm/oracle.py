@@ -132,6 +132,35 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 
+_NEGATIVES = """
+WITH every AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label IS NOT NULL),
+good AS (SELECT vec_id FROM every GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))),
+v AS (SELECT vec_id, k, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM every JOIN good USING (vec_id)),
+named AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM embeddings JOIN good USING (vec_id) WHERE label IS NOT NULL
+),
+scores AS (
+    SELECT q.vec_id AS anchor_id, c.vec_id AS other, CAST(sum(q.x * c.x) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.k = c.k AND q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id GROUP BY q.vec_id, c.vec_id
+),
+pairs AS (
+    SELECT anchor_id, other, score, a.label = b.label AS same
+    FROM scores JOIN named a ON a.vec_id = anchor_id JOIN named b ON b.vec_id = other
+),
+positives AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS r FROM pairs WHERE same) WHERE r <= 5
+),
+ranked AS (
+    SELECT p.*, other AS negative_id, score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS r
+    FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT same
+        AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE r <= 10
+"""
+
 ORACLES = {
     "op1_substrings": _SUBSTRINGS,
     "op5_chat": _CHAT,
@@ -139,4 +168,5 @@ ORACLES = {
     "op7_licenses": _licenses(),
     "op8_warc": _WARC,
     "op10_topk": _TOPK,
+    "op11_negatives": _NEGATIVES,
 }

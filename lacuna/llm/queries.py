@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, decontaminate, licenses, quality, secrets, sentencepiece, simhash, substrings, topk, warc
+from lacuna.llm import chat, decontaminate, licenses, negatives, quality, secrets, sentencepiece, simhash, substrings, topk, warc
 from lacuna.llm import oracle as sql
 from lacuna.llm.common import read_table
 
@@ -129,3 +129,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.mine(vectors.withColumn("label", noisy), F.col("id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
