@@ -161,6 +161,23 @@ ranked AS (
 SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE r <= 10
 """
 
+_LEXICAL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_low("text")}, '{_ALNUM}') AS w FROM documents),
+sizes AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_low("text")}, '{_ALNUM}')) AS term FROM benchmark),
+dfs AS (SELECT term, count(*) AS df FROM tfs WHERE term IN (SELECT term FROM asked) GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM dfs, total),
+shares AS (
+    SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))) AS part
+    FROM tfs JOIN weights USING (term) JOIN sizes USING (doc_id), total
+),
+scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN shares USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10
+"""
+
 ORACLES = {
     "op1_substrings": _SUBSTRINGS,
     "op5_chat": _CHAT,
@@ -169,4 +186,5 @@ ORACLES = {
     "op8_warc": _WARC,
     "op10_topk": _TOPK,
     "op11_negatives": _NEGATIVES,
+    "op12_lexical": _LEXICAL,
 }

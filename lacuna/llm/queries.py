@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, decontaminate, licenses, negatives, quality, secrets, sentencepiece, simhash, substrings, topk, warc
+from lacuna.llm import chat, decontaminate, lexical, licenses, negatives, quality, secrets, sentencepiece, simhash, substrings, topk, warc
 from lacuna.llm import oracle as sql
 from lacuna.llm.common import read_table
 
@@ -137,3 +137,9 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     found = negatives.mine(vectors.withColumn("label", noisy), F.col("id") % 100 == 0)
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
