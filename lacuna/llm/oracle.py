@@ -178,6 +178,24 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10
 """
 
+#: The given pages have one element ``article`` each and nothing else in it than h1, p, b and br.
+_MAINTEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS inside FROM pages),
+pieces AS (SELECT page_id, url, string_split_regex(inside, '</?(h1|p)>') AS parts FROM a),
+plain AS (
+    SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(
+        regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<br>', ' ', 'g'),
+        '&quot;', '"'), '&lt;', '<'), '&gt;', '>')) AS parts
+    FROM pieces
+),
+decoded AS (
+    SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+        regexp_replace(x, '&amp;?', '&', 'g'), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'))), lambda x: x <> '') AS parts
+    FROM plain
+)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10))) AS n_chars FROM decoded
+"""
+
 ORACLES = {
     "op1_substrings": _SUBSTRINGS,
     "op5_chat": _CHAT,
@@ -187,4 +205,5 @@ ORACLES = {
     "op10_topk": _TOPK,
     "op11_negatives": _NEGATIVES,
     "op12_lexical": _LEXICAL,
+    "op13_maintext": _MAINTEXT,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, decontaminate, lexical, licenses, negatives, quality, secrets, sentencepiece, simhash, substrings, topk, warc
+from lacuna.llm import chat, decontaminate, lexical, licenses, maintext, negatives, quality, secrets, sentencepiece, simhash, substrings, topk, warc
 from lacuna.llm import oracle as sql
 from lacuna.llm.common import read_table
 
@@ -143,3 +143,8 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query
+def op13_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

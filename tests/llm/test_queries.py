@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_topk": "query_id rank vec_id score",
+    "op13_maintext": "page_id url text n_chars",
     "op12_lexical": "item_id rank doc_id score",
     "op11_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
