@@ -7,7 +7,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from lacuna.llm import decontaminate, quality, secrets  # noqa: E402
 from tests.llm.test_decontaminate import brute  # noqa: E402
-from tests.llm.test_simhash import brute_components, brute_print  # noqa: E402
+from tests.llm.test_near_copies import brute_kept  # noqa: E402
 
 
 def test_stages(spark, sf_small):
@@ -26,9 +26,7 @@ def test_stages(spark, sf_small):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == texts
 
     out = stages["near_duplicates"](spark, out, sf_small)
-    ids = sorted(texts)
-    groups = brute_components(ids, [brute_print(texts[i]) for i in ids])
-    texts = {i: texts[i] for i in set(groups)}
+    texts = {i: texts[i] for i in brute_kept(texts)}
     assert out.columns == columns and out.count() == len(texts)
     assert {r["doc_id"]: r["text"] for r in out.collect()} == texts
 
