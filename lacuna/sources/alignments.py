@@ -1,126 +1,168 @@
 """BAM files as a Spark data source.
 
-The index (``.bai``) names positions at which records start, so a file is cut into ranges of whole
-records without reading it, and ranges are decoded by separate tasks. Bases and qualities are
-skipped. Files must be reachable under the same path from every executor. CRAM is not read.
+The index (``.bai``) tells in which spans of the file the records of a region are, and names places at which records
+start, so a file is cut into ranges of whole records without reading it, and ranges are decoded by separate tasks.
+Regions given to ``read_bam`` and filters on ``contig`` and ``pos`` that Spark pushes down both reach the index: what
+lies outside is never read. Bases and qualities are skipped. CRAM is not read.
+
+Files lie on a local disk that every node mounts under the same path, or at an address that Arrow's file systems open
+(``hdfs://``, ``s3://``, ``gs://``, ``file://``).
 """
 
 from __future__ import annotations
 
 import json
 import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from lacuna.functions.reads import header_read_group
 from lacuna.functions.regions import sample_name
 from lacuna.params import ParameterError
+from lacuna.sources import bam_index
+from lacuna.sources.bam_records import decode, load_block, stretches
 
 SCHEMA = (
     "path string, contig string, pos int, mapq int, flag int, l_seq int, mate_contig string, mate_pos int,"
     " tlen int, cigar array<struct<op:string,n:int>>, qname string, rg string, as_score int"
 )
-ARROW = pa.schema(
-    [
-        ("path", pa.string()), ("contig", pa.string()), ("pos", pa.int32()), ("mapq", pa.int32()),
-        ("flag", pa.int32()), ("l_seq", pa.int32()), ("mate_contig", pa.string()), ("mate_pos", pa.int32()),
-        ("tlen", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("n", pa.int32())]))),
-        ("qname", pa.string()), ("rg", pa.string()), ("as_score", pa.int32()),
-    ]
-)
 
-# Fixed values of the file format: CIGAR operations and sizes of fixed-width tag values.
-CIGAR_OPS = "MIDNSHP=X"
-TAG_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-TAG_INTS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
-
-#: Compressed bytes per task, and records per batch.
+#: Compressed bytes per task, and files whose indices are read at the same time.
 RANGE_BYTES = 32 << 20
-BATCH_RECORDS = 20_000
+PLANNERS = 16
+#: The position of a record on no contig, and the one below which all positions end.
+UNPLACED, LAST = -1, 1 << 31
+
+
+def open_file(path: str):
+    """A seekable file on a local disk or at an address."""
+    if "://" not in path:
+        return open(path, "rb")  # noqa: SIM115
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
 
 
 class Blocks:
-    """Decompressed bytes from a virtual offset (block start << 16 | offset within block)."""
-
-    def __init__(self, path: str, begin: int = 0) -> None:
-        self.file = open(path, "rb")  # noqa: SIM115
-        self.file.seek(begin >> 16)
-        self.block = begin >> 16
-        self.next_block = self.block
-        self.data, self.at = b"", 0
-        if self._load():
-            self.at = begin & 0xFFFF
-
-    def _load(self) -> bool:
-        self.block = self.next_block
-        head = self.file.read(18)
-        if len(head) < 18:
-            self.data, self.at = b"", 0
-            return False
-        if head[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError("not a block-compressed file")
-        size = struct.unpack_from("<H", head, 16)[0] + 1
-        body = self.file.read(size - 18)
-        self.next_block = self.block + size
-        self.data, self.at = zlib.decompress(body[:-8], -15), 0
-        return True
+    """Decompressed bytes from the start of a file, block by block."""
+
+    def __init__(self, file) -> None:
+        self.file, self.data, self.at, self.next_block, self.block = file, b"", 0, 0, 0
 
     def tell(self) -> int:
-        """Virtual offset of the next byte; end of a block counts as start of the next one."""
-        if self.at >= len(self.data):
-            return self.next_block << 16
-        return self.block << 16 | self.at
+        """Virtual offset of the next byte; the end of a block counts as the start of the next one."""
+        return self.next_block << 16 if self.at >= len(self.data) else self.block << 16 | self.at
 
     def read(self, n: int) -> bytes:
-        """``n`` bytes, fewer only at the end of the file."""
         parts = []
         while n > 0:
-            if self.at >= len(self.data) and not self._load():
-                break
-            part = self.data[self.at : self.at + n]
-            self.at += len(part)
-            n -= len(part)
-            parts.append(part)
+            if self.at >= len(self.data):
+                if (loaded := load_block(self.file)) is None:
+                    break
+                self.data, self.at, self.block = loaded[0], 0, self.next_block
+                self.next_block += loaded[1]
+            parts.append(self.data[self.at : self.at + n])
+            self.at += len(parts[-1])
+            n -= len(parts[-1])
         return b"".join(parts)
 
 
 def read_header(path: str) -> tuple[str, list[tuple[str, int]], int]:
     """Header text, contigs and the offset of the first record."""
-    blocks = Blocks(path)
-    if blocks.read(4) != b"BAM\x01":
-        raise ValueError(f"{path} is not a BAM file")
-    text = blocks.read(struct.unpack("<i", blocks.read(4))[0]).rstrip(b"\0").decode()
-    contigs = []
-    for _ in range(struct.unpack("<i", blocks.read(4))[0]):
-        name = blocks.read(struct.unpack("<i", blocks.read(4))[0])[:-1].decode()
-        contigs.append((name, struct.unpack("<i", blocks.read(4))[0]))
-    return text, contigs, blocks.tell()
-
-
-def record_starts(path: str) -> list[list[int]]:
-    """Known record starts per contig from the linear part of the index."""
+    with open_file(path) as file:
+        blocks = Blocks(file)
+        if blocks.read(4) != b"BAM\x01":
+            raise ValueError(f"{path} is not a BAM file")
+        text = blocks.read(struct.unpack("<i", blocks.read(4))[0]).rstrip(b"\0").decode()
+        contigs = []
+        for _ in range(struct.unpack("<i", blocks.read(4))[0]):
+            name = blocks.read(struct.unpack("<i", blocks.read(4))[0])[:-1].decode()
+            contigs.append((name, struct.unpack("<i", blocks.read(4))[0]))
+        return text, contigs, blocks.tell()
+
+
+def read_index(path: str) -> list[bam_index.ContigIndex]:
     try:
-        with open(f"{path}.bai", "rb") as f:
-            data = f.read()
+        with open_file(f"{path}.bai") as f:
+            return bam_index.parse_index(f.read())
     except FileNotFoundError as e:
         raise ParameterError(f"index of {path} is missing") from e
-    at = 8
-    out = []
-    for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        n_bins = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(n_bins):
-            at += 8 + 16 * struct.unpack_from("<i", data, at + 4)[0]
-        n = struct.unpack_from("<i", data, at)[0]
-        out.append(sorted({x for x in struct.unpack_from(f"<{n}Q", data, at + 4) if x}))
-        at += 4 + 8 * n
-    return out
+
+
+@dataclass
+class Wanted:
+    """What a scan is asked for: contigs (None: all), regions of contigs, and bounds of the start position."""
+
+    contigs: set[str] | None = None
+    regions: dict[str, list[tuple[int, int]]] | None = None
+    low: int = UNPLACED
+    high: int = LAST
+
+    @property
+    def everything(self) -> bool:
+        return self.contigs is None and self.regions is None and not self.bounded
+
+    @property
+    def bounded(self) -> bool:
+        return self.low > UNPLACED or self.high < LAST
+
+    @property
+    def unplaced(self) -> bool:
+        """Whether records on no contig, whose position is ``UNPLACED``, may be wanted."""
+        return self.contigs is None and self.regions is None and self.low <= UNPLACED < self.high
+
+    def of(self, contig: str) -> list[tuple[int, int]]:
+        """Regions of a contig in which wanted records lie, ascending and disjoint."""
+        if (self.contigs is not None and contig not in self.contigs) or self.low >= self.high:
+            return []
+        if self.regions is None:
+            return [(max(0, self.low), self.high)]
+        # a record of a region may start before it; its start is held against the bounds later
+        return [r for r in self.regions.get(contig, []) if r[0] < self.high and (r[1] > self.low)]
+
+    def record_filter(self, contigs: list[str]):
+        """Per batch of record heads, first without and then with the bases they cover, the records to keep."""
+        if self.everything:
+            return lambda head, covered: None
+        places = [self.of(c) for c in contigs]
+        listed = np.array([bool(p) for p in places] + [self.unplaced])  # the last one stands for no contig
+
+        def keep(head: np.ndarray, covered: np.ndarray | None) -> np.ndarray | None:
+            if covered is None:
+                return listed[head["ref"]] & (head["pos"] >= self.low) & (head["pos"] < self.high)
+            if self.regions is None:
+                return None
+            out = np.zeros(len(head), bool)
+            for ref in np.unique(head["ref"]):
+                mine = head["ref"] == ref
+                beg, end = (np.array(x, np.int64) for x in zip(*places[ref], strict=True))
+                pos = head["pos"][mine].astype(np.int64)
+                # the first region that ends behind the record's start is the only one that has to be looked at
+                at = np.searchsorted(end, pos, "right")
+                inside = at < len(beg)
+                inside[inside] = (pos + np.maximum(1, covered[mine]))[inside] > beg[at[inside]]
+                out[mine] = inside
+            return out
+
+        return keep
 
 
 @dataclass
@@ -130,101 +172,65 @@ class Range(InputPartition):
     end: int
 
 
-def plan_ranges(path: str, range_bytes: int, wanted: set[str] | None = None) -> list[Range]:
-    """Cuts a file into ranges of whole records, optionally only those of some contigs."""
+def plan_ranges(path: str, range_bytes: int, wanted: Wanted | None = None) -> list[Range]:
+    """Cuts the spans of a file that hold wanted records into ranges of whole records."""
+    wanted = wanted or Wanted()
     _, contigs, first = read_header(path)
-    starts = record_starts(path)
-    limit = 1 << 62
-    cuts = sorted({first, *[x for s in starts for x in s]})
-    ends = dict(zip(cuts, [*cuts[1:], limit], strict=True))
-    if wanted is None:
-        spans = [(first, limit)]
+    index = read_index(path)
+    starts = sorted({first, *(x for one in index for x in one.starts())})
+    if wanted.everything:
+        spans = [(first, bam_index.END)]
     else:
         spans = []
-        for (name, _), mine in zip(contigs, starts, strict=True):
-            if name in wanted and mine:
-                later = [s[0] for s in starts if s and s[0] > mine[-1]]
-                spans.append((mine[0], min(later, default=limit)))
-    ranges = []
-    for low, high in spans:
-        begin = low
-        for cut in [c for c in cuts if low <= c < high]:
-            if ends[cut] >= high or (ends[cut] >> 16) - (begin >> 16) >= range_bytes:
-                ranges.append(Range(path, begin, min(ends[cut], high)))
-                begin = ends[cut]
-    return ranges
-
-
-def read_tags(data: bytes, at: int) -> tuple[str | None, int | None]:
-    """Read group and alignment score of a record's tags."""
-    rg, score = None, None
-    while at + 3 <= len(data):
-        tag, kind = data[at : at + 2], chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            stop = data.index(b"\0", at)
-            if tag == b"RG":
-                rg = data[at:stop].decode()
-            at = stop + 1
-        elif kind == "B":
-            n = struct.unpack_from("<i", data, at + 1)[0]
-            at += 5 + n * TAG_SIZES[chr(data[at])]
-        else:
-            if tag == b"AS" and kind in TAG_INTS:
-                score = struct.unpack_from(TAG_INTS[kind], data, at)[0]
-            at += TAG_SIZES[kind]
-    return rg, score
-
-
-def decode(path: str, data: bytes, contigs: list[str]) -> tuple:
-    ref, pos, n_name, mapq, _, n_cigar, flag, l_seq, mate_ref, mate_pos, tlen = struct.unpack_from(
-        "<iiBBHHHiiii", data, 0
-    )
-    at = 32 + n_name
-    cigar = [{"op": CIGAR_OPS[c & 15], "n": c >> 4} for c in struct.unpack_from(f"<{n_cigar}I", data, at)]
-    rg, score = read_tags(data, at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq)
-    name = lambda i: contigs[i] if i >= 0 else None
-    return (
-        path, name(ref), pos, mapq, flag, l_seq, name(mate_ref), mate_pos, tlen, cigar,
-        data[32 : 32 + n_name - 1].decode(), rg, score,
-    )
+        for (name, _), one in zip(contigs, index, strict=True):
+            if regions := wanted.of(name):
+                spans += bam_index.spans_over(one, regions)
+        if wanted.unplaced:
+            spans.append((max((e for one in index for found in one.bins.values() for _, e in found), default=first), bam_index.END))
+        spans = bam_index.joined(spans)
+    return [Range(path, a, b) for a, b in bam_index.pieces(spans, starts, range_bytes)]
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = json.loads(options["paths"])
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
-        contigs = options.get("contigs")
-        self.wanted = set(json.loads(contigs)) if contigs else None
+        self.wanted = Wanted()
+        if options.get("contigs"):
+            self.wanted.contigs = set(json.loads(options["contigs"]))
+        if options.get("regions"):
+            self.wanted.regions = {c: [tuple(r) for r in rs] for c, rs in json.loads(options["regions"]).items()}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes what bounds contig or start position. Spark tests every filter again, so all are given back."""
+        for f in filters:
+            on = getattr(f, "attribute", None)
+            if on == ("contig",) and isinstance(f, EqualTo | In):
+                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted.contigs = named if self.wanted.contigs is None else self.wanted.contigs & named
+            elif on == ("pos",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+                if not isinstance(f, LessThan | LessThanOrEqual):
+                    self.wanted.low = max(self.wanted.low, f.value + isinstance(f, GreaterThan))
+                if not isinstance(f, GreaterThan | GreaterThanOrEqual):
+                    self.wanted.high = min(self.wanted.high, f.value + (not isinstance(f, LessThan)))
+        return filters
 
     def partitions(self) -> list[Range]:
-        return [r for p in self.paths for r in plan_ranges(p, self.range_bytes, self.wanted)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        contigs = [name for name, _ in read_header(partition.path)[1]]
-        blocks = Blocks(partition.path, partition.begin)
-        rows: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, schema=ARROW)
-
-        while blocks.tell() < partition.end:
-            size = blocks.read(4)
-            if len(size) < 4:
-                break
-            row = decode(partition.path, blocks.read(struct.unpack("<i", size)[0]), contigs)
-            if self.wanted is None or row[1] in self.wanted:
-                rows.append(row)
-            if len(rows) >= BATCH_RECORDS:
-                yield batch()
-                rows = []
-        if rows:
-            yield batch()
+        with ThreadPoolExecutor(PLANNERS) as pool:
+            return [r for rs in pool.map(lambda p: plan_ranges(p, self.range_bytes, self.wanted), self.paths) for r in rs]
+
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing is wanted
+            return
+        names = [name for name, _ in read_header(partition.path)[1]]
+        contigs, keep = pa.array(names, pa.string()), self.wanted.record_filter(names)
+        with open_file(partition.path) as file:
+            for data, starts in stretches(file, partition.begin, partition.end):
+                yield decode(partition.path, data, starts, contigs, keep)
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam").option("paths", ...)``; paths and contigs are JSON lists."""
+    """``spark.read.format("bam").option("paths", ...)``; paths, contigs and regions are JSON."""
 
     @classmethod
     def name(cls) -> str:
@@ -238,19 +244,42 @@ class BamSource(DataSource):
 
 
 def read_bam(
-    spark: SparkSession, paths: str | list[str], contigs: list[str] | None = None, range_bytes: int = RANGE_BYTES
+    spark: SparkSession,
+    paths: str | list[str],
+    contigs: list[str] | None = None,
+    range_bytes: int = RANGE_BYTES,
+    regions: Iterable[tuple[str, int, int]] | None = None,
 ) -> DataFrame:
-    """Alignment records of one or more files; the sample is the file's base name."""
+    """Alignment records of one or more files; the sample is the file's base name.
+
+    ``regions`` (contig, begin, end), 0-based and half-open, keep the records that overlap one of them, each once.
+    Spark's own pushdown for Python sources is switched on for the session, so filters on contig and pos prune as well.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
     reader = spark.read.format("bam").option("rangebytes", str(range_bytes)).option(
         "paths", json.dumps([paths] if isinstance(paths, str) else list(paths))
     )
     if contigs is not None:
         reader = reader.option("contigs", json.dumps(list(contigs)))
+    if regions is not None:
+        reader = reader.option("regions", json.dumps(disjoint(regions)))
     rows = reader.load()
     return rows.withColumn("sample", sample_name(F.col("path"))).drop("path")
 
 
+def disjoint(regions: Iterable[tuple[str, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Regions by contig, ascending; those that overlap or touch are one."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for contig, beg, end in sorted((c, max(0, b), min(e, LAST)) for c, b, e in regions):
+        mine = out.setdefault(contig, [])
+        if mine and beg <= mine[-1][1]:
+            mine[-1] = (mine[-1][0], max(mine[-1][1], end))
+        elif beg < end:
+            mine.append((beg, end))
+    return out
+
+
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
     """Contigs of a file's header in header order."""
     rows = [(name, i, length) for i, (name, length) in enumerate(read_header(path)[1])]

@@ -1,68 +1,151 @@
-"""The BAM source against a file written here."""
+"""The BAM source against a plain decoder: columns, ranges, regions, pushed filters, and what is read for them."""
 
 from __future__ import annotations
 
-import struct
-import zlib
+import io
+import random
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lacuna.params import ParameterError
 from lacuna.sources import alignments as A
+from lacuna.sources import bam_index, bam_records
+from tests import bam_files as B
+
+CONTIGS = [("chr1", 1_000_000), ("chr2", 300_000), ("empty", 1000), ("chr3", 90_000)]
+FIELDS = "contig pos mapq flag l_seq mate_contig mate_pos tlen cigar qname rg as_score".split()
+
+
+@pytest.fixture(scope="module")
+def path(tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("bam") / "x.bam")
+    records = B.random_records(3000, [1_000_000, 300_000, 1, 90_000])
+    records = [r for r in records if r[4:8] != b"\2\0\0\0"]  # nothing on the third contig
+    B.write_bam(path, records, CONTIGS, b"@HD\tVN:1.6\n@RG\tID:g1\tSM:x\n@RG\tID:g2\n")
+    return path
+
+
+def rows(df):
+    return sorted((tuple([tuple(c) for c in x] if isinstance(x, list) else x for x in (r[f] for f in FIELDS)) for r in df.collect()), key=repr)
+
+
+def overlapping(row, beg, end):
+    span = max(1, sum(n for op, n in row[8] if op in "MDN=X"))
+    return row[1] < end and row[1] + span > beg
+
+
+def test_every_record(spark, path):
+    want = sorted(B.plain_rows(path), key=repr)
+    assert len(A.plan_ranges(path, 1)) > 20
+    for size in (1, 5000, A.RANGE_BYTES):
+        assert rows(A.read_bam(spark, path, range_bytes=size)) == want
+    assert {r["sample"] for r in A.read_bam(spark, path).select("sample").distinct().collect()} == {"x"}
+    assert rows(A.read_bam(spark, f"file://{path}").limit(10_000)) == want
+
+
+@pytest.mark.parametrize("window", [1, 700, 1 << 20])
+def test_stretches(path, window):
+    """The same records from stretches of any size and from every known start."""
+    want = B.plain_rows(path)
+    first = A.read_header(path)[2]
+    contigs = pa.array([c for c, _ in CONTIGS])
+
+    def decoded(begin, end):
+        with open(path, "rb") as f:
+            found = [bam_records.decode("p", d, s, contigs, lambda h, c: None) for d, s in bam_records.stretches(f, begin, end, window)]
+        return [r["qname"] for b in found for r in b.to_pylist()]
+
+    names = [r[9] for r in want]
+    assert decoded(first, bam_index.END) == names
+    starts = sorted({x for one in A.read_index(path) for x in one.starts()})
+    for cut in random.Random(2).sample(starts, 12):
+        assert decoded(first, cut) + decoded(cut, bam_index.END) == names
+
 
+def test_regions(spark, path):
+    every = B.plain_rows(path)
+    rng = random.Random(3)
+    for _ in range(6):
+        regions = [(c, at, at + rng.choice([1, 500, 40_000])) for c, n in rng.choices(CONTIGS, k=4) for at in [rng.randrange(n)]]
+        want = sorted((r for r in every if any(r[0] == c and overlapping(r, b, e) for c, b, e in regions)), key=repr)
+        assert rows(A.read_bam(spark, path, range_bytes=2000, regions=regions)) == want
+    assert rows(A.read_bam(spark, path, regions=[])) == []
+    assert rows(A.read_bam(spark, path, ["chr2", "unknown"])) == sorted((r for r in every if r[0] == "chr2"), key=repr)
+    assert rows(A.read_bam(spark, path, ["chr1"], regions=[("chr1", 5, 900), ("chr3", 0, 90_000)])) == sorted(
+        (r for r in every if r[0] == "chr1" and overlapping(r, 5, 900)), key=repr
+    )
 
-def block(data: bytes) -> bytes:
-    c = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = c.compress(data) + c.flush()
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25)
-    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def record(i: int, ref: int, pos: int) -> bytes:
-    name = f"q{i}".encode() + b"\0"
-    cigar = struct.pack("<2I", 10 << 4 | 4, 90 << 4)
-    tags = b"NMC\x03" + b"RGZg1\0" + b"XBBs\x02\0\0\0\1\0\2\0" + b"ASi" + struct.pack("<i", 80 + i % 7)
-    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 60, 0, 2, 99, 100, ref, pos + 250, 350)
-    body += name + cigar + b"\x11" * 50 + b"\xff" * 100 + tags
-    return struct.pack("<i", len(body)) + body
-
-
-def write_bam(path: str, n: int = 400) -> None:
-    contigs = [("chr1", 1_000_000), ("chr2", 500_000)]
-    text = b"@HD\tVN:1.6\n@RG\tID:g1\tSM:x\n@RG\tID:g2\n"
-    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
-    for name, length in contigs:
-        head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
-    out, linear = block(head), [{}, {}]
-    pending, start = b"", len(out)
-    for i in range(n):
-        ref, pos = (0, i * 400) if i < n // 2 else (1, (i - n // 2) * 400)
-        linear[ref].setdefault(pos >> 14, start << 16 | len(pending))
-        pending += record(i, ref, pos)
-        if len(pending) > 3000:
-            # Cut in the middle of a record, as writers do.
-            out += block(pending[:2900])
-            pending, start = pending[2900:], len(out)
-    out += block(pending) + block(b"")
-    with open(path, "wb") as f:
-        f.write(out)
-    index = b"BAI\1" + struct.pack("<i", 2)
-    for one in linear:
-        index += struct.pack("<ii", 1, 0)[:4] + struct.pack("<Ii", 4681, 1) + struct.pack("<QQ", 0, 0)
-        slots = [one.get(k, 0) for k in range(max(one) + 1)]
-        index += struct.pack("<i", len(slots)) + struct.pack(f"<{len(slots)}Q", *slots)
-    with open(path + ".bai", "wb") as f:
-        f.write(index)
-
-
-def test_bam(spark, tmp_path):
-    path = str(tmp_path / "x.bam")
-    write_bam(path)
-    assert len(A.plan_ranges(path, 1)) > 5
-    for size in (1, A.RANGE_BYTES):
-        rows = A.read_bam(spark, path, range_bytes=size).collect()
-        assert sorted(int(r["qname"][1:]) for r in rows) == list(range(400))
-    r = next(x for x in rows if x["qname"] == "q5")
-    assert (r["contig"], r["pos"], r["mate_pos"], r["tlen"], r["rg"], r["as_score"]) == ("chr1", 2000, 2250, 350, "g1", 85)
-    assert [tuple(c) for c in r["cigar"]] == [("S", 10), ("M", 90)] and r["sample"] == "x"
-    only = A.read_bam(spark, path, ["chr2"], range_bytes=1)
-    assert only.count() == 200 and only.where("contig <> 'chr2'").count() == 0
-    assert [tuple(c) for c in A.bam_contigs(spark, path).collect()] == [("chr1", 0, 1_000_000), ("chr2", 1, 500_000)]
+
+@pytest.mark.parametrize("text, keep", [
+    ("contig = 'chr2'", lambda r: r[0] == "chr2"),
+    ("contig in ('chr2', 'chr3') and pos >= 70000", lambda r: r[0] in ("chr2", "chr3") and r[1] >= 70_000),
+    ("contig = 'chr1' and pos > 500000 and pos < 510000", lambda r: r[0] == "chr1" and 500_000 < r[1] < 510_000),
+    ("pos <= 1000", lambda r: r[1] <= 1000),
+    ("pos = 77 or contig is null", lambda r: r[1] == 77 or r[0] is None),
+    ("contig = 'chr1' and pos > 9 and pos < 5", lambda r: False),
+])
+def test_pushed_filters(spark, path, text, keep):
+    want = sorted((r for r in B.plain_rows(path) if keep(r)), key=repr)
+    assert rows(A.read_bam(spark, path, range_bytes=2000).where(text)) == want
+
+
+def test_only_overlapping_ranges_are_read(path, monkeypatch):
+    """Ranges and bytes that are read for a region, against the whole file."""
+    monkeypatch.setattr(bam_index, "NEAR", 100)
+    whole = A.plan_ranges(path, 1)
+    one = A.plan_ranges(path, 1, A.Wanted(regions={"chr1": [(500_000, 501_000)]}))
+    assert 0 < len(one) < len(whole) / 5
+    two = A.plan_ranges(path, 1, A.Wanted(regions={"chr1": [(0, 1000), (999_000, 1_000_000)]}))
+    assert 0 < len(two) < len(whole) / 3
+    assert A.plan_ranges(path, 1, A.Wanted(contigs={"empty"})) == A.plan_ranges(path, 1, A.Wanted(low=5, high=5)) == []
+
+    class Counted(io.FileIO):
+        taken = 0
+
+        def read(self, n=-1):
+            Counted.taken += n
+            return super().read(n)
+
+    with Counted(path) as f:
+        for r in one:
+            for _ in bam_records.stretches(f, r.begin, r.end, 1 << 20):
+                pass
+        assert Counted.taken < f.seek(0, 2) / 3
+
+
+def test_pushdown_reaches_the_reader(path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    reader = A.BamReader({"paths": f'["{path}"]', "rangebytes": "1"})
+    filters = [EqualTo(("contig",), "chr1"), GreaterThanOrEqual(("pos",), 500_000), LessThan(("pos",), 501_000), In(("rg",), ["a"])]
+    assert list(reader.pushFilters(filters)) == filters
+    assert 0 < len(reader.partitions()) < len(A.plan_ranges(path, 1)) / 5
+
+
+def test_header(spark, path, tmp_path):
+    assert [tuple(c) for c in A.bam_contigs(spark, path).collect()] == [(c, i, n) for i, (c, n) in enumerate(CONTIGS)]
     assert [c["rg"] for c in A.bam_read_groups(spark, path).collect()] == ["g1", "g2"]
+    bare = str(tmp_path / "bare.bam")
+    B.write_bam(bare, [], CONTIGS)
+    assert A.read_bam(spark, bare).count() == 0
+    (tmp_path / "bare.bam.bai").rename(tmp_path / "other")
+    with pytest.raises(ParameterError, match="index"):
+        A.plan_ranges(bare, 1)
+
+
+def test_damaged_records():
+    bad = B.record("q", 0, 5, tags=b"XX?\1")
+    with pytest.raises(ValueError, match="tag"):
+        bam_records.decode("p", bad, bam_records.boundaries(bad, None)[0], pa.array(["c"]), lambda h, c: None)
+    assert bam_records.boundaries(bad + bad[:20], None)[1] == len(bad)
+
+
+def test_several_files(spark, path, tmp_path):
+    other = str(tmp_path / "y.bam")
+    B.write_bam(other, B.random_records(200, [1_000_000, 300_000], 9), CONTIGS)
+    both = A.read_bam(spark, [path, other], regions=[("chr1", 0, 400_000)])
+    count = {r["sample"]: r["count"] for r in both.groupBy("sample").count().collect()}
+    assert count == {s: sum(r[0] == "chr1" and overlapping(r, 0, 400_000) for r in B.plain_rows(p)) for s, p in (("x", path), ("y", other))}
+    assert both.where(F.col("contig") != "chr1").count() == 0
