@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import partial
 
 from pyspark.sql import SparkSession
 
@@ -25,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
 
     p = commands.add_parser("profile", help="alignment records to profiles")
-    p.add_argument("reads", help="alignment records: a Parquet path or .bam files")
+    p.add_argument("reads", help="alignment records: a Parquet path, a .bam file, or a .txt file that lists .bam files")
     p.add_argument("regions", nargs="*", help="CHROM:BEGIN-END")
     p.add_argument("--contigs", help="Parquet table (contig, contig_id, len); read from .bam headers otherwise")
     p.add_argument("-o", "--out", required=True)
@@ -109,11 +110,13 @@ def run_profile(spark: SparkSession, a: argparse.Namespace) -> None:
     from lacuna.plans.profile import build_profile, coverage_warnings, unknown_sampling_contigs
     from lacuna.sources import alignments, profiles
 
-    groups = None
-    if a.reads.endswith(".bam"):
-        groups = alignments.bam_read_groups(spark, a.reads)
-        records = alignments.read_bam(spark, a.reads)
-        contigs = alignments.bam_contigs(spark, a.reads)
+    groups = within = None
+    if a.reads.endswith((".bam", ".txt")):
+        paths = [a.reads] if a.reads.endswith(".bam") else profiles.profile_list(spark, a.reads)
+        groups = alignments.bam_read_groups(spark, paths)
+        records = alignments.read_bam(spark, paths)
+        contigs = alignments.bam_contigs(spark, paths)
+        within = partial(alignments.read_regions, spark, paths)
     else:
         records = spark.read.schema(profiles.READS).parquet(a.reads)
         if a.contigs is None:
@@ -124,7 +127,7 @@ def run_profile(spark: SparkSession, a: argparse.Namespace) -> None:
     if sampling is not None:
         for r in unknown_sampling_contigs(sampling, contigs).limit(SHOWN_WARNINGS).collect():
             warn(f"no sampling on {r['contig']!r}: the reference has no such contig")
-    profile = build_profile(records, contigs, profile_params(a), rois, sampling, groups)
+    profile = build_profile(records, contigs, profile_params(a), rois, sampling, groups, within)
     profiles.write_profile(profile, a.out)
     shallow = coverage_warnings(profile)
     total = shallow.count()

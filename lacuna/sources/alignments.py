@@ -280,15 +280,35 @@ def disjoint(regions: Iterable[tuple[str, int, int]]) -> dict[str, list[tuple[in
     return out
 
 
-def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """Contigs of a file's header in header order."""
-    rows = [(name, i, length) for i, (name, length) in enumerate(read_header(path)[1])]
+def read_regions(
+    spark: SparkSession, paths: list[str], regions: Iterable[tuple[str, int, int]], samples: list[str] | None = None
+) -> DataFrame:
+    """Records of the regions, of all files or of those of some samples."""
+    if samples is not None:
+        named = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("sample", sample_name(F.col("path")))
+        wanted = set(samples)
+        paths = [r["path"] for r in named.collect() if r["sample"] in wanted]
+    return read_bam(spark, paths, regions=regions)
+
+
+def _headers(paths: str | list[str]) -> list[tuple[str, tuple[str, list[tuple[str, int]], int]]]:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    with ThreadPoolExecutor(PLANNERS) as pool:
+        return list(zip(paths, pool.map(read_header, paths), strict=True))
+
+
+def bam_contigs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Contigs of the headers in header order; files of different references are an error."""
+    first, *others = _headers(paths)
+    for path, (_, contigs, _) in others:
+        if contigs != first[1][1]:
+            raise ParameterError(f"{path} has other contigs than {first[0]}")
+    rows = [(name, i, length) for i, (name, length) in enumerate(first[1][1])]
     return spark.createDataFrame(rows, "contig string, contig_id bigint, len bigint")
 
 
-def bam_read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Read groups of a file's header."""
-    lines = spark.createDataFrame([(x,) for x in read_header(path)[0].splitlines()], "value string")
-    return lines.select(header_read_group(F.col("value")).alias("rg")).where(F.col("rg") != "").withColumn(
-        "sample", sample_name(F.lit(path))
-    )
+def bam_read_groups(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Read groups of the headers, by sample."""
+    rows = [(path, line) for path, (text, _, _) in _headers(paths) for line in text.splitlines() if line.startswith("@RG")]
+    lines = spark.createDataFrame(rows, "path string, value string")
+    return lines.select(header_read_group(F.col("value")).alias("rg"), sample_name(F.col("path")).alias("sample")).where(F.col("rg") != "")
