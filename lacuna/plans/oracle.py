@@ -12,7 +12,7 @@ EPS = "1e-10"
 LN2 = repr(math.log(2.0))
 
 #: Names whose body reads itself.
-RECURSIVE = {"walk", "walk_all", "trim"}
+RECURSIVE = {"walk", "walk_all", "trim", "admission"}
 
 # name -> (names it reads, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -511,3 +511,21 @@ cte(
        CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 100 + o_orderkey % 97 AS BIGINT)
          + 1 + o_orderkey % 13 AS "end" FROM orders""",
 )
+
+
+# one pair after the other: those that ended are closed, the new one gets in while fewer than three are open
+cte(
+    "in_order",
+    """SELECT contig, rg, start, dev, last_win, row_number() OVER (PARTITION BY contig, rg ORDER BY start, dev, last_win) AS k FROM pairs""",
+    "pairs",
+)
+cte(
+    "admission",
+    """SELECT contig, rg, k, start, dev, last_win, true AS kept, [last_win] AS opened FROM in_order WHERE k = 1
+UNION ALL
+SELECT contig, rg, k, start, dev, last_win, len(still) < 3,
+       CASE WHEN len(still) < 3 THEN list_append(still, last_win) ELSE still END
+FROM (SELECT n.*, list_filter(a.opened, lambda e: e >= n.start // 30 * 30) AS still
+      FROM admission a JOIN in_order n ON n.contig = a.contig AND n.rg = a.rg AND n.k = a.k + 1)""",
+    "in_order",
+)

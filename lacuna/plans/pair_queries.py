@@ -13,6 +13,7 @@ from lacuna.params import CHI2_Q99, CallParams
 from lacuna.plans.oracle import LENGTH_STEP, SHIFT_STEP, unrolled_estimation
 from lacuna.plans.registry import query
 from lacuna.plans.stand_ins import MIN_LEN, N_SAMPLES, Pairs
+from lacuna.streaming import admission
 
 KEY = em.KEY
 
@@ -407,6 +408,17 @@ def bin30(spark, sf):
     return Pairs(spark, sf).pairs.groupBy("contig", "rg", win.alias("win")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "admitted_pairs",
+    "SELECT contig, rg, start, dev, last_win, count(*) AS n FROM admission WHERE kept GROUP BY contig, rg, start, dev, last_win",
+    "admission",
+)
+def admitted_pairs(spark, sf):
+    """At most three open pairs per read group, over tiles of 3000 positions."""
+    got = admission.admitted_pairs(Pairs(spark, sf).spanned, None, 3, tile=3000)
+    return got.groupBy("contig", "rg", "start", "dev", "last_win").agg(F.count("*").alias("n"))
+
+
 @query("pair_last_window", "SELECT contig, sample, rg, start, isize, dev, end_pos, last_win FROM pairs", "pairs")
 def pair_last_window(spark, sf):
     return Pairs(spark, sf).spanned.select("contig", "sample", "rg", "start", "isize", "dev", "end_pos", "last_win")

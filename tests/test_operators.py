@@ -77,7 +77,8 @@ def test_running_max_ignores_tile_size(spark):
         assert [r["m"] for r in out] == [None] + [max(v for *_, v in rows[:i]) for i in range(1, 300)]
 
 
-def test_admission_matches_one_ordered_pass(spark):
+@pytest.mark.parametrize("tile", [60, 900, 90_000])
+def test_admission_matches_one_ordered_pass(spark, tile):
     rng = random.Random(9)
     rows = []
     for rg in ("x", "y"):
@@ -86,7 +87,7 @@ def test_admission_matches_one_ordered_pass(spark):
             end = start + rng.randint(0, 200)
             rows.append(("c", "s", rg, start, i, end, end // 30 * 30))
     schema = "contig string, sample string, rg string, start bigint, dev bigint, end_pos bigint, last_win bigint"
-    got = {(r["rg"], r["dev"]) for r in admission.admitted_pairs(spark.createDataFrame(rows, schema), None, 6).collect()}
+    got = {(r["rg"], r["dev"]) for r in admission.admitted_pairs(spark.createDataFrame(rows, schema), None, 6, tile).collect()}
     want = set()
     for rg in ("x", "y"):
         opened: list[int] = []
