@@ -202,10 +202,17 @@ def learned(
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are predicted 1, with all their columns; no row is shuffled for it."""
+    """The rows of ``docs`` that are predicted 1, with all their columns; no row is shuffled for it.
+
+    Null texts are scored as empty ones, rows with a null id like any other, repeated rows stay or go together. An empty table
+    gives an empty result. Documents from which nothing can be learned, for lack of positive labels or of unlabelled
+    texts, are an error: nothing passes unjudged.
+    """
     _, model = learned(docs, labels, id_col, text_col, **options)
     if model is None:
-        return docs
+        if docs.isEmpty():
+            return docs
+        raise ValueError("the quality classifier needs documents labelled 1 and documents without a label")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -3,8 +3,9 @@
 Every document is scanned once. What looks like a secret becomes a candidate: the values of the fixed
 patterns and, besides them, long mixed strings of high entropy. A candidate leaves the scan as a hash
 with its repository and owner. Candidates are aggregated by hash to the numbers of distinct owners and
-distinct repositories, in steps that combine before each shuffle. A value that many owners or very many
-repositories hold is a copied example; a value of few owners is live-looking.
+distinct repositories, in steps that combine before each shuffle. A value that many owners hold is a copied example;
+a value of few owners is live-looking, in however many repositories they copied it. A limit of repositories is an option,
+per owner of the value, so that the class of a value never depends on the size of the corpus.
 
 Fixed-pattern spans always stay. The method adds the span of a mixed string where its value is live-looking
 and no fixed-pattern span covers it.
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import NO_ID, column_bytes, slices, stage
 
 KINDS = ("assign", "access", "hex", "token")
-#: A value held by more owners, or in more repositories, is a copied example.
+#: A value held by more owners is a copied example.
 MAX_OWNERS = 2
-MAX_REPOSITORIES = 100
 #: Length and bits per character from which a mixed string is a candidate.
 MIN_LENGTH = 20
 MIN_ENTROPY = 3.5
@@ -122,17 +122,19 @@ def secrets(
     repo_col: str = "doc_id",
     owner_col: str = "source",
     max_owners: int = MAX_OWNERS,
-    max_repositories: int = MAX_REPOSITORIES,
+    max_repositories: int | None = None,
 ) -> DataFrame:
     """(id, thash, spans) per document row; spans are structs (kind, start, end, value, base, live) by start and kind.
 
     ``value`` is a hash, never the secret. ``base`` marks fixed patterns, ``live`` owner-specific values; spans of
     copied mixed strings are left out. A null text is empty and has no spans; null repositories and owners count as one
-    of their own. Where the table has no column for repositories, each document stands for one. Repeated rows
-    give one row each; an empty table gives an empty result.
+    of their own. Where the table has no column for repositories, each document stands for one. ``max_repositories`` is a
+    limit of repositories per owner of a value, none by default. Repeated rows give one row each; an empty table gives an empty result.
     """
     scanned = scan(docs, id_col, text_col, repo_col, owner_col)
-    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    live = F.col("owners") <= max_owners
+    if max_repositories is not None:
+        live &= F.col("repositories") <= max_repositories * F.col("owners")
     judged = ownership(scanned).select("value", live.alias("live"))
     each = scanned.select("uid", F.posexplode("spans").alias("k", "x"))
     at = each.select("uid", "k", F.col("x.value").alias("value")).join(judged, "value").groupBy("uid").agg(

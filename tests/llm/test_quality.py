@@ -69,3 +69,11 @@ def test_odd_rows(spark):
     assert len(quality.scored(docs, labels).collect()) == len(rows)
     assert quality.scored(docs.limit(0), labels).collect() == []
     assert len(quality.scored(docs, labels.limit(0)).collect()) == len(rows)
+
+
+def test_nothing_passes_unjudged(spark):
+    docs = spark.createDataFrame([(1, "a text", 9), (None, None, 9), (2, "b", 9), (2, "b", 9)], "doc_id long, text string, id int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, text string")
+    with pytest.raises(ValueError, match="classifier needs"):
+        quality.accepted(docs, labels)
+    assert quality.accepted(docs.limit(0), labels).collect() == []
