@@ -147,10 +147,17 @@ def inputs(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_profiles(spark: SparkSession, paths: list[str]) -> Profile:
-    """Several datasets as one. Contigs come from the first, as one representative set."""
+    """Several datasets as one. All must have the same contigs in the same order."""
     first = read_profile(spark, paths[0])
     if len(paths) == 1:
         return first
+    # Contigs are few; one aggregation over those of all datasets finds the ones that some dataset lacks.
+    dataset = F.regexp_extract("_metadata.file_path", r"^(.*)/contigs/[^/]*$", 1)
+    every = spark.read.schema(CONTIGS).parquet(*[f"{p}/contigs" for p in dict.fromkeys(paths)]).withColumn("dataset", dataset)
+    counts = every.groupBy("contig", "contig_id", "len").agg(F.count_distinct("dataset").alias("n"))
+    other = counts.where(F.col("n") < len(dict.fromkeys(paths))).orderBy("contig_id", "contig").first()
+    if other is not None:
+        raise ParameterError(f"the profiles have different contigs: not all have {other['contig']!r} of length {other['len']} in place {other['contig_id']}")
     # One scan over all contig folders: the contig is taken from the folder name, so the scan does
     # not grow into a union of one branch per dataset.
     pairs = (

@@ -153,3 +153,15 @@ def test_options():
     a = parser().parse_args(["call", "p1", "p2", "-s", "0.2", "-r", "chr1", "-r", "chr2:5-9", "-n", "-b", "20000"])
     params = call_params(a)
     assert params.window_wise and params.min_sample_fraction == 0.2 and a.region_of_interest == ["chr1", "chr2:5-9"]
+
+
+def test_profiles_of_other_references(spark, stored, tmp_path):
+    """Datasets are read together only if their contigs agree in name, place and length."""
+    profile, _, path = stored
+    same, other = str(tmp_path / "same"), str(tmp_path / "other")
+    P.write_profile(profile, same)
+    assert P.read_profiles(spark, [path, same]).read_groups.count() == 2 * profile.read_groups.count()
+    longer = profile.contigs.withColumn("len", F.col("len") + 1)
+    P.write_profile(P.Profile(profile.pairs, profile.hist, profile.read_groups, longer), other)
+    with pytest.raises(ParameterError, match="different contigs"):
+        P.read_profiles(spark, [path, same, other])
