@@ -100,14 +100,14 @@ def _sum(index: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(index, weights=weight, minlength=n)
 
 
-def _fallback(d: np.ndarray) -> np.ndarray:
+def fallback(d: np.ndarray) -> np.ndarray:
     low = d.min(axis=1) if len(d) else np.zeros(0)
     bad = (low == 0) | (low > 1 - EQUAL_WITHIN)
     d[bad] = (1.0, PSEUDO, PSEUDO)
     return d
 
 
-def _scaled(logs: np.ndarray) -> np.ndarray:
+def scaled(logs: np.ndarray) -> np.ndarray:
     return np.exp(logs - logs.max(axis=1, keepdims=True))
 
 
@@ -143,27 +143,38 @@ def _absent(b: Block, n_samples: int) -> np.ndarray:
     return n_samples - np.bincount(b.s_c, minlength=b.n_c)
 
 
-def frequency_update(b: Block, d: np.ndarray, g: np.ndarray, n_samples: int) -> np.ndarray:
+def allele_sums(b: Block, d: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Posterior allele counts of the samples at hand."""
     p = d * g[b.s_c]
-    alleles = _sum(b.s_c, (p[:, 1] + 2 * p[:, 2]) / p.sum(axis=1), b.n_c)
+    return _sum(b.s_c, (p[:, 1] + 2 * p[:, 2]) / p.sum(axis=1), b.n_c)
+
+
+def frequency_update(b: Block, d: np.ndarray, g: np.ndarray, n_samples: int) -> np.ndarray:
+    alleles = allele_sums(b, d, g)
     q = g * np.array([1.0, PSEUDO, PSEUDO])
     alleles += _absent(b, n_samples) * (q[:, 1] + 2 * q[:, 2]) / q.sum(axis=1)
     return alleles / 2.0 / n_samples
 
 
-def likelihood_ratio(b: Block, d: np.ndarray, g: np.ndarray, n_samples: int) -> np.ndarray:
+def ratio_sums(b: Block, d: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Log ratios of the samples at hand."""
     p = d * g[b.s_c]
     mixed = (p * d).sum(axis=1) / p.sum(axis=1)
-    lr = _sum(b.s_c, np.log(mixed) - np.log(d[:, 0]), b.n_c)
+    return _sum(b.s_c, np.log(mixed) - np.log(d[:, 0]), b.n_c)
+
+
+def likelihood_ratio(b: Block, d: np.ndarray, g: np.ndarray, n_samples: int) -> np.ndarray:
+    lr = ratio_sums(b, d, g)
     blank = np.array([1.0, PSEUDO, PSEUDO])
     q = g * blank
     return lr + _absent(b, n_samples) * np.log((q * blank).sum(axis=1) / q.sum(axis=1))
 
 
-def length_and_shift(
+def length_sums(
     b: Block, rgs: ReadGroups, ref: np.ndarray, dl: np.ndarray,
     d: np.ndarray, group_d: np.ndarray, g: np.ndarray,
-) -> tuple[np.ndarray, np.ndarray]:
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight and first moment of the deviations per candidate, and the next shift per read group."""
     p = d * g[b.s_c]
     a = p / p.sum(axis=1, keepdims=True)
     q = group_d * g[b.g_c]
@@ -175,14 +186,16 @@ def length_and_shift(
     weight = _sum(e_c, from_del, b.n_c)
     moment = _sum(e_c, from_del * b.dev, b.n_c)
     with np.errstate(divide="ignore", invalid="ignore"):
-        mean = np.where(weight > 0, moment / weight, 0.0)
-        length = np.floor(np.maximum(mean, 0.0) + 0.5).astype(np.int64)
         w = _sum(b.e_g, from_ref, len(b.g_s))
         mean = _sum(b.e_g, from_ref * b.dev, len(b.g_s)) / w
         shift = np.where(w > 0, np.trunc(mean + np.sign(mean) * SAME_WHOLE), 0.0)
     limit = rgs.stddev[b.g_rg]
-    shift = np.where(np.abs(shift) > limit, 0, shift).astype(np.int64)
-    return length, shift
+    return weight, moment, np.where(np.abs(shift) > limit, 0, shift).astype(np.int64)
+
+
+def mean_length(weight: np.ndarray, moment: np.ndarray) -> np.ndarray:
+    mean = np.divide(moment, weight, out=np.zeros(len(weight)), where=weight > 0)
+    return np.floor(np.maximum(mean, 0.0) + 0.5).astype(np.int64)
 
 
 def frequency_seed(b: Block, rgs: ReadGroups, length: np.ndarray) -> np.ndarray:
@@ -208,9 +221,11 @@ def solve(b: Block, rgs: ReadGroups, len0: np.ndarray, s: Settings) -> Solution:
     af = frequency_seed(b, rgs, len0)
     sol = Solution(len0.copy(), np.zeros(len(b.g_s), np.int64), af, priors(af, s.cell_population),
                    np.zeros(b.n_c, np.int64))
-    visited: list[dict[int, float]] = [{} for _ in range(b.n_c)]
+    # one column per round; a later visit of a length counts before an earlier one
+    seen_len = np.full((b.n_c, s.iterations), -1, np.int64)
+    seen_af = np.zeros((b.n_c, s.iterations))
     alive = af > 0
-    for _ in range(s.iterations):
+    for k in range(s.iterations):
         alive &= sol.length >= s.min_len
         if not alive.any():
             break
@@ -218,27 +233,23 @@ def solve(b: Block, rgs: ReadGroups, len0: np.ndarray, s: Settings) -> Solution:
         sub, _, g_keep = b.subset(alive)
         length, shift, prior = sol.length[cand], sol.shift[g_keep], sol.prior[cand]
         sol.rounds[cand] += 1
-        for c in cand:
-            visited[c][int(sol.length[c])] = float(sol.af[c])
+        seen_len[cand, k], seen_af[cand, k] = length, sol.af[cand]
 
         ref, dl = pair_densities(sub, rgs, length, shift)
         group_logs, sample_logs = log_likelihoods(sub, ref, dl)
-        d = _fallback(_scaled(sample_logs))
-        new_length, new_shift = length_and_shift(sub, rgs, ref, dl, d, _scaled(group_logs), prior)
+        d = fallback(scaled(sample_logs))
+        weight, moment, new_shift = length_sums(sub, rgs, ref, dl, d, scaled(group_logs), prior)
+        new_length = mean_length(weight, moment)
 
         ref, dl = pair_densities(sub, rgs, new_length, new_shift)
-        new_d = _fallback(_scaled(log_likelihoods(sub, ref, dl)[1]))
+        new_d = fallback(scaled(log_likelihoods(sub, ref, dl)[1]))
         new_af = frequency_update(sub, new_d, prior, s.n_samples)
         lost = new_af == 0
         new_prior = np.where(lost[:, None], prior, priors(new_af, s.cell_population))
 
-        settled = np.array(
-            [
-                not lost[i]
-                and abs(visited[c].get(int(new_length[i]), np.inf) - new_af[i]) <= SAME_FREQUENCY
-                for i, c in enumerate(cand)
-            ]
-        )
+        again = seen_len[cand, : k + 1] == new_length[:, None]
+        latest = k - np.argmax(again[:, ::-1], axis=1)
+        settled = again.any(axis=1) & ~lost & (np.abs(seen_af[cand, latest] - new_af) <= SAME_FREQUENCY)
         # Of the last two estimates the one with the better ratio stays; weights are not restored.
         lr_now = likelihood_ratio(sub, new_d, new_prior, s.n_samples)
         lr_before = likelihood_ratio(sub, d, prior, s.n_samples)
@@ -251,12 +262,12 @@ def solve(b: Block, rgs: ReadGroups, len0: np.ndarray, s: Settings) -> Solution:
     return sol
 
 
-def _final(b: Block, rgs: ReadGroups, sol: Solution, s: Settings) -> dict[str, np.ndarray]:
+def final(b: Block, rgs: ReadGroups, sol: Solution, s: Settings, ratio: Callable) -> dict[str, np.ndarray]:
     """Likelihood ratio per candidate; phred scores and pair classes per sample."""
     ref, dl = pair_densities(b, rgs, sol.length, sol.shift)
     logs = log_likelihoods(b, ref, dl)[1]
-    d = _fallback(_scaled(logs))
-    out: dict[str, np.ndarray] = {"lr": likelihood_ratio(b, d, sol.prior, s.n_samples)}
+    d = fallback(scaled(logs))
+    out: dict[str, np.ndarray] = {"lr": ratio(b, d, sol.prior)}
 
     ten = logs / LOG10
     empty = ten.sum(axis=1) == 0.0
@@ -306,19 +317,52 @@ def _candidate_changes(table: pa.Table) -> np.ndarray:
     return _changes(_codes(table["contig"]), table["p"].to_numpy(), table["len0"].to_numpy())
 
 
-def _solve_table(
-    table: pa.Table, resolve: Callable, out_schema: pa.Schema, s: Settings
-) -> pa.RecordBatch | None:
-    """Solves the whole candidates of a table sorted by candidate, sample and read group."""
-    new_c = _candidate_changes(table)
+@dataclass
+class Gathered:
+    """Whole candidates of a table sorted by candidate, sample and read group."""
+
+    table: pa.Table
+    block: Block
+    rgs: ReadGroups
+    c_row: np.ndarray
+    s_row: np.ndarray
+    n_active: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def rows(self, sub: Block, s_keep: np.ndarray, passing: np.ndarray, found: dict, per_candidate: dict) -> dict[str, pa.Array]:
+        """Columns of the passing samples; scores of samples with fewer than two pairs are 0."""
+        covered = self.n_active[s_keep] >= 2
+        for k in range(3):
+            found[f"pl{k}"][~covered] = 0
+        c = sub.s_c[passing]
+        take = pa.array(self.s_row[s_keep][passing])
+        low, high = self.first[s_keep][passing], self.last[s_keep][passing]
+        columns = {name: self.table[name].take(take).combine_chunks() for name in ("contig", "p", "len0", "sample")}
+        columns["data_samples"] = pa.array(_sum(sub.s_c, covered, sub.n_c).astype(np.int64)[c])
+        columns["lead"] = pa.array(_changes(sub.s_c)[passing])
+        columns["first"] = pa.array(low, mask=low == NONE)
+        columns["last"] = pa.array(high, mask=high == -1)
+        columns |= {name: pa.array(values[c]) for name, values in per_candidate.items()}
+        return columns | {name: pa.array(values[passing]) for name, values in found.items() if name != "lr"}
+
+
+NONE = np.iinfo(np.int64).max
+
+
+def gather(table: pa.Table, new_c: np.ndarray, resolve: Callable) -> Gathered:
+    """``new_c`` marks the first row of every candidate."""
+    return gather_as(table, np.cumsum(new_c) - 1, int(new_c.sum()), resolve)
+
+
+def gather_as(table: pa.Table, cand: np.ndarray, n_c: int, resolve: Callable) -> Gathered:
+    """The same with a number of the candidate per row; a candidate may have no row."""
+    new_c = _changes(cand)
     new_s = new_c | _changes(_codes(table["sample"]))
-    ok = ~table["high_cov"].to_numpy()
-    cand, samp = np.cumsum(new_c) - 1, np.cumsum(new_s) - 1
-    c_row, s_row = np.flatnonzero(new_c), np.flatnonzero(new_s)
-    len0 = table["len0"].to_numpy()[c_row]
+    ok = ~table["high_cov"].to_numpy().astype(bool)
+    samp = np.cumsum(new_s) - 1
+    s_row = np.flatnonzero(new_s)
     cnt = table["cnt"].to_numpy().astype(float)
-    n_active = np.bincount(samp, weights=cnt, minlength=len(s_row))
-
     rows = np.flatnonzero(ok)
     usable = table.take(pa.array(rows))
     rg, rgs = resolve(usable)
@@ -326,52 +370,35 @@ def _solve_table(
     g_row = np.flatnonzero(new_g)
     block = Block(
         dev=usable["dev"].to_numpy(), cnt=cnt[rows], e_g=np.cumsum(new_g) - 1, g_s=samp[rows][g_row],
-        g_rg=rg[g_row], s_c=cand[s_row], n_c=len(len0),
+        g_rg=rg[g_row], s_c=cand[s_row], n_c=n_c,
     )
-    none = np.iinfo(np.int64).max
-    first = np.full(len(s_row), none)
+    first = np.full(len(s_row), NONE)
     last = np.full(len(s_row), -1)
     np.minimum.at(first, samp[rows], usable["first"].to_numpy())
     np.maximum.at(last, samp[rows], usable["last"].to_numpy())
+    n_active = np.bincount(samp, weights=cnt, minlength=len(s_row))
+    return Gathered(table, block, rgs, np.flatnonzero(new_c), s_row, n_active, first, last)
 
-    sol = solve(block, rgs, len0, s)
+
+def _solve_table(
+    table: pa.Table, resolve: Callable, out_schema: pa.Schema, s: Settings
+) -> pa.RecordBatch | None:
+    """Solves the whole candidates of a table sorted by candidate, sample and read group."""
+    got = gather(table, _candidate_changes(table), resolve)
+    block, rgs = got.block, got.rgs
+    sol = solve(block, rgs, table["len0"].to_numpy()[got.c_row], s)
     good = (sol.af >= PSEUDO) & (sol.length >= s.min_len)
     if not good.any():
         return None
     sub, s_keep, g_keep = block.subset(good)
     kept = np.flatnonzero(good)
     small = Solution(sol.length[kept], sol.shift[g_keep], sol.af[kept], sol.prior[kept], sol.rounds[kept])
-    final = _final(sub, rgs, small, s)
-
-    covered = n_active[s_keep] >= 2
-    data_samples = _sum(sub.s_c, covered, sub.n_c).astype(np.int64)
-    for k in range(3):
-        final[f"pl{k}"][~covered] = 0
-    passing = (final["lr"] >= s.min_lr)[sub.s_c]
+    found = final(sub, rgs, small, s, lambda b, d, g: likelihood_ratio(b, d, g, s.n_samples))
+    passing = (found["lr"] >= s.min_lr)[sub.s_c]
     if not passing.any():
         return None
-    lead = _changes(sub.s_c)[passing]
-    c = sub.s_c[passing]
-    at = s_row[s_keep][passing]
-    take = pa.array(at)
-    low, high = first[s_keep][passing], last[s_keep][passing]
-    columns: dict[str, pa.Array] = {
-        "contig": table["contig"].take(take).combine_chunks(),
-        "p": table["p"].take(take).combine_chunks(),
-        "len0": pa.array(len0[kept][c]),
-        "iterations": pa.array(small.rounds[c]),
-        "len": pa.array(small.length[c]),
-        "lr": pa.array(final["lr"][c]),
-        "af": pa.array(small.af[c]),
-        "data_samples": pa.array(data_samples[c]),
-        "lead": pa.array(lead),
-        "sample": table["sample"].take(take).combine_chunks(),
-        "first": pa.array(low, mask=low == none),
-        "last": pa.array(high, mask=high == -1),
-    }
-    for name, values in final.items():
-        if name != "lr":
-            columns[name] = pa.array(values[passing])
+    scalars = {"iterations": small.rounds, "len": small.length, "lr": found["lr"], "af": small.af}
+    columns = got.rows(sub, s_keep, passing, found, scalars)
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in out_schema], schema=out_schema)
 
 
@@ -388,28 +415,32 @@ def shared_read_groups(ids: list, arrays: dict[str, np.ndarray]) -> Callable:
     return resolve
 
 
+def whole_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole candidates from a sorted stream, each worth the vector overhead."""
+    pending: list[pa.RecordBatch] = []
+    waiting = 0
+    for batch in batches:
+        pending.append(batch)
+        waiting += batch.num_rows
+        if waiting < BATCH_OBS:
+            continue
+        table = pa.Table.from_batches(pending)
+        cut = int(np.flatnonzero(_candidate_changes(table))[-1])
+        if cut == 0:
+            continue
+        yield table.slice(0, cut)
+        pending = table.slice(cut).combine_chunks().to_batches()
+        waiting = sum(b.num_rows for b in pending)
+    if waiting:
+        yield pa.Table.from_batches(pending)
+
+
 def kernel(resolve: Callable, out_schema: pa.Schema, s: Settings) -> Callable:
     """Function for ``mapInArrow`` over partitions that hold whole, sorted candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[pa.RecordBatch] = []
-        waiting = 0
-        for batch in batches:
-            pending.append(batch)
-            waiting += batch.num_rows
-            if waiting < BATCH_OBS:
-                continue
-            table = pa.Table.from_batches(pending)
-            cut = int(np.flatnonzero(_candidate_changes(table))[-1])
-            if cut == 0:
-                continue
-            result = _solve_table(table.slice(0, cut), resolve, out_schema, s)
-            if result is not None:
-                yield result
-            pending = table.slice(cut).combine_chunks().to_batches()
-            waiting = sum(b.num_rows for b in pending)
-        if waiting:
-            result = _solve_table(pa.Table.from_batches(pending), resolve, out_schema, s)
+        for table in whole_candidates(batches):
+            result = _solve_table(table, resolve, out_schema, s)
             if result is not None:
                 yield result
 

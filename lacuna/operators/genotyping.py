@@ -6,6 +6,7 @@ Run-length observations are dealt over parts by grid point and solved in memory,
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lacuna.functions import genotype as G
 from lacuna.operators import em
+from lacuna.operators.cohort_blocks import genotype_in_blocks
 from lacuna.operators.em_kernel import ReadGroups, Settings, kernel, shared_read_groups
 from lacuna.operators.windows import GRID_TILE, grid_bin, grid_tiles, support_positions
 from lacuna.session import materialise
 
+#: Samples of which one task holds the densities.
+BLOCK_SAMPLES = 1024
 SCALARS = ["offset", "min_prob", "median", "stddev", "lower_q", "upper_q"]
 COUNTS = ["lad_ref", "lad_amb", "lad_del", "dad_ref", "dad_both", "dad_between", "dad_alt", "dad_right"]
 
@@ -43,33 +47,31 @@ def candidate_observations(loaded: DataFrame, candidates: DataFrame) -> DataFram
     ).join(candidates, ["contig", "p"])
 
 
-def genotype_windows(observed: DataFrame, density: DataFrame, settings: Settings) -> DataFrame:
-    """Solves candidates. ``observed`` is read twice.
+def genotype_windows(
+    observed: DataFrame, density: DataFrame, settings: Settings, block_samples: int = BLOCK_SAMPLES
+) -> DataFrame:
+    """Solves candidates, in one pass up to ``block_samples`` samples and over blocks of as many beyond.
 
-    Grid points are dealt over parts. Every part gets the densities of its read groups once, as rows of their own
-    that sort before its observations, so no array is repeated per candidate and nothing is broadcast. A
-    candidate holds at most one observation per read group and distinct deviation below the load limit.
+    Grid points are dealt over parts. Every part gets the densities once, as rows of their own that sort before
+    its observations, so no array is repeated per candidate and nothing is broadcast. A candidate holds at most
+    one observation per read group and distinct deviation below the load limit.
     """
     schema = genotype_schema(observed)
+    # one array per read group, its scalars first: cheap to leave out of the rows of observations
+    stats = density.select(
+        "rg", "stddev", F.concat(F.array(*[F.col(c).cast("double") for c in SCALARS]), "values").alias("stats")
+    )
+    if settings.n_samples > block_samples:
+        return genotype_in_blocks(observed, stats, schema, settings, block_samples)
     arrow = to_arrow_schema(schema)
     parts = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = observed.withColumn("part", F.pmod(F.xxhash64("contig", "p"), F.lit(parts)).cast("int"))
-    # one array per read group, its scalars first: cheap to leave out of the rows of observations
-    stats = density.select("rg", F.concat(F.array(*[F.col(c).cast("double") for c in SCALARS]), "values").alias("stats"))
-    arrays = dealt.select("part", "rg").distinct().join(stats, "rg")
+    arrays = stats.select("rg", "stats", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     rows = dealt.unionByName(arrays, allowMissingColumns=True)
 
     def run(batches):
-        found: list[pa.RecordBatch] = []
-        batches = iter(batches)
-        for batch in batches:
-            is_array = batch.column("stats").is_valid().to_numpy(zero_copy_only=False)
-            cut = int(is_array.sum())
-            found.append(batch.slice(0, cut).select(["rg", "stats"]))
-            if cut < batch.num_rows:
-                rest = itertools.chain([batch.slice(cut)], batches)
-                yield from kernel(shared_read_groups(*_densities(found)), arrow, settings)(rest)
-                return
+        resolve, rest = densities_first(batches)
+        yield from kernel(resolve, arrow, settings)(rest)
 
     return (
         rows.repartitionById(parts, "part")
@@ -78,6 +80,19 @@ def genotype_windows(observed: DataFrame, density: DataFrame, settings: Settings
     )
 
 
+def densities_first(batches: Iterator[pa.RecordBatch]) -> tuple[Callable, Iterator[pa.RecordBatch]]:
+    """The read groups of a part, which lead its stream, and the rest of the stream."""
+    found: list[pa.RecordBatch] = []
+    rest = iter(batches)
+    for batch in rest:
+        cut = int(batch.column("stats").is_valid().to_numpy(zero_copy_only=False).sum())
+        found.append(batch.slice(0, cut).select(["rg", "stats"]))
+        if cut < batch.num_rows:
+            rest = itertools.chain([batch.slice(cut)], rest)
+            break
+    return (shared_read_groups(*_densities(found)) if found else None), rest
+
+
 def _densities(batches: list[pa.RecordBatch]) -> tuple[list, dict]:
     """Read groups with their statistics and densities, each once."""
     table = pa.Table.from_batches(batches)

@@ -474,6 +474,13 @@ for _rounds in (1, 2):
         return rows.where("lead").select(*KEY, "iterations", "len", r("lr", 4), r("af", 4), "data_samples")
 
 
+@query("window_calls_blocks", *(lambda n: (f"SELECT * FROM {n}", n))(unrolled_estimation(2, MIN_LEN, 0.5)))
+def window_calls_blocks(spark, sf):
+    """Two rounds of the estimation over blocks of two samples."""
+    rows = Pairs.stage(spark, sf).genotyped(replace(SMALL, iterations=2), block_samples=2)
+    return rows.where("lead").select(*KEY, "iterations", "len", r("lr", 4), r("af", 4), "data_samples")
+
+
 def _merged(spark, sf):
     from lacuna.session import materialise
 

@@ -142,9 +142,11 @@ class Pairs:
             strict=params.strict_parity,
         )
 
-    def genotyped(self, params: CallParams) -> DataFrame:
-        ready = materialise(genotyping.candidate_observations(self.loaded, self.candidates))
-        return genotyping.genotype_windows(ready, self.density, self.settings(params))
+    def genotyped(self, params: CallParams, block_samples: int = genotyping.BLOCK_SAMPLES) -> DataFrame:
+        ready = genotyping.candidate_observations(self.loaded, self.candidates)
+        if block_samples < N_SAMPLES:
+            ready = materialise(ready)
+        return genotyping.genotype_windows(ready, self.density, self.settings(params), block_samples)
 
 
 class Reads:

@@ -199,3 +199,9 @@ def check(got, expected):
 def test_batches_match_the_plain_loop(case):
     observed, dens, expected = case
     check(collected(genotyping.genotype_windows(observed, dens, SETTINGS)), expected)
+
+
+@pytest.mark.parametrize("block_samples", [1, 3])
+def test_blocks_of_samples_match_the_plain_loop(case, block_samples):
+    observed, dens, expected = case
+    check(collected(genotyping.genotype_windows(observed, dens, SETTINGS, block_samples)), expected)
