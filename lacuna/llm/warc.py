@@ -35,6 +35,8 @@ from lacuna.session import run_folder
 MIN_SHARED = 100
 #: Compressed bytes after which a task starts another archive file.
 ARCHIVE_BYTES = 256 << 20
+#: Compressed bytes of archives that one task reads.
+READ_BYTES = 4 << 20
 BLOCK_LINES = 3000
 #: Index blocks of one shard, about.
 SHARD_BLOCKS = 16
@@ -241,7 +243,10 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 
 
 def read(captures: DataFrame) -> DataFrame:
-    """The records at (file, offset, length), read by byte range; a file is opened once per task that needs it."""
+    """The records at (file, offset, length), read by byte range; a file is opened once per task that needs it.
+
+    The addresses are stored first: the bytes they stand for, not their own size, set the number of tasks.
+    """
     names = [c.split()[0] for c in READ.split(", ")]
     types = [pa.int64() if c.endswith("long") else pa.string() for c in READ.split(", ")]
     schema = pa.schema(list(zip(names, types, strict=True)))
@@ -266,7 +271,9 @@ def read(captures: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    ordered = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    wanted = stage(captures.select("file", "offset", "length"), "wanted")
+    parts = max(1, -(-(wanted.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    ordered = wanted.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, READ)
 
 
