@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import sample_format
 from lacuna.operators import em, genotyping, histograms, intervals, merging, reads, render, windows
 from lacuna.operators.em_kernel import Settings
-from lacuna.params import PROFILE_WINDOW, CallParams
+from lacuna.params import CallParams
 from lacuna.session import materialise
-from lacuna.sources.profiles import Profile, check_read_groups, per_sample_read_groups
+from lacuna.sources.profiles import Profile, check_read_groups, in_regions, per_sample_read_groups, tile_of
 
 
 @dataclass(frozen=True)
@@ -39,30 +38,16 @@ def cohort_density(profile: Profile, params: CallParams) -> DataFrame:
     return materialise(shaped)
 
 
-def scan_bounds(regions: DataFrame) -> Column | None:
-    """Contig and window bounds of the regions as a literal filter; None without a region.
-
-    Literals reach the Parquet scan as partition and row-group filters. There is one test per contig.
-    """
-    rows = regions.groupBy("contig").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).collect()
-    # A pair's window may start up to one window before the region.
-    tests = [
-        (F.col("contig") == r["contig"])
-        & (F.col("win") > r["beg"] - PROFILE_WINDOW) & (F.col("win") < r["end"])
-        for r in rows
-    ]
-    return functools.reduce(lambda x, y: x | y, tests) if tests else None
-
-
 def spanned_pairs(profile: Profile, groups: DataFrame, regions: DataFrame | None) -> DataFrame:
     """Read pairs with their sample and span, restricted to the regions of interest.
 
     Membership is tested on the 30-bp bin of the start.
     """
     stored = profile.pairs
-    bounds = None if regions is None else scan_bounds(regions)
+    bounds = None if regions is None else in_regions(regions)
     if bounds is not None:
-        stored = stored.where(bounds)
+        tiled = stored if "tile" in stored.columns else stored.withColumn("tile", tile_of(F.col("win")))
+        stored = tiled.where(bounds)
     pairs = reads.from_profile(stored, groups)
     if regions is not None:
         binned = pairs.withColumn("bin30", windows.grid_bin(F.col("start")))

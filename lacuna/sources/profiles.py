@@ -1,20 +1,23 @@
 """Profiles as a Parquet dataset, and the text inputs of the commands.
 
-A dataset holds one or many samples in four tables: ``pairs`` (deviations by 256-bp window, laid
-out by contig and window so that regions prune partitions and row groups), ``hist``,
-``read_groups`` and ``contigs``.
+A dataset holds one or many samples in four tables: ``pairs`` (deviations by 256-bp window, in folders by contig
+and tile and sorted by window, so that regions prune folders and row groups), ``hist``, ``read_groups`` and
+``contigs``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.params import PROFILE_WINDOW, ParameterError
 
 PAIRS = "contig string, win bigint, sample string, rg string, off bigint, dev bigint"
+#: Width of a folder of ``pairs``; a genome has a few hundred.
+TILE = 1 << 24
+STORED_PAIRS = PAIRS + ", tile bigint"
 HIST = "sample string, rg string, size bigint, cnt bigint"
 READ_GROUPS = (
     "rg string, sample string, median bigint, mean double, stddev double, read_len bigint,"
@@ -37,6 +40,43 @@ class Profile:
     contigs: DataFrame
 
 
+def tile_of(win: Column) -> Column:
+    return F.floor(win / F.lit(TILE)).cast("bigint")
+
+
+def in_regions(regions: DataFrame) -> Column | None:
+    """Test of ``contig``, ``tile`` and ``win`` for ``regions(contig, beg, end)``; None without a region.
+
+    One literal test per contig and tile that a region meets, with the outermost windows asked for in that tile:
+    it reaches the scan as folder and row-group filters, and its size is bounded by the genome, however many
+    regions there are. A dataset without tiles is tested by window alone.
+    """
+    # A pair's window may start up to one window before the region.
+    begin, end = F.greatest(F.col("beg") - PROFILE_WINDOW + 1, F.lit(0)), F.col("end") - 1
+    met = regions.where(end >= begin).select(
+        "contig", begin.alias("beg"), end.alias("end"), F.explode(F.sequence(tile_of(begin), tile_of(end))).alias("tile")
+    )
+    asked = met.groupBy("contig", "tile").agg(
+        F.min(F.greatest(F.col("beg"), F.col("tile") * TILE)).alias("low"),
+        F.max(F.least(F.col("end"), (F.col("tile") + 1) * TILE - 1)).alias("high"),
+    )
+    met_folders = asked.orderBy("contig", "tile").collect()
+    if not met_folders:
+        return None
+    folders = [(F.col("contig") == a["contig"]) & (F.col("tile").isNull() | (F.col("tile") == a["tile"])) for a in met_folders]
+    inside = [f & F.col("win").between(a["low"], a["high"]) for f, a in zip(folders, met_folders, strict=True)]
+    # the test of folders stands alone too: where they are taken from file names, only such a test chooses files
+    return _any(folders) & _any(inside)
+
+
+def _any(tests: list[Column]) -> Column:
+    """Disjunction as a balanced tree: its depth stays small with many tests."""
+    if len(tests) == 1:
+        return tests[0]
+    half = len(tests) // 2
+    return _any(tests[:half]) | _any(tests[half:])
+
+
 def write_profile(profile: Profile, path: str, mode: str = "append") -> None:
     """Writes or appends a profile; a sample that is stored already is refused.
 
@@ -51,10 +91,11 @@ def write_profile(profile: Profile, path: str, mode: str = "append") -> None:
         ),
     )
     (
-        checked.repartitionByRange("contig", "win", "sample", "rg")
-        .sortWithinPartitions("contig", "win", "sample", "rg", "off", "dev")
+        checked.withColumn("tile", tile_of(F.col("win")))
+        .repartitionByRange("contig", "win", "sample", "rg")
+        .sortWithinPartitions("contig", "tile", "win", "sample", "rg", "off", "dev")
         .write.mode(mode)
-        .partitionBy("contig")
+        .partitionBy("contig", "tile")
         .parquet(f"{path}/pairs")
     )
     for name in ("hist", "read_groups", "contigs"):
@@ -67,7 +108,7 @@ def read_profile(spark: SparkSession, path: str) -> Profile:
     contigs = read("contigs", CONTIGS).groupBy("contig").agg(
         F.min("contig_id").alias("contig_id"), F.max("len").alias("len")
     )
-    return Profile(read("pairs", PAIRS), read("hist", HIST), read("read_groups", READ_GROUPS), contigs)
+    return Profile(read("pairs", STORED_PAIRS), read("hist", HIST), read("read_groups", READ_GROUPS), contigs)
 
 
 def refuse_stored_samples(profile: Profile, path: str) -> None:
@@ -158,13 +199,15 @@ def read_profiles(spark: SparkSession, paths: list[str]) -> Profile:
     other = counts.where(F.col("n") < len(dict.fromkeys(paths))).orderBy("contig_id", "contig").first()
     if other is not None:
         raise ParameterError(f"the profiles have different contigs: not all have {other['contig']!r} of length {other['len']} in place {other['contig_id']}")
-    # One scan over all contig folders: the contig is taken from the folder name, so the scan does
-    # not grow into a union of one branch per dataset.
+    # One scan over all folders: contig and tile are taken from the folder names, so the scan does
+    # not grow into a union of one branch per dataset. Tests of them choose files before any is opened.
+    folder = lambda name: F.regexp_extract("_metadata.file_path", f"/{name}=([^/]*)/", 1)
     pairs = (
         spark.read.schema(PAIRS.replace("contig string, ", ""))
-        .parquet(*[f"{p}/pairs/*" for p in paths])
-        .withColumn("contig", F.url_decode(F.regexp_extract("_metadata.file_path", r"/contig=([^/]*)/", 1)))
-        .select("contig", "win", "sample", "rg", "off", "dev")
+        .option("recursiveFileLookup", True)
+        .parquet(*[f"{p}/pairs" for p in paths])
+        .withColumns({"contig": F.url_decode(folder("contig")), "tile": F.nullif(folder("tile"), F.lit("")).cast("bigint")})
+        .select("contig", "win", "sample", "rg", "off", "dev", "tile")
     )
     return Profile(
         pairs,
