@@ -12,7 +12,7 @@ EPS = "1e-10"
 LN2 = repr(math.log(2.0))
 
 #: Names whose body reads itself.
-RECURSIVE = {"walk", "walk_all", "trim", "admission"}
+RECURSIVE = {"trim", "admission"}
 
 # name -> (names it reads, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -386,79 +386,179 @@ UNION ALL SELECT a.* FROM {shifts} a WHERE NOT EXISTS (SELECT 1 FROM step{n} b W
     _, lik = likelihoods(f"f{n}", good, shifts)
     _, last = ratio(f"f{n}", lik, good)
     cte(
-        f"em{n}",
-        f"""SELECT a.contig, a.p, a.len0, CAST(a.iterations AS BIGINT) AS iterations, a.len, round(b.lr, 4) AS lr, round(a.af, 4) AS af,
-       c.data_samples
+        f"est{n}",
+        f"""SELECT a.contig, a.p, a.len0, CAST(a.iterations AS BIGINT) AS iterations, a.len, b.lr, a.af, c.data_samples
 FROM {good} a JOIN {last} b ON {_SAME.format('b')}
 JOIN (SELECT contig, p, count(*) FILTER (WHERE n_active >= 2) AS data_samples FROM sampled GROUP BY contig, p) c
   ON a.contig = c.contig AND a.p = c.p
 WHERE b.lr >= {min_lr}""",
         good, last, "sampled",
     )
+    cte(f"em{n}", f"SELECT * REPLACE (round(lr, 4) AS lr, round(af, 4) AS af) FROM est{n}", f"est{n}")
+    define(f"pls{n}", CTES["pls"][1], logs=f"logsf{n}", sampled="sampled")
+    define(f"lad{n}", CTES["lad"][1], pd=f"pdf{n}")
+    define(f"dad{n}", CTES["dad"][1].replace("s.len0", "s.len0, s.len AS size").replace("len0 - lower_q", "size - lower_q")
+           .replace("len0 + upper_q", "size + upper_q"), state=f"est{n}", obs="obs", quant="quant")
     return f"em{n}"
 
 
-# Window calls made up from candidates, and their clusters: the rows of a segment are walked one by one.
+# Window calls made up from candidates.
+FIRST_POINTS = "(SELECT contig, min(start // 30 * 30) AS first_p FROM b1 GROUP BY contig)"
 cte(
     "wcalls",
-    """SELECT c.contig, CAST((c.p - f.first_p) // 10000 AS BIGINT) AS segment, c.p, c.len0, c.p - 1 AS win_pos,
+    f"""SELECT c.contig, CAST((c.p - f.first_p) // 10000 AS BIGINT) AS segment, c.p, c.len0, c.p - 1 AS win_pos,
        c.p + c.len0 % 7 * 5 AS pos, c.p + c.len0 * (c.p // 30 % 3) // 2 AS end_pos, c.len0 AS len,
        CAST(c.len0 % 11 AS DOUBLE) AS lr, CASE WHEN c.p // 30 % 4 = 0 THEN 4 ELSE 0 END AS filter
-FROM cand c JOIN (SELECT contig, min(start // 30 * 30) AS first_p FROM b1 GROUP BY contig) f ON c.contig = f.contig""",
+FROM cand c JOIN {FIRST_POINTS} f ON c.contig = f.contig""",
     "cand", "b1",
 )
-cte(
-    "ranked",
-    """SELECT *, row_number() OVER (PARTITION BY contig, segment ORDER BY pos, len, lr DESC, win_pos, len0) AS i
-FROM wcalls""",
-    "wcalls",
-)
-for _name, _from in (("walk", "CASE WHEN filter = 0 THEN i END"), ("walk_all", "i")):
+COUNTS = ("lad_ref", "lad_amb", "lad_del", "dad_ref", "dad_both", "dad_between", "dad_alt", "dad_right")
+_SAMPLE_OF = "{0}.contig = g.contig AND {0}.p = g.p AND {0}.len0 = g.len0 AND {0}.sample = g.sample"
+_CALL_OF = "{0}.contig = m.contig AND {0}.segment = m.segment AND {0}.cluster = m.cluster"
+
+
+def samples_of(tag: str, calls: str) -> str:
+    """Scores, depths and borders per candidate of ``calls`` and sample with pairs; returns the name."""
+    counts = ", ".join(f"coalesce({'l' if c.startswith('lad') else 'd'}.{c}, 0) AS {c}" for c in COUNTS)
     cte(
-        _name,
+        f"gen{tag}",
+        f"""SELECT g.*, coalesce(s.pl0, 0) AS pl0, coalesce(s.pl1, 0) AS pl1, coalesce(s.pl2, 0) AS pl2, {counts}, f.first, f.last
+FROM (SELECT c.contig, c.p, c.len0, n.sample FROM {calls} c JOIN sampled n ON c.contig = n.contig AND c.p = n.p) g
+LEFT JOIN pls{tag} s ON {_SAMPLE_OF.format('s')} LEFT JOIN lad{tag} l ON {_SAMPLE_OF.format('l')}
+LEFT JOIN dad{tag} d ON {_SAMPLE_OF.format('d')}
+LEFT JOIN (SELECT contig, p, sample, min(start) AS first, max(end_pos) AS last FROM usable GROUP BY contig, p, sample) f
+  ON f.contig = g.contig AND f.p = g.p AND f.sample = g.sample""",
+        calls, "sampled", f"pls{tag}", f"lad{tag}", f"dad{tag}", "usable",
+    )
+    return f"gen{tag}"
+
+
+def merging(tag: str, calls: str, samples: str, sigma: int, cover: float, keep_failed: bool) -> None:
+    """Clusters, merged positions, genotyping members, merged genotypes and finished calls of window calls.
+
+    The rows of a segment are walked one by one.
+    """
+    opens = "i" if keep_failed else "CASE WHEN filter = 0 THEN i END"
+    cte(
+        f"ranked{tag}",
+        f"""SELECT *, row_number() OVER (PARTITION BY contig, segment ORDER BY pos, len, lr DESC, win_pos, len0) AS i
+FROM {calls}""",
+        calls,
+    )
+    RECURSIVE.add(f"walk{tag}")
+    cte(
+        f"walk{tag}",
         f"""SELECT r.contig, r.segment, r.i, CAST(0 AS BIGINT) AS cluster, r.pos AS h_pos, r.end_pos AS h_end, r.len AS h_len
-FROM ranked r JOIN (SELECT contig, segment, min({_from}) AS i FROM ranked GROUP BY contig, segment) b
+FROM ranked{tag} r JOIN (SELECT contig, segment, min({opens}) AS i FROM ranked{tag} GROUP BY contig, segment) b
   ON r.contig = b.contig AND r.segment = b.segment AND r.i = b.i
 UNION ALL
 SELECT contig, segment, i, CASE WHEN alike AND (laps OR runs) THEN cluster ELSE cluster + 1 END,
        CASE WHEN alike AND (laps OR runs) THEN h_pos ELSE pos END,
        CASE WHEN alike AND laps THEN h_end ELSE end_pos END,
        CASE WHEN alike AND (laps OR runs) THEN h_len ELSE len END
-FROM (SELECT *, small + 20 >= large OR small >= 0.5 * large AS alike, lap >= 0.25 * short OR lap + 20 >= short AS laps,
-             (h_span < h_len OR span < len) AND pos - h_pos < small + 40 AS runs
+FROM (SELECT *, small + {2 * sigma} >= large OR small >= 0.5 * large AS alike, lap >= 0.25 * short OR lap + {2 * sigma} >= short AS laps,
+             (h_span < h_len OR span < len) AND pos - h_pos < small + {4 * sigma} AS runs
       FROM (SELECT *, least(h_pos + h_span, pos + span) - greatest(h_pos, pos) AS lap, least(h_span, span) AS short
             FROM (SELECT r.contig, r.segment, r.i, r.pos, r.end_pos, r.len, w.cluster, w.h_pos, w.h_end, w.h_len,
                          greatest(0, w.h_end - w.h_pos) AS h_span, greatest(0, r.end_pos - r.pos) AS span,
                          least(w.h_len, r.len) AS small, greatest(w.h_len, r.len) AS large
-                  FROM {_name} w JOIN ranked r ON r.contig = w.contig AND r.segment = w.segment AND r.i = w.i + 1)))""",
-        "ranked",
+                  FROM walk{tag} w JOIN ranked{tag} r ON r.contig = w.contig AND r.segment = w.segment AND r.i = w.i + 1)))""",
+        f"ranked{tag}",
     )
     cte(
-        _name.replace("walk", "clustered"),
+        f"clustered{tag}",
         f"""SELECT *, i = first_i AS head FROM (
   SELECT r.*, w.cluster, min(r.i) OVER c AS first_i, count(*) OVER c AS members
-  FROM ranked r JOIN {_name} w ON r.contig = w.contig AND r.segment = w.segment AND r.i = w.i
+  FROM ranked{tag} r JOIN walk{tag} w ON r.contig = w.contig AND r.segment = w.segment AND r.i = w.i
   WINDOW c AS (PARTITION BY r.contig, r.segment, w.cluster)) WHERE members > 1""",
-        "ranked", _name,
+        f"ranked{tag}", f"walk{tag}",
     )
-cte(
-    "mergedpos",
-    """SELECT contig, segment, cluster, pos, len, lr, sig_windows,
-       CASE WHEN 30.0::DOUBLE * sig_windows / len < 0.5::DOUBLE THEN filter | 16 ELSE filter END AS filter
+    cte(
+        f"mergedpos{tag}",
+        f"""SELECT * REPLACE (CAST(CASE WHEN 30.0::DOUBLE * sig_windows / len < {cover}::DOUBLE THEN filter | 16 ELSE filter END AS BIGINT) AS filter)
 FROM (SELECT contig, segment, cluster, avg(lr) AS lr, max(CASE WHEN head THEN filter END) AS filter,
+             max(CASE WHEN head THEN p END) AS head_p, max(CASE WHEN head THEN len0 END) AS init_len,
              count(*) FILTER (WHERE head OR filter = 0) AS sig_windows,
              list_sort(list(pos) FILTER (WHERE head OR filter = 0))[count(*) FILTER (WHERE head OR filter = 0) // 2 + 1] AS pos,
              list_sort(list(len) FILTER (WHERE head OR filter = 0))[count(*) FILTER (WHERE head OR filter = 0) // 2 + 1] AS len
-      FROM clustered GROUP BY contig, segment, cluster)""",
-    "clustered",
-)
-cte(
-    "members",
-    """SELECT c.contig, c.segment, c.cluster, c.p, c.len0, count(*) OVER (PARTITION BY c.contig, c.segment, c.cluster) AS n
-FROM clustered c JOIN mergedpos m ON c.contig = m.contig AND c.segment = m.segment AND c.cluster = m.cluster
+      FROM clustered{tag} GROUP BY contig, segment, cluster)""",
+        f"clustered{tag}",
+    )
+    cte(
+        f"members{tag}",
+        f"""SELECT c.contig, c.segment, c.cluster, c.p, c.len0, count(*) OVER (PARTITION BY c.contig, c.segment, c.cluster) AS n
+FROM clustered{tag} c JOIN mergedpos{tag} m ON {_CALL_OF.format('c')}
 WHERE c.win_pos > m.pos AND c.win_pos - 30 < m.pos + m.len""",
-    "clustered", "mergedpos",
-)
+        f"clustered{tag}", f"mergedpos{tag}",
+    )
+    # the upper median over all windows, in which windows without the sample count as zero
+    middle = ", ".join(
+        f"coalesce(list_sort(list({c}))[nullif(greatest(max(m.n) // 2 - (max(m.n) - count(*)), -1) + 1, 0)], 0) AS {c}" for c in COUNTS
+    )
+    cte(
+        f"mgt{tag}",
+        f"""SELECT contig, segment, cluster, sample, n_windows,
+       CAST(r0 + CASE WHEN r1 <> r2 AND r0 = r1 AND x0 > x1 THEN 1 ELSE 0 END AS BIGINT) AS pl0,
+       CAST(r1 + CASE WHEN r1 = r2 AND x1 > x2 OR r1 <> r2 AND r0 = r1 AND NOT x0 > x1 THEN 1 ELSE 0 END AS BIGINT) AS pl1,
+       CAST(r2 + CASE WHEN r1 = r2 AND NOT x1 > x2 THEN 1 ELSE 0 END AS BIGINT) AS pl2, {', '.join(COUNTS)}
+FROM (SELECT *, floor(x0 + 0.5) AS r0, floor(x1 + 0.5) AS r1, floor(x2 + 0.5) AS r2
+      FROM (SELECT *, (s0 - low) / n_windows AS x0, (s1 - low) / n_windows AS x1, (s2 - low) / n_windows AS x2
+            FROM (SELECT *, least(s0, s1, s2) AS low FROM (
+              SELECT m.contig, m.segment, m.cluster, g.sample, max(m.n) AS n_windows, CAST(sum(pl0) AS DOUBLE) AS s0,
+                     CAST(sum(pl1) AS DOUBLE) AS s1, CAST(sum(pl2) AS DOUBLE) AS s2, {middle}
+              FROM members{tag} m JOIN {samples} g ON m.contig = g.contig AND m.p = g.p AND m.len0 = g.len0
+              GROUP BY m.contig, m.segment, m.cluster, g.sample))))""",
+        f"members{tag}", samples,
+    )
+    cte(
+        f"calls{tag}",
+        f"""SELECT m.*, a.alleles / 10.0::DOUBLE AS af FROM mergedpos{tag} m JOIN (
+  SELECT contig, segment, cluster, sum(CASE WHEN pl0 = 0 THEN 0 WHEN pl1 = 0 THEN 1 ELSE 2 END) AS alleles
+  FROM mgt{tag} GROUP BY contig, segment, cluster) a ON {_CALL_OF.format('a')}""",
+        f"mergedpos{tag}", f"mgt{tag}",
+    )
+    zeros = ", ".join(f"coalesce(g.{c}, 0) AS {c}" for c in COUNTS)
+    cte(
+        f"cells{tag}",
+        f"""SELECT contig, segment, cluster, sample, coalesce(g.pl0, 0) AS pl0, coalesce(g.pl1, 0) AS pl1, coalesce(g.pl2, 1) AS pl2,
+       {zeros}, coalesce(h.first, 0) AS first, coalesce(h.last, 0) AS last
+FROM mgt{tag} g FULL JOIN (SELECT m.contig, m.segment, m.cluster, s.sample, s.first, s.last FROM mergedpos{tag} m
+  JOIN {samples} s ON s.contig = m.contig AND s.p = m.head_p AND s.len0 = m.init_len) h USING (contig, segment, cluster, sample)""",
+        f"mgt{tag}", f"mergedpos{tag}", samples,
+    )
+
+
+samples_of("", "state")
+for _tag, _failed in (("", False), ("_all", True)):
+    merging(_tag, "wcalls", "gen", 10, 0.5, _failed)
+
+
+def estimated_calls(rounds: int, min_len: int, min_lr: float, min_share: float) -> None:
+    """Merged calls of the estimation stopped after some rounds: passing ones (``_est``) and all (``_estall``)."""
+    n = unrolled_estimation(rounds, min_len, min_lr).removeprefix("em")
+    cte(
+        f"support{n}",
+        f"""SELECT contig, p, len0, list_sort(list(start))[CAST(floor((count(*) - 1) * 0.8::DOUBLE + 0.5) AS BIGINT) + 1] AS pos,
+       list_sort(list(end_pos))[CAST(floor((count(*) - 1) * (1 - 0.8::DOUBLE) + 0.5) AS BIGINT) + 1] AS end_pos
+FROM (SELECT c.contig, c.p, c.len0, u.start, u.end_pos FROM usable u
+      JOIN est{n} c ON u.contig = c.contig AND u.p = c.p JOIN quant q ON q.rg = u.rg
+      WHERE u.dev BETWEEN c.len - q.lower_q AND c.len + q.upper_q)
+GROUP BY contig, p, len0""",
+        "usable", f"est{n}", "quant",
+    )
+    cte(
+        f"wcalls{n}",
+        f"""SELECT a.contig, CAST((a.p - f.first_p) // 10000 AS BIGINT) AS segment, a.p, a.len0, a.p - 1 AS win_pos, b.pos, b.end_pos, a.len, a.lr,
+       CASE WHEN a.data_samples / 5.0::DOUBLE >= {min_share}::DOUBLE THEN 0 ELSE 4 END AS filter
+FROM est{n} a JOIN support{n} b ON {_SAME.format('b')} JOIN {FIRST_POINTS} f ON a.contig = f.contig
+WHERE b.pos <> 0 OR b.end_pos <> 0""",
+        f"est{n}", f"support{n}", "b1",
+    )
+    samples = samples_of(n, f"est{n}")
+    merging("_est", f"wcalls{n}", samples, 50, 0.5, False)
+    merging("_estall", f"wcalls{n}", samples, 50, 0.5, True)
+
+
 cte(
     "ladder",
     "SELECT * FROM (VALUES " + ", ".join(f"({q}, {k!r}::DOUBLE)" for q, k in enumerate(likelihood_ladder())) + ") AS t(q, k)",

@@ -10,7 +10,7 @@ from lacuna.functions import genotype as G
 from lacuna.functions.density import lookup
 from lacuna.operators import em, genotyping, histograms, intervals, merging, windows
 from lacuna.params import CHI2_Q99, CallParams
-from lacuna.plans.oracle import LENGTH_STEP, SHIFT_STEP, unrolled_estimation
+from lacuna.plans.oracle import COUNTS, LENGTH_STEP, SHIFT_STEP, estimated_calls, unrolled_estimation
 from lacuna.plans.registry import query
 from lacuna.plans.stand_ins import MIN_LEN, N_SAMPLES, Pairs
 from lacuna.streaming import admission
@@ -481,21 +481,24 @@ def window_calls_blocks(spark, sf):
     return rows.where("lead").select(*KEY, "iterations", "len", r("lr", 4), r("af", 4), "data_samples")
 
 
-def _merged(spark, sf):
+def _merged(spark, sf, params=SMALL, cover=0.0, keep_failed=True):
     from lacuna.session import materialise
 
     b = Pairs.stage(spark, sf)
-    genotyped = materialise(b.genotyped(SMALL))
+    genotyped = materialise(b.genotyped(params))
     positions = genotyping.supported(genotyped, b.spanned, b.hot, b.density)
-    calls = genotyping.window_calls(genotyped, positions, N_SAMPLES, SMALL.min_sample_fraction)
+    calls = genotyping.window_calls(genotyped, positions, N_SAMPLES, params.min_sample_fraction)
     calls = genotyping.with_segments(calls, genotyping.first_grid_points(b.spanned), 10_000)
-    return merging.merge_calls(calls, genotyped, 50.0, N_SAMPLES, 0.0, keep_failed=True)
+    return merging.merge_calls(calls, genotyped, 50.0, N_SAMPLES, cover, keep_failed=keep_failed)
+
+
+def _unified(calls):
+    return calls.select(*merging.CALL, "pos", "len", r("lr", 4), r("af", 4), "sig_windows", "filter")
 
 
 @query("unify_calls")
 def unify_calls(spark, sf):
-    calls, _ = _merged(spark, sf)
-    return calls.select("contig", "segment", "cluster", "pos", "len", r("lr", 4), r("af", 4), "sig_windows", "filter")
+    return _unified(_merged(spark, sf)[0])
 
 
 @query("call_genotypes")
@@ -504,6 +507,32 @@ def call_genotypes(spark, sf):
     return samples.select(*merging.CALL, "sample", "pl0", "pl1", "pl2", "lad_ref", "lad_amb", "lad_del", "first", "last")
 
 
+# the whole way to calls, with two rounds of the estimation and filters that act
+TWO_ROUNDS = replace(SMALL, iterations=2, min_sample_fraction=0.6)
+estimated_calls(2, MIN_LEN, 0.5, TWO_ROUNDS.min_sample_fraction)
+
+
+@query(
+    "unify_calls_2",
+    """SELECT contig, segment, cluster, pos, len, round(lr, 4) AS lr, round(af, 4) AS af, sig_windows, filter
+FROM calls_est WHERE filter = 0""",
+    "calls_est",
+)
+def unify_calls_2(spark, sf):
+    """Calls that pass every filter: enough samples with data and windows that cover half of the deletion."""
+    return _unified(_merged(spark, sf, TWO_ROUNDS, 0.5, keep_failed=False)[0])
+
+
+@query(
+    "call_genotypes_2",
+    f"SELECT contig, segment, cluster, sample, pl0, pl1, pl2, {', '.join(COUNTS)}, first, last FROM cells_est",
+    "cells_est",
+)
+def call_genotypes_2(spark, sf):
+    _, samples = _merged(spark, sf, TWO_ROUNDS, 0.5, keep_failed=False)
+    return samples.select(*merging.CALL, "sample", *PL, *COUNTS, "first", "last")
+
+
 @query(
     "padded_median",
     """SELECT contig, sample, win, CAST(CASE WHEN (count(*) + 3) // 2 - 3 < 0 THEN 0
@@ -566,21 +595,8 @@ def merged_positions(spark, sf):
 
 @query(
     "merged_genotypes",
-    """SELECT contig, segment, cluster, sample, n_windows,
-       CAST(r0 + CASE WHEN r1 <> r2 AND r0 = r1 AND x0 > x1 THEN 1 ELSE 0 END AS BIGINT) AS pl0,
-       CAST(r1 + CASE WHEN r1 = r2 AND x1 > x2 OR r1 <> r2 AND r0 = r1 AND NOT x0 > x1 THEN 1 ELSE 0 END AS BIGINT) AS pl1,
-       CAST(r2 + CASE WHEN r1 = r2 AND NOT x1 > x2 THEN 1 ELSE 0 END AS BIGINT) AS pl2, lad_ref, lad_del
-FROM (SELECT *, floor(x0 + 0.5) AS r0, floor(x1 + 0.5) AS r1, floor(x2 + 0.5) AS r2
-      FROM (SELECT *, (s0 - low) / n_windows AS x0, (s1 - low) / n_windows AS x1, (s2 - low) / n_windows AS x2
-            FROM (SELECT *, least(s0, s1, s2) AS low FROM (
-              SELECT m.contig, m.segment, m.cluster, g.sample, max(m.n) AS n_windows, CAST(sum(pl0) AS DOUBLE) AS s0,
-                     CAST(sum(pl1) AS DOUBLE) AS s1, CAST(sum(pl2) AS DOUBLE) AS s2,
-                     coalesce(list_sort(list(lad_ref))[nullif(greatest(max(m.n) // 2 - (max(m.n) - count(*)), -1) + 1, 0)], 0) AS lad_ref,
-                     coalesce(list_sort(list(lad_del))[nullif(greatest(max(m.n) // 2 - (max(m.n) - count(*)), -1) + 1, 0)], 0) AS lad_del
-              FROM members m JOIN pls g ON m.contig = g.contig AND m.p = g.p AND m.len0 = g.len0
-              JOIN lad l ON l.contig = g.contig AND l.p = g.p AND l.len0 = g.len0 AND l.sample = g.sample
-              GROUP BY m.contig, m.segment, m.cluster, g.sample))))""",
-    "members", "pls", "lad",
+    "SELECT contig, segment, cluster, sample, n_windows, pl0, pl1, pl2, lad_ref, lad_del FROM mgt",
+    "mgt",
 )
 def merged_genotypes(spark, sf):
     b = Pairs.stage(spark, sf)
@@ -594,22 +610,17 @@ def merged_genotypes(spark, sf):
 
 @query(
     "call_filter",
-    """SELECT m.contig, m.segment, m.cluster, m.pos, m.len, round(sum(CASE WHEN pl0 = 0 THEN 0 WHEN pl1 = 0 THEN 1 ELSE 2 END) / 10.0::DOUBLE, 6) AS af
-FROM (SELECT * FROM mergedpos WHERE filter = 0) m JOIN (
-  SELECT k.contig, k.segment, k.cluster, g.sample, sum(pl0) AS pl0, sum(pl1) AS pl1
-  FROM (SELECT contig, segment, cluster, min(p) AS p, min(len0) AS len0 FROM members GROUP BY contig, segment, cluster HAVING count(*) = 1) k
-  JOIN pls g ON k.contig = g.contig AND k.p = g.p AND k.len0 = g.len0 GROUP BY k.contig, k.segment, k.cluster, g.sample) s
-  ON m.contig = s.contig AND m.segment = s.segment AND m.cluster = s.cluster GROUP BY m.contig, m.segment, m.cluster, m.pos, m.len""",
-    "mergedpos", "members", "pls",
+    "SELECT contig, segment, cluster, pos, len, round(af, 6) AS af FROM calls WHERE filter = 0",
+    "calls",
 )
 def call_filter(spark, sf):
-    """Calls that pass, with the frequency of their genotypes; clusters with one genotyping window only."""
+    """Calls that pass, with the frequency of their merged genotypes."""
     b = Pairs.stage(spark, sf)
-    merged = merging.merged_positions(merging.cluster_calls(_window_calls(b), SIGMA), 0.5)
     clustered = merging.cluster_calls(_window_calls(b), SIGMA)
-    members = merging.genotype_members(clustered, merged)
-    single = members.groupBy(*merging.CALL).agg(F.min("p").alias("p"), F.min("len0").alias("len0"), F.count(F.lit(1)).alias("n"))
-    samples = _phred(b).join(single.where("n = 1"), KEY)
+    merged = merging.merged_positions(clustered, 0.5)
+    keys = [*KEY, "sample"]
+    depths = em.depth_classes(b.densities).join(em.distribution_classes(b.obs, b.seeds, b.density), keys)
+    samples = merging.call_genotypes(merging.genotype_members(clustered, merged), _phred(b).join(depths, keys))
     called = merging.finish_calls(merged, samples, N_SAMPLES).where("filter = 0")
     return called.select(*merging.CALL, "pos", "len", r("af"))
 

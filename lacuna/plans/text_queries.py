@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lacuna import __version__
 from lacuna.functions import text as T
 from lacuna.operators import em, genotyping, reads, render
-from lacuna.plans.pair_queries import _phred
+from lacuna.plans.pair_queries import TWO_ROUNDS, _merged, _phred
 from lacuna.plans.registry import query
 from lacuna.plans.stand_ins import N_SAMPLES, Pairs
 
@@ -90,6 +90,15 @@ def six_digit_text(spark, sf):
     )
 
 
+# One sample of a call; reads pl0 to pl2, gq, the counts and the borders under the given names.
+def cell_sql(first: str, last: str) -> str:
+    return f"""concat_ws(':', CASE WHEN gq = 0 THEN './.' ELSE (CASE WHEN pl2 = 0 THEN '1' ELSE '0' END) || '/' || (CASE WHEN pl0 <> 0 THEN '1' ELSE '0' END) END,
+          CASE WHEN gq = 0 THEN '0,0,0' ELSE concat_ws(',', least(pl0, 255), least(pl1, 255), least(pl2, 255)) END,
+          gq, concat_ws(',', lad_ref, lad_amb, lad_del),
+          concat_ws(',', dad_ref, dad_both, dad_between, dad_alt, dad_right),
+          concat_ws(',', {first}, {last}), {last} - {first})"""
+
+
 ABSENT = "./.:0,0,0:0:0,0,0:0,0,0,0,0:0,0:0"
 SAMPLE_CELLS = ", ".join(f"coalesce(max(CASE WHEN c.sample = {s} THEN c.cell END), '{ABSENT}')" for s in range(5))
 
@@ -106,11 +115,7 @@ FROM state s
 JOIN (SELECT l.contig, l.p, l.len0, max(l.lr) AS lr, max(k.q) AS q FROM (SELECT contig, p, len0, round(greatest(lr, 0), 3) AS lr FROM lrs) l
       JOIN ladder k ON k.k <= l.lr GROUP BY l.contig, l.p, l.len0) r ON s.contig = r.contig AND s.p = r.p AND s.len0 = r.len0
 JOIN (SELECT g.contig, g.p, g.len0, g.sample, g.pl0 + g.pl1 + g.pl2 <> 0 AS has_data,
-        concat_ws(':', CASE WHEN gq = 0 THEN './.' ELSE (CASE WHEN pl2 = 0 THEN '1' ELSE '0' END) || '/' || (CASE WHEN pl0 <> 0 THEN '1' ELSE '0' END) END,
-          CASE WHEN gq = 0 THEN '0,0,0' ELSE concat_ws(',', least(pl0, 255), least(pl1, 255), least(pl2, 255)) END,
-          gq, concat_ws(',', lad_ref, lad_amb, lad_del),
-          concat_ws(',', dad_ref, dad_both, dad_between, dad_alt, dad_right),
-          concat_ws(',', f.first_pos, f.last_pos), f.last_pos - f.first_pos) AS cell
+        {cell_sql('f.first_pos', 'f.last_pos')} AS cell
       FROM gts g JOIN lad l ON g.contig = l.contig AND g.p = l.p AND g.len0 = l.len0 AND g.sample = l.sample
       JOIN dad d ON g.contig = d.contig AND g.p = d.p AND g.len0 = d.len0 AND g.sample = d.sample
       JOIN (SELECT contig, p, sample, min(first_pos) AS first_pos, max(last_pos) AS last_pos FROM loads GROUP BY contig, p, sample) f
@@ -140,3 +145,34 @@ def vcf_records(spark, sf):
         calls, render.call_cells(samples, em.KEY), order, N_SAMPLES, em.KEY, F.lit(ABSENT), False
     )
     return lines
+
+
+# A passing call and, where failed ones are kept, those with too few samples (4) or windows (16).
+FILTER_TEXT = """CASE WHEN m.filter = 0 THEN 'PASS'
+      ELSE concat_ws(';', CASE WHEN m.filter & 4 <> 0 THEN 'missingSamples' END, CASE WHEN m.filter & 16 <> 0 THEN 'CSWin' END) END"""
+
+
+@query(
+    "merged_vcf_records",
+    f"""SELECT m.contig, m.pos, m.len, concat_ws(chr(9), m.contig,
+    CASE WHEN m.pos > 1 THEN m.pos ELSE m.pos + 1 END, '.', 'N', '<DEL>', max(k.q), {FILTER_TEXT},
+    'IMPRECISE;SVLEN=-' || m.len || ';END=' || (m.pos + m.len) || ';SVTYPE=DEL;AF=' || CASE WHEN m.af = 0 THEN '0' ELSE printf('%g', m.af) END
+      || ';LR=' || printf('%g', m.lr) || ';SVMETHOD=lacuna-{__version__};YIELD='
+      || printf('%g', (max(c.covered) + 5 - max(c.present)) / 5.0::DOUBLE) || ';SWIN=' || m.sig_windows,
+    'GT:PL:GQ:LAD:DAD:FL:FLD', max(c.cells)) AS line
+FROM calls_estall m JOIN ladder k ON k.k <= m.lr
+JOIN (SELECT contig, segment, cluster, count(*) AS present, count(*) FILTER (WHERE pl0 + pl1 + pl2 <> 0) AS covered,
+             concat_ws(chr(9), {SAMPLE_CELLS}) AS cells
+      FROM (SELECT *, {cell_sql('first', 'last')} AS cell FROM (
+        SELECT *, CASE WHEN pl0 + pl1 + pl2 = 0 THEN 0 ELSE least(255, CASE WHEN pl0 = 0 THEN least(pl1, pl2)
+                    WHEN pl1 = 0 THEN least(pl0, pl2) ELSE least(pl0, pl1) END) END AS gq FROM cells_estall)) c
+      GROUP BY contig, segment, cluster) c
+  ON c.contig = m.contig AND c.segment = m.segment AND c.cluster = m.cluster
+GROUP BY m.contig, m.segment, m.cluster, m.pos, m.len, m.af, m.lr, m.filter, m.sig_windows""",
+    "calls_estall", "ladder", "cells_estall",
+)
+def merged_vcf_records(spark, sf):
+    """Lines of merged calls, failed ones kept, with cells for samples without data in any window."""
+    calls, samples = _merged(spark, sf, TWO_ROUNDS, 0.5, keep_failed=True)
+    order = genotyping.sample_order(Pairs(spark, sf).pairs)
+    return render.merged_vcf_lines(calls, samples, order, N_SAMPLES)
