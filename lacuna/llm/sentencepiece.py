@@ -4,7 +4,7 @@ The text is normalised as the models here do it: a blank in front, blanks writte
 crosses from another character to U+2581, so the text falls into words (a run of U+2581 and what
 follows), and equal words have equal best segmentations. The lattice is built once per distinct word:
 substrings of at most the longest piece are exploded, equi-joined to the piece table (whose size is
-fixed by the model), grouped by word without another exchange, and folded to the segmentation of
+fixed by the model), grouped by the number of the word without another exchange, and folded to the segmentation of
 highest total score with ``aggregate``: one fold over the edges in order of their ends, one back from
 the last character. Ties go to the longer last piece. A character without a piece of its own costs the lowest
 score less ten and becomes byte pieces.
@@ -12,6 +12,10 @@ score less ten and becomes byte pieces.
 Texts are packed into compressed blocks of bounded size, stored in buckets, and never shuffled. A block
 sends its distinct words, sorted and joined per word part; the ids come back in the same order, without the
 words. A word is segmented once per ``GROUP_BLOCKS`` blocks, so its list of blocks has a bound too.
+
+Words of more than ``LONG_WORD`` characters (text without blanks) take a way of their own: overlapping chunks of
+bounded length are exploded in parallel, edges are grouped per chunk, and the chunks of a word folded in order, so
+the work grows with the length of the word. Texts that may hold such words are packed into blocks of their own.
 """
 
 from __future__ import annotations
@@ -45,6 +49,9 @@ GROUP_BLOCKS = 4096
 UNKNOWN_PENALTY = 10.0
 #: Edges folded in one inner step; keeps the copied state short for very long words.
 TILE_EDGES = 256
+#: Characters of the longest word that is exploded whole, and of one chunk of longer words.
+LONG_WORD = 128
+CHUNK = 128
 
 
 @dataclass(frozen=True)
@@ -115,17 +122,18 @@ def normalise(text: str) -> str:
 
 
 def _substrings(words: DataFrame, longest: int) -> DataFrame:
-    """(part, word, blocks, e, s, piece): substrings by end position, from the longest to the shortest.
+    """(wid, part, word, blocks, e, s, piece): substrings by end position, from the longest to the shortest.
 
-    ``blocks`` stays with the last substring of a word only.
+    ``word`` and ``blocks`` stay with the last substring of a word only.
     """
-    ends = words.select("part", "word", "blocks", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("e"))
+    ends = words.select("wid", "part", "word", "blocks", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("e"))
     sizes = F.sequence(F.least("e", F.lit(longest)), F.lit(1), F.lit(-1))
-    sized = ends.select("part", "word", "blocks", "e", F.explode(sizes).alias("l"))
+    sized = ends.select("wid", "part", "word", "blocks", "e", F.explode(sizes).alias("l"))
     last = (F.col("l") == 1) & (F.col("e") == F.length("word"))
     return sized.select(
+        "wid",
         "part",
-        "word",
+        F.when(last, F.col("word")).alias("word"),
         F.when(last, F.col("blocks")).alias("blocks"),
         "e",
         (F.col("e") - F.col("l")).alias("s"),
@@ -209,23 +217,108 @@ def segment(words: DataFrame, model: Model) -> DataFrame:
 
     ``ids`` are in reading order; a negative id -c stands for the code point c without a piece.
     """
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, k, s) for p, (k, s) in model.pieces.items()], "piece string, id int, w double")
-    cut = _substrings(words, model.longest)
-    known = cut.join(F.broadcast(table), "piece", "left").where("id is not null or s = e - 1")
+    numbered = words.withColumn("wid", F.monotonically_increasing_id())
+    known = _edges(_substrings(numbered, model.longest), model)
+    # numbers rise in the order of the rows, so sorting them for the groups costs one pass
+    grouped = known.groupBy("wid", "part").agg(
+        F.first("word", ignorenulls=True).alias("word"),
+        F.first("blocks", ignorenulls=True).alias("blocks"),
+        F.sort_array(F.collect_list("edge")).alias("edges"),
+    )
+    backs = grouped.select("part", "word", "blocks", _viterbi(F.col("edges"), model.longest).alias("backs"))
+    return backs.select("part", "word", "blocks", _path(F.col("backs")).alias("ids"))
+
+
+def _edges(cut: DataFrame, model: Model) -> DataFrame:
+    """Substrings that are pieces, and single characters, with ``edge`` (e, s, id, w)."""
+    rows = [(p, k, s) for p, (k, s) in model.pieces.items()]
+    table = cut.sparkSession.createDataFrame(rows, "piece string, id int, w double")
     edge = F.struct(
         "e", "s", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("w", F.lit(model.unknown_score)).alias("w")
     )
-    grouped = known.groupBy("part", "word").agg(
-        F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list(edge)).alias("edges")
+    known = cut.join(F.broadcast(table), "piece", "left").where("id is not null or s = e - 1")
+    return known.withColumn("edge", edge)
+
+
+def segment_long(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ids) for distinct words of any length, worked on in chunks of ``CHUNK`` end positions.
+
+    A chunk holds the characters of its ends and the ``longest - 1`` before them. Words are addressed by their
+    SHA-256 and joined back at the end.
+    """
+    longest = model.longest
+    keyed = words.select(F.sha2("word", 256).alias("wid"), "word")
+    starts = keyed.select("wid", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(CHUNK))).alias("a"))
+    base = F.greatest(F.col("a") - F.lit(longest - 1), F.lit(0))
+    chunks = starts.select(
+        "wid", "a", base.alias("base"), F.substring("word", base + 1, F.col("a") + CHUNK - base).alias("chunk")
+    ).repartition("wid", "a")
+    inside = F.sequence(F.col("a") - F.col("base") + 1, F.length("chunk"))
+    ends = chunks.select("wid", "a", "base", "chunk", F.explode(inside).alias("i"))
+    sized = ends.select("*", F.explode(F.sequence(F.lit(1), F.least("i", F.lit(longest)))).alias("l"))
+    cut = sized.select(
+        "wid", "a", (F.col("base") + F.col("i")).alias("e"), (F.col("base") + F.col("i") - F.col("l")).alias("s"),
+        F.substring("chunk", F.col("i") - F.col("l") + 1, F.col("l")).alias("piece"),
     )
-    backs = grouped.select("part", "word", "blocks", _viterbi(F.col("edges"), model.longest).alias("backs"))
-    return backs.select("part", "word", "blocks", _path(F.col("backs")).alias("ids"))
+    per_chunk = _edges(cut, model).groupBy("wid", "a").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    grouped = per_chunk.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("a", "edges"))).alias("chunks"))
+    backs = grouped.select("wid", _chunked_viterbi(F.col("chunks"), longest).alias("backs"))
+    return keyed.join(backs.select("wid", _chunked_path(F.col("backs")).alias("ids")), "wid").select("word", "ids")
+
+
+def _chunked_viterbi(chunks: Column, longest: int) -> Column:
+    """The best last edges (t, s, id) of every chunk's end positions; a chunk starts from the last ``longest`` positions."""
+    origin = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("s"), F.lit(0).alias("id")))
+
+    def step(acc: Column, x: Column) -> Column:
+        def finished(done: Column) -> Column:
+            n, before = F.size(done["best"]), F.size(acc["best"])
+            over = F.greatest(n - F.lit(longest), F.lit(0))
+            return F.struct(
+                (done["low"] + over).alias("low"),
+                F.slice(done["best"], over + 1, F.lit(longest)).alias("best"),
+                F.concat(acc["closed"], F.array(F.slice(done["best"], before + 1, n - before))).alias("closed"),
+            )
+
+        begin = F.struct(acc["low"].alias("low"), acc["best"].alias("best"))
+        return _fold(x["edges"], begin, finished)
+
+    zero = F.struct(F.lit(0).alias("low"), origin.alias("best"), F.expr(f"cast(array() as array<{_BEST}>)").alias("closed"))
+    return F.aggregate(chunks, zero, step, lambda acc: acc["closed"])
+
+
+def _chunked_path(backs: Column) -> Column:
+    """Ids along the best path, in reading order, followed from the last chunk to the first."""
+    none = F.expr("cast(array() as array<int>)")
+    n = F.size(backs)
+    length = (n - 1) * CHUNK + F.size(F.element_at(backs, -1))
+    start = F.struct(length.alias("at"), F.expr("cast(array() as array<array<int>>)").alias("ids"))
+
+    def step(acc: Column, c: Column) -> Column:
+        rows = F.get(backs, c)
+
+        def back(inner: Column, j: Column) -> Column:
+            here = F.get(rows, j)
+            longer = F.struct(here["s"].alias("at"), F.concat(inner["ids"], F.array(here["id"])).alias("ids"))
+            return F.when(inner["at"] == c * CHUNK + j + 1, longer).otherwise(inner)
+
+        begin = F.struct(acc["at"].alias("at"), none.alias("ids"))
+        joined = lambda done: F.struct(done["at"].alias("at"), F.concat(acc["ids"], F.array(done["ids"])).alias("ids"))
+        return F.aggregate(F.sequence(F.size(rows) - 1, F.lit(0), F.lit(-1)), begin, back, joined)
+
+    return F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), start, step, lambda acc: F.reverse(F.flatten(acc["ids"])))
 
 
 # ---------------------------------------------------------------- blocks of texts
 
-_BLOCK = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("blob", pa.binary()), ("wide", pa.bool_())])
+
+
+def _wide(text: str) -> bool:
+    """Whether the text may hold a word of more than ``LONG_WORD`` characters."""
+    half = LONG_WORD // 2
+    spaced = text.replace(SPACE, " ") if SPACE in text else text
+    return " " * half in spaced or max(map(len, spaced.split(" "))) > half
 
 
 def _pack(rows: list[tuple[int | None, str | None]]) -> bytes:
@@ -247,20 +340,27 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        held: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def emit(wide: bool) -> pa.RecordBatch:
+            return batch_of(_BLOCK, [[uuid.uuid4().int >> 65], [_pack(held[wide])], [wide]])
+
         for b in slices(batches):
             for row in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows.append(row)
-                size += 16 + len(row[1] or "")
-                if size >= block_bytes:
-                    yield batch_of(_BLOCK, [[uuid.uuid4().int >> 65], [_pack(rows)]])
-                    rows, size = [], 0
-        if rows:
-            yield batch_of(_BLOCK, [[uuid.uuid4().int >> 65], [_pack(rows)]])
+                wide = bool(row[1]) and _wide(row[1])
+                held[wide].append(row)
+                size[wide] += 16 + len(row[1] or "")
+                if size[wide] >= block_bytes:
+                    yield emit(wide)
+                    held[wide], size[wide] = [], 0
+        for wide, rows in held.items():
+            if rows:
+                yield emit(wide)
         release()
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "block long, blob binary"
+        run, "block long, blob binary, wide boolean"
     )
     name = f"lacuna_blocks_{uuid.uuid4().hex[:12]}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -273,9 +373,11 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
 
 
 def _parted(words: set[str], group: int, parts: int) -> dict[int, list[str]]:
-    """Words by part, sorted; parts of different block groups are different."""
+    """Words by part, sorted, without long ones; parts of different block groups are different."""
     out: dict[int, list[str]] = defaultdict(list)
     for w in words:
+        if len(w) > LONG_WORD:
+            continue
         out[group * parts + zlib.crc32(w.encode()) % parts].append(w)
     return {k: sorted(v) for k, v in out.items()}
 
@@ -295,6 +397,22 @@ def _words(blocks: DataFrame, pattern: re.Pattern, groups: int, parts: int) -> D
     return blocks.mapInArrow(run, "part long, block long, words string")
 
 
+def _long_words(blocks: DataFrame, pattern: re.Pattern) -> DataFrame:
+    """(block, word): the distinct long words of every block."""
+    schema = pa.schema([("block", pa.int64()), ("word", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
+                words = _all_words(*_between_blanks(_unpack(blob.as_buffer())[1], pattern), pattern)
+                for w in words:
+                    if len(w) > LONG_WORD:
+                        yield batch_of(schema, [[block], [w]])
+        release()
+
+    return blocks.mapInArrow(run, "block long, word string")
+
+
 def _regular(text: str) -> bool:
     """Whether blanks stand single and between words, so that splitting at them gives the words' places."""
     return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
@@ -347,12 +465,21 @@ def encode(
     found = segment(distinct, model).select("part", "word", F.explode("blocks").alias("block"), "ids")
     sorted_words = F.sort_array(F.collect_list(F.struct("word", "ids")))
     listed = F.flatten(F.transform(sorted_words, lambda x: F.concat(x["ids"], F.array(F.lit(_END)))))
-    back = found.groupBy("part", "block").agg(listed.alias("ids"))
+    back = found.groupBy("part", "block").agg(listed.alias("ids")).withColumn("word", F.lit(None).cast("string"))
+    long = _long_words(blocks.where("wide"), pattern)
+    long_ids = segment_long(long.select("word").distinct(), model).join(long, "word")
+    back = back.unionByName(long_ids.select(F.lit(-1).cast("long").alias("part"), "block", "ids", "word"))
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded_sha256", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_part = dict(zip(right.column("part").to_pylist(), right.column("ids"), strict=True))
+        by_part, long_ones = {}, {}
+        for part, ids, word in zip(right.column("part").to_pylist(), right.column("ids"), right.column("word").to_pylist(), strict=True):
+            if word is None:
+                by_part[part] = ids
+            else:
+                long_ones[word] = _with_bytes(ids.values.to_numpy(), model)
         known: dict[str, bytes] = {_JOIN: np.array([model.pieces[_JOIN][0] if _JOIN in model.pieces else model.byte_ids[1]], np.int32).tobytes()}
+        known |= long_ones
         out = []
         for block, blob in zip(left.column("block").to_pylist(), left.column("blob"), strict=True):
             ids, texts = _unpack(blob.as_buffer())

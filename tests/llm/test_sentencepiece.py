@@ -95,3 +95,28 @@ def test_odd_rows(spark, model):
     got = ours.encode(spark.createDataFrame(rows, SCHEMA), model).collect()
     assert sorted(((r["id"], r["n_tokens"] > 0) for r in got), key=repr) == [(1, True), (1, True), (2, False), (None, True)]
     assert ours.encode(spark.createDataFrame([], SCHEMA), model).collect() == []
+
+
+def test_long_words(spark, model):
+    """Words far beyond a chunk, also mixed with short ones, in a text without blanks and with runs of blanks."""
+    rng = random.Random(9)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(100_000))
+    texts = [
+        letters, f"short {letters[:129]} words {letters[:128]} " + letters[:127], " " * 400 + "indent", "日本語" * 200, "é" * 129,
+        letters[:1000] + " " + letters[:1000] + " tail", "-" * 500 + "x" * 300 + "9" * 300, "▁" * 300 + letters[:200],
+    ]
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], SCHEMA)
+    rows = {r["id"]: r for r in ours.encode(df, model).collect()}
+    assert len(rows) == len(texts)
+    for k, t in enumerate(texts):
+        assert ours.decode_ids(rows[k]["ids"], model) == t.replace("▁", " ")
+        assert score_of(rows[k]["ids"], t, model) == pytest.approx(best_score(t, model), rel=1e-9)
+
+
+def test_chunks_and_whole_words_agree(spark, model):
+    """The same ids, ties included, whichever way a word takes."""
+    rng = random.Random(3)
+    words = ["▁" + "".join(rng.choice("abcdeïñ日-") for _ in range(n)) for n in (1, 2, 127, 128, 129, 255, 256, 257, 700)]
+    df = spark.createDataFrame([(0, w, [1]) for w in words], "part long, word string, blocks array<long>")
+    whole = {r["word"]: r["ids"] for r in ours.segment(df, model).collect()}
+    assert {r["word"]: r["ids"] for r in ours.segment_long(df, model).collect()} == whole
