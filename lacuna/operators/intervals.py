@@ -126,14 +126,12 @@ def regions_of_interest(texts: DataFrame | None, contigs: DataFrame, max_gap: in
         if missing is not None:
             raise ParameterError(f"contig {missing['contig']!r} is not part of the reference")
         rois = merge_intervals(close_intervals(parsed, contigs), max_gap)
-    return in_contig_order(rois, contigs)
+    return in_contig_order(rois, contigs).select("contig", "contig_id", "beg", "end")
 
 
 def in_contig_order(intervals: DataFrame, contigs: DataFrame) -> DataFrame:
     """Adds ``contig_id`` of the header order; sort by ``(contig_id, beg)`` at the sink."""
-    return intervals.join(contigs.select("contig", "contig_id"), "contig").select(
-        "contig", "contig_id", "beg", "end"
-    )
+    return intervals.join(contigs.select("contig", "contig_id"), "contig")
 
 
 def chunks(contigs: DataFrame, size: int, padding: int = 0) -> DataFrame:

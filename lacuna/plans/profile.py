@@ -26,7 +26,7 @@ def with_merged_groups(rows: DataFrame, read_groups: DataFrame) -> DataFrame:
 def numbered(sampling: DataFrame, contigs: DataFrame) -> DataFrame:
     """Sampling intervals merged, restricted to known contigs and numbered in contig order."""
     merged = intervals.merge_intervals(intervals.close_intervals(sampling, contigs))
-    ordered = intervals.in_contig_order(merged, contigs)
+    ordered = intervals.in_contig_order(merged, contigs).select("contig", "contig_id", "beg", "end")
     # The intervals are a handful per contig; numbering them is not data sized.
     number = F.row_number().over(Window.orderBy("contig_id", "beg")) - 1
     return ordered.withColumn("itv", number.cast("bigint"))

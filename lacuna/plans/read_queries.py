@@ -422,8 +422,8 @@ def roi_order(spark, sf):
     # One row per contig.
     rank = (F.row_number().over(Window.orderBy(F.desc("contig"))) - 1).cast("bigint")
     contigs = b.contigs.withColumn("contig_id", rank)
-    rows = b.intervals.join(contigs, "contig")
-    return rows.select("itv", "contig", "contig_id", "beg", F.least("end", "len").alias("end"))
+    closed = intervals.close_intervals(b.intervals, b.contigs)
+    return intervals.in_contig_order(closed, contigs).select("itv", "contig", "contig_id", "beg", "end")
 
 
 @query(
