@@ -24,12 +24,12 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +43,12 @@ _JOIN = "\x01"
 _END = -(1 << 31)
 #: Bytes of text in one block, at most (a longer text is a block of its own).
 BLOCK_BYTES = 8 << 20
+#: Distinct units between blanks that are cut into words by one search.
+UNITS_AT_ONCE = 1 << 16
 #: Word parts per block, and the most blocks whose words are segmented together.
 PARTS_PER_BLOCK = 4
 GROUP_BLOCKS = 4096
 UNKNOWN_PENALTY = 10.0
-#: Edges folded in one inner step; keeps the copied state short for very long words.
-TILE_EDGES = 256
 #: Characters of the longest word that is exploded whole, and of one chunk of longer words.
 LONG_WORD = 128
 CHUNK = 128
@@ -141,75 +141,55 @@ def _substrings(words: DataFrame, longest: int) -> DataFrame:
     )
 
 
-_BEST = "array<struct<t:double,s:int,id:int>>"
+def _totals(edges: Column, start: Column, low: Column) -> Column:
+    """The best total of every position from ``low`` on, folded over edges in order of (e, s); ``start`` has the first ones.
+
+    The first edge of a position appends, a better one replaces. The state is plain numbers: which edges are best
+    follows from the totals, and building structures in every step would cost several times the search.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        total = F.get(acc, x["s"] - low) + x["w"]
+        n = F.size(acc)
+        return (
+            F.when(n + low == x["e"], F.array_append(acc, total))
+            .when(total > F.get(acc, n - 1), F.array_append(F.slice(acc, 1, n - 1), total))
+            .otherwise(acc)
+        )
+
+    return F.aggregate(edges, start, step)
+
+
+_NO_IDS = "cast(array() as array<int>)"
 
 
-def _fold(edges: Column, start: Column, finish) -> Column:
-    """Folds edges in order of (e, s) into the best total of every end position with its last edge.
+def _back(edges: Column, totals: Column, low: Column, start: Column, finish) -> Column:
+    """Follows the best path over the edges of some positions, from the last to the first.
 
-    The state is (low, best): best[p - low] belongs to position p. The first edge of a position appends, later ones
-    replace it if they are better.
+    The state (at, s, id, ids): the path has ``ids`` behind position ``at``, last first, and the edge (s, at, id) before it,
+    the longest met so far. That edge is closed when edges end at its start.
     """
 
     def step(acc: Column, x: Column) -> Column:
-        total = F.get(acc["best"], x["s"] - acc["low"])["t"] + x["w"]
-        this = F.array(F.struct(total.alias("t"), x["s"].alias("s"), x["id"].alias("id")))
-        n = F.size(acc["best"])
+        best = F.get(totals, x["s"] - low) + x["w"] == F.get(totals, x["e"] - low)
 
-        def state(best: Column) -> Column:
-            return F.struct(acc["low"].alias("low"), best.alias("best"))
+        def state(at: Column, ids: Column) -> Column:
+            return F.struct(at.alias("at"), x["s"].alias("s"), x["id"].alias("id"), ids.alias("ids"))
 
         return (
-            F.when(n + acc["low"] == x["e"], state(F.concat(acc["best"], this)))
-            .when(total > F.element_at(acc["best"], -1)["t"], state(F.concat(F.slice(acc["best"], 1, n - 1), this)))
+            F.when((x["e"] == acc["s"]) & best, state(acc["s"], F.array_append(acc["ids"], acc["id"])))
+            .when((x["e"] == acc["at"]) & best, state(acc["at"], acc["ids"]))
             .otherwise(acc)
         )
 
-    return F.aggregate(edges, start, step, finish)
+    return F.aggregate(F.reverse(edges), start, step, finish)
 
 
-def _viterbi(edges: Column, longest: int) -> Column:
-    """The best last edge (t, s, id) of every end position.
-
-    Words of more than ``TILE_EDGES`` edges are folded tile by tile: a tile starts from the last ``longest``
-    positions, so what a step copies stays short.
-    """
-    origin = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("s"), F.lit(0).alias("id")))
-    start = F.struct(F.lit(0).alias("low"), origin.alias("best"))
-    short = _fold(edges, start, lambda acc: F.slice(acc["best"], 2, F.size(acc["best"])))
-
-    def tile(acc: Column, t: Column) -> Column:
-        # the last position stays open: the next tile may still improve it
-        def finished(done: Column) -> Column:
-            n = F.size(done["best"])
-            kept = F.greatest(n - F.lit(longest + 1), F.lit(0))
-            fresh = F.slice(done["best"], F.size(acc["best"]), F.greatest(n - F.size(acc["best"]), F.lit(0)))
-            return F.struct(
-                (done["low"] + kept).alias("low"),
-                F.slice(done["best"], kept + 1, F.lit(longest + 1)).alias("best"),
-                F.concat(acc["closed"], fresh).alias("closed"),
-            )
-
-        begin = F.struct(acc["low"].alias("low"), acc["best"].alias("best"))
-        return _fold(F.slice(edges, t * TILE_EDGES + 1, F.lit(TILE_EDGES)), begin, finished)
-
-    tiles = F.sequence(F.lit(0), F.ceil(F.size(edges) / F.lit(TILE_EDGES)).cast("int") - 1)
-    zero = F.struct(F.lit(0).alias("low"), origin.alias("best"), F.expr(f"cast(array() as {_BEST})").alias("closed"))
-    # closed begins with the origin, the open last position closes the list
-    tiled = F.aggregate(tiles, zero, tile, lambda acc: F.concat(F.slice(acc["closed"], 2, F.size(acc["closed"])), F.slice(acc["best"], -1, 1)))
-    return F.when(F.size(edges) <= TILE_EDGES, short).otherwise(tiled)
-
-
-def _path(backs: Column) -> Column:
+def _path(edges: Column, totals: Column) -> Column:
     """Ids along the best path, in reading order."""
-    start = F.struct(F.size(backs).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
-
-    def step(acc: Column, k: Column) -> Column:
-        here = F.get(backs, k - 1)
-        longer = F.struct(here["s"].alias("at"), F.concat(acc["ids"], F.array(here["id"])).alias("ids"))
-        return F.when(acc["at"] == k, longer).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.size(backs), F.lit(1), F.lit(-1)), start, step, lambda acc: F.reverse(acc["ids"]))
+    none = F.lit(-1)
+    start = F.struct((F.size(totals) - 1).alias("at"), none.alias("s"), none.alias("id"), F.expr(_NO_IDS).alias("ids"))
+    return _back(edges, totals, F.lit(0), start, lambda acc: F.reverse(F.array_append(acc["ids"], acc["id"])))
 
 
 def segment(words: DataFrame, model: Model) -> DataFrame:
@@ -225,8 +205,8 @@ def segment(words: DataFrame, model: Model) -> DataFrame:
         F.first("blocks", ignorenulls=True).alias("blocks"),
         F.sort_array(F.collect_list("edge")).alias("edges"),
     )
-    backs = grouped.select("part", "word", "blocks", _viterbi(F.col("edges"), model.longest).alias("backs"))
-    return backs.select("part", "word", "blocks", _path(F.col("backs")).alias("ids"))
+    totals = grouped.withColumn("totals", _totals(F.col("edges"), F.array(F.lit(0.0)), F.lit(0)))
+    return totals.select("part", "word", "blocks", _path(F.col("edges"), F.col("totals")).alias("ids"))
 
 
 def _edges(cut: DataFrame, model: Model) -> DataFrame:
@@ -262,51 +242,46 @@ def segment_long(words: DataFrame, model: Model) -> DataFrame:
     )
     per_chunk = _edges(cut, model).groupBy("wid", "a").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     grouped = per_chunk.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("a", "edges"))).alias("chunks"))
-    backs = grouped.select("wid", _chunked_viterbi(F.col("chunks"), longest).alias("backs"))
-    return keyed.join(backs.select("wid", _chunked_path(F.col("backs")).alias("ids")), "wid").select("word", "ids")
+    totals = grouped.withColumn("totals", _chunked_totals(F.col("chunks"), longest))
+    return keyed.join(totals.select("wid", _chunked_path(F.col("chunks"), F.col("totals")).alias("ids")), "wid").select("word", "ids")
 
 
-def _chunked_viterbi(chunks: Column, longest: int) -> Column:
-    """The best last edges (t, s, id) of every chunk's end positions; a chunk starts from the last ``longest`` positions."""
-    origin = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("s"), F.lit(0).alias("id")))
+def _chunked_totals(chunks: Column, longest: int) -> Column:
+    """(low, t) of every chunk: the best totals from position low on; a chunk starts from the last ``longest`` positions."""
 
     def step(acc: Column, x: Column) -> Column:
-        def finished(done: Column) -> Column:
-            n, before = F.size(done["best"]), F.size(acc["best"])
-            over = F.greatest(n - F.lit(longest), F.lit(0))
-            return F.struct(
-                (done["low"] + over).alias("low"),
-                F.slice(done["best"], over + 1, F.lit(longest)).alias("best"),
-                F.concat(acc["closed"], F.array(F.slice(done["best"], before + 1, n - before))).alias("closed"),
-            )
-
-        begin = F.struct(acc["low"].alias("low"), acc["best"].alias("best"))
-        return _fold(x["edges"], begin, finished)
+        before = F.element_at(acc, -1)
+        n = F.size(before["t"])
+        over = F.greatest(n - F.lit(longest), F.lit(0))
+        low = before["low"] + over
+        return F.array_append(acc, F.struct(low.alias("low"), _totals(x["edges"], F.slice(before["t"], over + 1, F.lit(longest)), low).alias("t")))
 
-    zero = F.struct(F.lit(0).alias("low"), origin.alias("best"), F.expr(f"cast(array() as array<{_BEST}>)").alias("closed"))
-    return F.aggregate(chunks, zero, step, lambda acc: acc["closed"])
+    origin = F.array(F.struct(F.lit(0).alias("low"), F.array(F.lit(0.0)).alias("t")))
+    return F.aggregate(chunks, origin, step, lambda acc: F.slice(acc, 2, F.size(acc) - 1))
 
 
-def _chunked_path(backs: Column) -> Column:
+def _chunked_path(chunks: Column, totals: Column) -> Column:
     """Ids along the best path, in reading order, followed from the last chunk to the first."""
-    none = F.expr("cast(array() as array<int>)")
-    n = F.size(backs)
-    length = (n - 1) * CHUNK + F.size(F.element_at(backs, -1))
-    start = F.struct(length.alias("at"), F.expr("cast(array() as array<array<int>>)").alias("ids"))
+    last = F.element_at(totals, -1)
+    none = F.lit(-1)
+    start = F.struct(
+        (last["low"] + F.size(last["t"]) - 1).alias("at"),
+        none.alias("s"),
+        none.alias("id"),
+        F.expr("cast(array() as array<array<int>>)").alias("ids"),
+    )
 
     def step(acc: Column, c: Column) -> Column:
-        rows = F.get(backs, c)
+        here = F.get(totals, c)
+        begin = F.struct(acc["at"].alias("at"), acc["s"].alias("s"), acc["id"].alias("id"), F.expr(_NO_IDS).alias("ids"))
 
-        def back(inner: Column, j: Column) -> Column:
-            here = F.get(rows, j)
-            longer = F.struct(here["s"].alias("at"), F.concat(inner["ids"], F.array(here["id"])).alias("ids"))
-            return F.when(inner["at"] == c * CHUNK + j + 1, longer).otherwise(inner)
+        def finished(x: Column) -> Column:
+            return F.struct(x["at"].alias("at"), x["s"].alias("s"), x["id"].alias("id"), F.array_append(acc["ids"], x["ids"]).alias("ids"))
 
-        begin = F.struct(acc["at"].alias("at"), none.alias("ids"))
-        joined = lambda done: F.struct(done["at"].alias("at"), F.concat(acc["ids"], F.array(done["ids"])).alias("ids"))
-        return F.aggregate(F.sequence(F.size(rows) - 1, F.lit(0), F.lit(-1)), begin, back, joined)
+        return _back(F.get(chunks, c)["edges"], here["t"], here["low"], begin, finished)
 
-    return F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), start, step, lambda acc: F.reverse(F.flatten(acc["ids"])))
+    joined = lambda acc: F.reverse(F.array_append(F.flatten(acc["ids"]), acc["id"]))
+    return F.aggregate(F.sequence(F.size(chunks) - 1, F.lit(0), F.lit(-1)), start, step, joined)
 
 
 # ---------------------------------------------------------------- blocks of texts
@@ -372,14 +347,72 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
     return stored
 
 
-def _parted(words: set[str], group: int, parts: int) -> dict[int, list[str]]:
-    """Words by part, sorted, without long ones; parts of different block groups are different."""
-    out: dict[int, list[str]] = defaultdict(list)
-    for w in words:
-        if len(w) > LONG_WORD:
-            continue
-        out[group * parts + zlib.crc32(w.encode()) % parts].append(w)
-    return {k: sorted(v) for k, v in out.items()}
+@dataclass(frozen=True)
+class Units:
+    """What texts consist of, by numbers: units of a text, words of a unit.
+
+    A unit is what stands between two blanks, or an irregular text as a whole. Unit k has the words
+    ``word_of[unit_at[k]:unit_at[k + 1]]``, text k the units ``unit_of[text_at[k]:text_at[k + 1]]``.
+    """
+
+    words: pa.Array
+    word_of: np.ndarray
+    unit_at: np.ndarray
+    unit_of: np.ndarray
+    text_at: np.ndarray
+
+
+def _regular(text: str) -> bool:
+    """Whether blanks stand single and between words, so that splitting at them gives the words' places."""
+    return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text and _JOIN not in text
+
+
+def _units(texts: list[str], pattern: re.Pattern) -> Units:
+    """The distinct units and words of ``texts``. What stands between blanks is cut into words once, however often it occurs."""
+    regular = np.array([_regular(t) for t in texts], bool)
+    split = pc.split_pattern(pa.array([t for t, r in zip(texts, regular, strict=True) if r], pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    n = len(coded.dictionary)
+    found, ends, met = [], [np.zeros(1, np.int64)], 0
+    for k in range(0, n, UNITS_AT_ONCE):
+        # character 1 is a word of its own: one search over all units, each closed by it
+        spaced = coded.dictionary.slice(k, UNITS_AT_ONCE).to_pylist()
+        words = pa.array(pattern.findall(SPACE + f"{_JOIN}{SPACE}".join(spaced) + _JOIN), pa.large_string())
+        inside = pc.not_equal(words, _JOIN)
+        closed = np.flatnonzero(~inside.to_numpy(zero_copy_only=False))
+        ends.append(met + closed - np.arange(len(closed)))
+        met = int(ends[-1][-1])
+        found.append(words.filter(inside))
+    for t, r in zip(texts, regular.tolist(), strict=True):
+        if not r:
+            found.append(pa.array(pattern.findall(normalise(t)), pa.large_string()))
+            met += len(found[-1])
+            ends.append(np.array([met], np.int64))
+    words = pa.concat_arrays([pa.array([], pa.large_string()), *found]).dictionary_encode()
+    sizes = np.ones(len(texts), np.int64)
+    sizes[regular] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    text_at = np.concatenate([[0], np.cumsum(sizes)])
+    whole = np.zeros(text_at[-1], bool)
+    whole[text_at[:-1][~regular]] = True
+    unit_of = np.empty(len(whole), np.int32)
+    unit_of[~whole] = coded.indices.to_numpy(zero_copy_only=False)
+    unit_of[whole] = n + np.arange(whole.sum())
+    return Units(words.dictionary, words.indices.to_numpy(zero_copy_only=False), np.concatenate(ends), unit_of, text_at)
+
+
+def _parted(words: pa.Array, group: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, at, order): words order[at[k]:at[k + 1]] are those of part[k], sorted, without long ones and character 1.
+
+    Parts of different block groups are different.
+    """
+    short = pc.and_(pc.less_equal(pc.utf8_length(words), LONG_WORD), pc.not_equal(words, _JOIN))
+    order = np.flatnonzero(short.to_numpy(zero_copy_only=False))
+    order = order[pc.sort_indices(words.take(pa.array(order))).to_numpy()]
+    raw = words.take(pa.array(order)).cast(pa.large_binary()).to_pylist()
+    part = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % parts
+    by_part = np.argsort(part, kind="stable")
+    numbers, at = np.unique(part[by_part], return_index=True)
+    return group * parts + numbers, np.append(at, len(order)), order[by_part]
 
 
 def _words(blocks: DataFrame, pattern: re.Pattern, groups: int, parts: int) -> DataFrame:
@@ -389,9 +422,10 @@ def _words(blocks: DataFrame, pattern: re.Pattern, groups: int, parts: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
-                parted = _parted(_all_words(*_between_blanks(_unpack(blob.as_buffer())[1], pattern), pattern), block % groups, parts)
-                yield batch_of(schema, [list(parted), [block] * len(parted), [_JOIN.join(w) for w in parted.values()]])
-                del parted
+                words = _units(_unpack(blob.as_buffer())[1], pattern).words
+                part, at, order = _parted(words, block % groups, parts)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), words.take(pa.array(order)))
+                yield batch_of(schema, [part, np.full(len(part), block), pc.binary_join(lists, pa.scalar(_JOIN, pa.large_string())).cast(pa.string())])
         release()
 
     return blocks.mapInArrow(run, "part long, block long, words string")
@@ -404,42 +438,45 @@ def _long_words(blocks: DataFrame, pattern: re.Pattern) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
-                words = _all_words(*_between_blanks(_unpack(blob.as_buffer())[1], pattern), pattern)
-                for w in words:
-                    if len(w) > LONG_WORD:
-                        yield batch_of(schema, [[block], [w]])
+                words = _units(_unpack(blob.as_buffer())[1], pattern).words
+                for w in words.filter(pc.greater(pc.utf8_length(words), LONG_WORD)).to_pylist():
+                    yield batch_of(schema, [[block], [w]])
         release()
 
     return blocks.mapInArrow(run, "block long, word string")
 
 
-def _regular(text: str) -> bool:
-    """Whether blanks stand single and between words, so that splitting at them gives the words' places."""
-    return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
-
-
-def _between_blanks(texts: list[str], pattern: re.Pattern) -> tuple[set[str], set[str]]:
-    """Distinct words of irregular texts, and what stands between two blanks in the others."""
-    met: set[str] = set()
-    spaced: set[str] = set()
-    for text in texts:
-        if _regular(text):
-            spaced.update(text.split(" "))
-        else:
-            met.update(pattern.findall(normalise(text)))
-    return met, spaced
-
-
-def _apart(w: str, pattern: re.Pattern) -> list[str]:
-    """The words of what stands between two blanks; letters alone are one."""
-    return [SPACE + w] if w.isalpha() and w.isascii() else pattern.findall(SPACE + w)
-
-
-def _all_words(met: set[str], spaced: set[str], pattern: re.Pattern) -> set[str]:
-    for w in spaced:
-        met.update(_apart(w, pattern))
-    met.discard(_JOIN)
-    return met
+def _stretches(values: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[at[k]:at[k] + sizes[k]] for every k, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _unit_ids(units: Units, answer: pa.Table, group: int, parts: int, model: Model) -> pa.Array:
+    """The ids of every unit, from the answer to its block: rows of parts, and of long words."""
+    by_part = answer.filter(pc.is_null(answer.column("word"))).sort_by("part").column("ids").combine_chunks()
+    long = answer.filter(pc.is_valid(answer.column("word")))
+    part, _, order = _parted(units.words, group, parts)
+    values = by_part.flatten().to_numpy(zero_copy_only=False)
+    ends = np.flatnonzero(values == _END)
+    if len(ends) != len(order) or len(by_part) != len(part):
+        raise ValueError("the answer does not belong to the words of the block")
+    at, sizes = np.zeros(len(units.words), np.int64), np.zeros(len(units.words), np.int64)
+    at[order] = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    sizes[order] = ends - at[order]
+    places = pc.index_in(long.column("word").cast(pa.large_string()).combine_chunks(), units.words).to_pylist()
+    more = [(k, x.values.to_numpy()) for k, x in zip(places, long.column("ids"), strict=True)]
+    one = units.words.index(_JOIN).as_py()
+    if one >= 0:
+        more.append((one, np.array([model.pieces[_JOIN][0] if _JOIN in model.pieces else model.byte_ids[1]])))
+    for k, x in more:
+        at[k], sizes[k] = len(values), len(x)
+        values = np.concatenate([values, x])
+    values, moved = _with_bytes(values, model)
+    sizes = moved[at + sizes] - moved[at]
+    ids = _stretches(values, moved[at][units.word_of], sizes[units.word_of])
+    ends = np.concatenate([[0], np.cumsum(sizes[units.word_of])])
+    return pa.LargeListArray.from_arrays(pa.array(ends[units.unit_at], pa.int64()), pa.array(ids, pa.int32()))
 
 
 def encode(
@@ -472,43 +509,24 @@ def encode(
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded_sha256", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_part, long_ones = {}, {}
-        for part, ids, word in zip(right.column("part").to_pylist(), right.column("ids"), right.column("word").to_pylist(), strict=True):
-            if word is None:
-                by_part[part] = ids
-            else:
-                long_ones[word] = _with_bytes(ids.values.to_numpy(), model)
-        known: dict[str, bytes] = {_JOIN: np.array([model.pieces[_JOIN][0] if _JOIN in model.pieces else model.byte_ids[1]], np.int32).tobytes()}
-        known |= long_ones
+        surface = pa.array(model.surface, pa.large_binary())
         out = []
         for block, blob in zip(left.column("block").to_pylist(), left.column("blob"), strict=True):
             ids, texts = _unpack(blob.as_buffer())
-            met, spaced = _between_blanks(texts, pattern)
-            for part, words in _parted(_all_words(met, spaced, pattern), block % groups, parts).items():
-                values = by_part[part].values.to_numpy()
-                ends = np.flatnonzero(values == _END)
-                raw = values.astype(np.int32).tobytes()
-                unknown = np.zeros(len(values) + 1, np.int64)
-                np.cumsum((values < 0) & (values != _END), out=unknown[1:])
-                first = np.concatenate([[0], ends[:-1] + 1])
-                odd = (unknown[ends] > unknown[first]).tolist()
-                for word, a, e, has_unknown in zip(words, first.tolist(), ends.tolist(), odd, strict=True):
-                    known[word] = _with_bytes(values[a:e], model) if has_unknown else raw[4 * a : 4 * e]
-            del met
-            ready = {w: b"".join([known[x] for x in _apart(w, pattern)]) for w in spaced}
-            del spaced
-            for k in range(0, len(texts), 1000):
-                raws = [
-                    b"".join(map(ready.__getitem__, t.split(" ")) if _regular(t) else map(known.__getitem__, pattern.findall(normalise(t))))
-                    for t in texts[k : k + 1000]
-                ]
-                arrays = [np.frombuffer(x, np.int32) for x in raws]
-                ends = np.cumsum([0, *map(len, arrays)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
-                hashes = [hashlib.sha256(decode_ids(x.tolist(), model).encode()).hexdigest() for x in arrays]
+            units = _units(texts, pattern)
+            del texts
+            of_units = _unit_ids(units, right, block % groups, parts, model)
+            for k in range(0, len(ids), 1000):
+                text_at = units.text_at[k : k + 1001]
+                each = of_units.take(pa.array(units.unit_of[text_at[0] : text_at[-1]]))
+                tokens = each.flatten()
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False))])[text_at - text_at[0]]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)
+                hashes = [hashlib.sha256(x.encode()).hexdigest() for x in _decoded(tokens, ends, surface)]
                 out.append(
                     pa.RecordBatch.from_arrays(
-                        [pa.array(ids[k : k + 1000], pa.int64()), lists, pa.array(np.diff(ends), pa.int64()), pa.array(hashes)], schema=schema
+                        [pa.array(ids[k : k + 1000], pa.int64()), lists, pa.array(np.diff(ends), pa.int64()), pa.array(hashes, pa.string())],
+                        schema=schema,
                     )
                 )
         release()
@@ -518,17 +536,37 @@ def encode(
     return together.applyInArrow(run, "id long, ids array<int>, n_tokens long, decoded_sha256 string")
 
 
-def _with_bytes(values: np.ndarray, model: Model) -> bytes:
-    """Ids as raw int32, with characters that have no piece as their bytes."""
-    ids: list[int] = []
-    for k in values.tolist():
-        ids += [k] if k >= 0 else [model.byte_ids[x] for x in chr(-k).encode()]
-    return np.array(ids, np.int32).tobytes()
+def _with_bytes(values: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with characters that have no piece as their bytes, and the new place of every old one (and of the end)."""
+    unknown = (values < 0) & (values != _END)
+    points, which = np.unique(-values[unknown], return_inverse=True)
+    raw = [chr(c).encode() for c in points.tolist()]
+    sizes = np.ones(len(values), np.int64)
+    sizes[unknown] = np.array([len(x) for x in raw], np.int64)[which]
+    moved = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.repeat(values, sizes).astype(np.int32)
+    for j in range(4):
+        nth = np.array([model.byte_ids[x[j]] if j < len(x) else 0 for x in raw], np.int32)[which]
+        has = np.array([j < len(x) for x in raw], bool)[which]
+        out[moved[:-1][unknown][has] + j] = nth[has]
+    return out, moved
+
+
+def _decoded(tokens: pa.Array, ends: np.ndarray, surface: pa.Array) -> Iterator[str]:
+    """The text of every list tokens[ends[k]:ends[k + 1]]."""
+    pieces = surface.take(tokens)
+    at = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + ends]
+    raw = memoryview(pieces.buffers()[2] or b"")
+    for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield _text_of(raw[a:z].tobytes())
+
+
+def _text_of(raw: bytes) -> str:
+    return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
 def decode_ids(ids: list[int], model: Model) -> str:
-    raw = b"".join(map(model.surface.__getitem__, ids))
-    return raw.decode("utf-8", "replace")[1:] if raw[:1] == b" " else raw.decode("utf-8", "replace")
+    return _text_of(b"".join(map(model.surface.__getitem__, ids)))
 
 
 def decode(encoded: DataFrame, model: Model, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
