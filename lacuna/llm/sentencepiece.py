@@ -5,8 +5,8 @@ crosses from another character to U+2581, so the text falls into words (a run of
 follows), and equal words have equal best segmentations. The lattice is built once per distinct word:
 substrings of at most the longest piece are exploded, equi-joined to the piece table (whose size is
 fixed by the model), grouped by the number of the word without another exchange, and folded to the segmentation of
-highest total score with ``aggregate``: one fold over the edges in order of their ends, one back from
-the last character. Ties go to the longer last piece. A character without a piece of its own costs the lowest
+highest total score with ``aggregate``: one fold over the edges in order of their ends to the best totals, one back from
+the last character along the edges that give them. Ties go to the longer last piece. A character without a piece of its own costs the lowest
 score less ten and becomes byte pieces.
 
 Texts are packed into compressed blocks of bounded size, stored in buckets, and never shuffled. A block
@@ -367,16 +367,28 @@ def _regular(text: str) -> bool:
     return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text and _JOIN not in text
 
 
+def _objects(values: pa.Array) -> list:
+    """As ``to_pylist``, without a scalar object for every value on the way."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def _units(texts: list[str], pattern: re.Pattern) -> Units:
     """The distinct units and words of ``texts``. What stands between blanks is cut into words once, however often it occurs."""
     regular = np.array([_regular(t) for t in texts], bool)
     split = pc.split_pattern(pa.array([t for t, r in zip(texts, regular, strict=True) if r], pa.large_string()), " ")
     coded = split.flatten().dictionary_encode()
     n = len(coded.dictionary)
-    found, ends, met = [], [np.zeros(1, np.int64)], 0
-    for k in range(0, n, UNITS_AT_ONCE):
+    letters = np.fromiter(map(str.isalpha, _objects(coded.dictionary)), bool, n)
+    # units of letters are one word and come first, the others are searched
+    order = np.argsort(~letters, kind="stable")
+    number = np.empty(n, np.int32)
+    number[order] = np.arange(n)
+    met = int(letters.sum())
+    alone = coded.dictionary.take(pa.array(order[:met]))
+    found, ends = [pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), alone, pa.scalar("", pa.large_string()))], [np.arange(met + 1)]
+    for k in range(met, n, UNITS_AT_ONCE):
         # character 1 is a word of its own: one search over all units, each closed by it
-        spaced = coded.dictionary.slice(k, UNITS_AT_ONCE).to_pylist()
+        spaced = _objects(coded.dictionary.take(pa.array(order[k : k + UNITS_AT_ONCE])))
         words = pa.array(pattern.findall(SPACE + f"{_JOIN}{SPACE}".join(spaced) + _JOIN), pa.large_string())
         inside = pc.not_equal(words, _JOIN)
         closed = np.flatnonzero(~inside.to_numpy(zero_copy_only=False))
@@ -388,14 +400,14 @@ def _units(texts: list[str], pattern: re.Pattern) -> Units:
             found.append(pa.array(pattern.findall(normalise(t)), pa.large_string()))
             met += len(found[-1])
             ends.append(np.array([met], np.int64))
-    words = pa.concat_arrays([pa.array([], pa.large_string()), *found]).dictionary_encode()
+    words = pa.concat_arrays(found).dictionary_encode()
     sizes = np.ones(len(texts), np.int64)
     sizes[regular] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     text_at = np.concatenate([[0], np.cumsum(sizes)])
     whole = np.zeros(text_at[-1], bool)
     whole[text_at[:-1][~regular]] = True
     unit_of = np.empty(len(whole), np.int32)
-    unit_of[~whole] = coded.indices.to_numpy(zero_copy_only=False)
+    unit_of[~whole] = number[coded.indices.to_numpy(zero_copy_only=False)]
     unit_of[whole] = n + np.arange(whole.sum())
     return Units(words.dictionary, words.indices.to_numpy(zero_copy_only=False), np.concatenate(ends), unit_of, text_at)
 
@@ -408,7 +420,7 @@ def _parted(words: pa.Array, group: int, parts: int) -> tuple[np.ndarray, np.nda
     short = pc.and_(pc.less_equal(pc.utf8_length(words), LONG_WORD), pc.not_equal(words, _JOIN))
     order = np.flatnonzero(short.to_numpy(zero_copy_only=False))
     order = order[pc.sort_indices(words.take(pa.array(order))).to_numpy()]
-    raw = words.take(pa.array(order)).cast(pa.large_binary()).to_pylist()
+    raw = _objects(words.take(pa.array(order)).cast(pa.large_binary()))
     part = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % parts
     by_part = np.argsort(part, kind="stable")
     numbers, at = np.unique(part[by_part], return_index=True)
